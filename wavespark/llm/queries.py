@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing
+from . import bpe, chat, maxscore, mixing, quality, wrappers
 
 #: The vocabulary of op4; a parameter, never copied.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.classify(spark, docs, table(spark, sf_dir, "labels"), keep_text=False)
+    return scored.select("doc_id", "evidence", "site", "quality_score", "kept")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(spark, docs)
@@ -26,6 +32,16 @@ def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(maxscore.usable(F.col("x")))
+    scaled = rows.select("vec_id", F.transform("x", lambda x: F.floor(x * 256)).alias("vector"))
+    return maxscore.top_k(spark, scaled, scaled.where(F.col("vec_id") % 50 == 0))
+
+
+def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -34,8 +50,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_quality": op1_site_quality,
     "op3_source_mix": op3_source_mix,
     "op4_segment_tree_bpe": op4_segment_tree_bpe,
+    "op7_maxscore": op7_maxscore,
+    "op8_wrapper_text": op8_wrapper_text,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -62,6 +81,25 @@ m AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM m
 """
 
+ORACLES["op7_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_sum(list_transform(list_zip(q.v, d.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLES["op8_wrapper_text"] = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '') AS x FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(x, '</?(?:p|h1|br)>'), lambda y:
+    trim(regexp_replace(replace(replace(replace(replace(regexp_replace(y, '</?b>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda y: y <> ''), ' '), '') AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
+"""
+
 ORACLES["op10_chat_format"] = r"""
 WITH c AS (
   SELECT conv_id, turn, role, text FROM conversations
