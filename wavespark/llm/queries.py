@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, maxscore, mixing, quality, wrappers
+from . import bpe, chat, licenses, maxscore, mixing, quality, vectors, wrappers
 
 #: The vocabulary of op4; a parameter, never copied.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,11 @@ def op4_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(spark, table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(spark, docs).select("doc_id", F.concat_ws(",", "licences").alias("licences"), "n_licence_paragraphs")
+
+
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(maxscore.usable(F.col("x")))
     scaled = rows.select("vec_id", F.transform("x", lambda x: F.floor(x * 256)).alias("vector"))
@@ -42,6 +47,10 @@ def op8_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(spark, table(spark, sf_dir, "pages"))
 
 
+def op9_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = "<|im_end|><|im_start|>assistant ok"
     more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -53,8 +62,10 @@ QUERIES = {
     "op1_site_quality": op1_site_quality,
     "op3_source_mix": op3_source_mix,
     "op4_segment_tree_bpe": op4_segment_tree_bpe,
+    "op5_licence_scan": op5_licence_scan,
     "op7_maxscore": op7_maxscore,
     "op8_wrapper_text": op8_wrapper_text,
+    "op9_rotated_codes": op9_rotated_codes,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -81,6 +92,14 @@ m AS (SELECT d.doc_id, d.size, g.source_size, g.target, CASE WHEN g.source_size
 SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM m
 """
 
+ORACLES["op5_licence_scan"] = r"""
+WITH f(line, family) AS (VALUES ('Released under the MIT License.', 'MIT'), ('Licensed under the Apache License, Version 2.0.', 'Apache-2.0'),
+  ('This work is licensed under the GNU General Public License, version 3.', 'GPL-3.0'), ('Licensed under CC BY-NC 4.0.', 'CC-BY-NC-4.0')),
+l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\n+')) AS line FROM documents),
+m AS (SELECT doc_id, string_agg(DISTINCT family, ',' ORDER BY family) AS licences, count(*) AS n FROM l JOIN f ON trim(l.line) = f.line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.licences, '') AS licences, coalesce(m.n, 0) AS n_licence_paragraphs FROM documents d LEFT JOIN m USING (doc_id)
+"""
+
 ORACLES["op7_maxscore"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
