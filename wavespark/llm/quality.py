@@ -166,8 +166,8 @@ def classify(
     odds = _logit(F.col("evidence")) + _logit(F.col("site")) - _logit(F.lit(rate))
     score = 1 / (1 + F.exp(-odds))
     if keep_text:
-        whole = _measured(docs.withColumn(".host", host).withColumn(".path", path), text, weights)
-        out = near(whole, F.col("`.host`"), F.col("`.path`")).drop(".host", ".path")
+        whole = _measured(docs.withColumn("_q_host", host).withColumn("_q_path", path), text, weights)
+        out = near(whole, F.col("_q_host"), F.col("_q_path")).drop("_q_host", "_q_path")
     else:
         out = near(scored, F.col("host"), F.col("path")).drop("host", "path").withColumnRenamed("id", id_)
     return out.withColumn("quality_score", score).withColumn("kept", F.col("quality_score") >= threshold)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, maxscore, mixing, quality, vectors, wrappers
+from . import bpe, chat, licenses, maxscore, mixing, order_minhash, quality, recompression, vectors, wrappers
 
 #: The vocabulary of op4; a parameter, never copied.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op1_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "evidence", "site", "quality_score", "kept")
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(spark, docs)
@@ -37,6 +41,12 @@ def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, docs).select("doc_id", F.concat_ws(",", "licences").alias("licences"), "n_licence_paragraphs")
 
 
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = recompression.remove_repeats(spark, docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).where(maxscore.usable(F.col("x")))
     scaled = rows.select("vec_id", F.transform("x", lambda x: F.floor(x * 256)).alias("vector"))
@@ -60,9 +70,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_site_quality": op1_site_quality,
+    "op2_order_minhash": op2_order_minhash,
     "op3_source_mix": op3_source_mix,
     "op4_segment_tree_bpe": op4_segment_tree_bpe,
     "op5_licence_scan": op5_licence_scan,
+    "op6_recompression": op6_recompression,
     "op7_maxscore": op7_maxscore,
     "op8_wrapper_text": op8_wrapper_text,
     "op9_rotated_codes": op9_rotated_codes,
@@ -100,6 +112,18 @@ m AS (SELECT doc_id, string_agg(DISTINCT family, ',' ORDER BY family) AS licence
 SELECT d.doc_id, coalesce(m.licences, '') AS licences, coalesce(m.n, 0) AS n_licence_paragraphs FROM documents d LEFT JOIN m USING (doc_id)
 """
 
+ORACLES["op6_recompression"] = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (
+  SELECT doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+low AS (SELECT h, min(doc_id) AS first FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+late AS (SELECT doc_id, p FROM win JOIN low USING (h) WHERE doc_id > first),
+gone AS (SELECT doc_id, list(DISTINCT q) AS places FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM late) GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(len(places), 0) AS n, CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(places, i)) END AS k FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
+
 ORACLES["op7_maxscore"] = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
