@@ -38,7 +38,7 @@ def matrix(column: pa.Array, dims: int, kind=np.float64) -> np.ndarray:
     flat, ends = np.asarray(column.flatten()), np.asarray(column.offsets)
     sizes = np.diff(ends)
     if (sizes == dims).all():
-        return flat.reshape(-1, dims).astype(kind)
+        return flat.reshape(len(sizes), dims).astype(kind)
     out = np.zeros((len(column), dims), kind)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], sizes)] = flat
     return out

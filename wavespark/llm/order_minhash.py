@@ -6,10 +6,12 @@
    and repeats count, so it follows edit similarity where plain MinHash follows sets.
 3. In each bucket the smallest id is compared with all others: the words of both are aligned within a band as wide as
    the threshold allows (1 - edits / words of the longer >= threshold).
-4. Where a bucket then still holds several components, its next ids are compared with all that are in other components,
-   in rounds with more ids each, until every pair of a bucket is linked, in one component, or known to be unlike. So no
-   pair of a bucket is lost, and within a group of copies no pairs but those with few ids are listed.
-5. Components of the links are the classes.
+4. An id that is unlike the smallest of its buckets is sketched again, by the k-mers that none of those has, and meets
+   others by that, in rounds until no new pair comes up. Documents that merely share a passage part there, after one
+   comparison a bucket; like ones stay together. No bucket's pairs are ever listed.
+5. What is like the smallest may be like another that isn't: an alignment obeys the triangle inequality, so only those
+   within twice the distance can be, and where they aren't one component yet they are compared.
+6. Components of the links are the classes.
 
 Defined cases: null ids take no part (null class, kept); a text without words (null, empty, blank) is a class of its
 own; rows that share an id are one document, of which the least text is read, and each row gets its class; an empty
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
@@ -57,8 +59,10 @@ class OrderSketch:
         self.odd = rng.integers(0, 2**62, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def of(self, words: np.ndarray) -> np.ndarray:
-        """One signed 64-bit name per sketch of the ordered sample."""
-        grams = kmers(words, self.k)
+        return self.sample(kmers(words, self.k))
+
+    def sample(self, grams: np.ndarray) -> np.ndarray:
+        """One signed 64-bit name per sketch of the ordered sample of labelled k-mers."""
         n, out = len(grams), np.empty(self.sketches, np.uint64)
         step = max(1, 2_000_000 // n)
         for s in range(0, self.sketches, step):
@@ -75,6 +79,13 @@ class OrderSketch:
         return out.view(np.int64)
 
 
+def least_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that only one side has bound the distance from below."""
+    _, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    count = np.bincount(inverse[: len(a)], minlength=inverse.max(initial=0) + 1) - np.bincount(inverse[len(a) :], minlength=inverse.max(initial=0) + 1)
+    return int(max(count[count > 0].sum(), -count[count < 0].sum()))
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edit distance of two word sequences (insert, delete, replace: 1 each) if it is at most limit, else None."""
     if abs(len(a) - len(b)) > limit:
@@ -90,10 +101,7 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     if not len(a) or not len(b):
         d = max(len(a), len(b))
         return d if d <= limit else None
-    # Words that only one side has bound the distance from below.
-    _, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    count = np.bincount(inverse[: len(a)], minlength=inverse.max() + 1) - np.bincount(inverse[len(a) :], minlength=inverse.max() + 1)
-    least = int(max(count[count > 0].sum(), -count[count < 0].sum(), 1))
+    least = max(1, least_edits(a, b))
     if least > limit:
         return None
     band = max(least, 8)
@@ -156,9 +164,9 @@ def _rows(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     return d if d <= band else None
 
 
-def similar(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
-    longest = max(len(a), len(b))
-    return edits_within(a, b, int((1 - threshold) * longest + 1e-9)) is not None
+def allowed(a: np.ndarray, b: np.ndarray, share: float) -> int:
+    """Edits that make up a share of the longer sequence."""
+    return int(share * max(len(a), len(b)) + 1e-9)
 
 
 def _sketched(docs: DataFrame, sketch: OrderSketch) -> DataFrame:
@@ -197,18 +205,49 @@ def _as_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, words array<int>")
 
 
-def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts align."""
+FAR, LINK, MAYBE = 0, 1, 2
+
+
+def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSketch | None = None) -> DataFrame:
+    """pairs: ``a``, ``b``, ``crowd`` (ids in their largest bucket). One row per ``b`` (which has one ``a`` a sketch at
+    most): ``hubs`` tells what each ``a`` is to it; if it is unlike one of a crowd, ``keys`` are its next buckets."""
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    by = ["b"] if sketch else ["b", "a"]  # without a sketch the number of others is not bounded
+    hubs = pairs.join(left, "a").groupBy(*by).agg(F.collect_list(F.struct(F.col("a"), "crowd", "wa")).alias("hubs"))
+    joined = hubs.join(right, "b").select("b", "wb", "hubs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (fa, ea), (fb, eb) = ((np.asarray(c.flatten()), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (batch.column(2), batch.column(3)))
-            like = [similar(fa[ea[i] : ea[i + 1]], fb[eb[i] : eb[i + 1]], threshold) for i in range(batch.num_rows)]
-            yield batch.select([0, 1]).filter(pa.array(like, pa.bool_()))
-
-    return joined.mapInArrow(run, "a long, b long")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                told, keys = [], []
+                for i in range(batch.num_rows):
+                    b, parts = np.asarray(batch.column(1)[i].values), batch.column(2)[i].values
+                    ids, crowds, texts = parts.field(0).to_pylist(), parts.field(1).to_pylist(), parts.field(2)
+                    found, unlike = [], []
+                    for j, (hub, crowd) in enumerate(zip(ids, crowds, strict=True)):
+                        a = np.asarray(texts[j].values)
+                        like = edits_within(a, b, allowed(a, b, share)) is not None
+                        found.append((hub, LINK if like else MAYBE if least_edits(a, b) <= allowed(a, b, 2 * share) else FAR))
+                        if not like and crowd > 2:
+                            unlike.append(a)
+                    told.append([{"a": h, "kind": k} for h, k in found])
+                    keys.append(_beyond(unlike, b, sketch) if unlike and sketch else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.struct([("a", pa.int64()), ("kind", pa.int32())]))), pa.array(keys, pa.list_(pa.int64()))], names=["b", "hubs", "keys"])
+
+    return joined.mapInArrow(run, "b long, hubs array<struct<a:long,kind:int>>, keys array<long>")
+
+
+def _beyond(unlike: list[np.ndarray], b: np.ndarray, sketch: OrderSketch) -> list[int]:
+    grams = kmers(b.astype(np.uint64), sketch.k)
+    own = grams[~np.isin(grams, np.concatenate([kmers(a.astype(np.uint64), sketch.k) for a in unlike]))]
+    return sketch.sample(own).tolist() if len(own) >= sketch.ell else []
+
+
+def _met(spread: DataFrame) -> DataFrame:
+    """spread: ``id``, ``key``. The smallest id of each bucket with each other one: ``a``, ``b``, ``crowd``."""
+    buckets = spread.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("of")).where("of > 1")
+    return spread.join(buckets, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("of").alias("crowd"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 5, ell: int = 3, sketches: int = 32, threshold: float = 0.8, seed: int = 11) -> DataFrame:
@@ -224,40 +263,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     worded = known.where("n > 0")
     classes = scratch.write(worded.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     reps = worded.join(classes, ["c1", "c2"]).where("id = rep")
-    spread = scratch.write(reps.select("id", F.explode("sketch").alias("key")))
-    buckets = spread.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("of")).where("of > 1")
-    members = scratch.write(spread.join(buckets, "key").where("id <> hub").select("key", "hub", "id"))
-    scratch.drop(spread)
-    pairs = scratch.write(members.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    ids = members.select("id").union(members.select("hub")).distinct()
+    pairs = scratch.write(_met(scratch.write(reps.select("id", F.explode("sketch").alias("key")))))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     words = scratch.write(_as_words(texts.join(ids, "id", "left_semi").select("id", "text")))
-    links = scratch.write(_verified(pairs, words, threshold))
-    tested, live, hubs = pairs, members.select("key", "id"), 8
-    near = scratch.write(components(scratch, links))
+    share = 1 - threshold
+    again = OrderSketch(k, 2, max(1, sketches // 4), seed + 1)
+    flat = lambda d: d.select("b", F.explode("hubs").alias("h")).select("h.a", "b", "h.kind")
+    found = scratch.write(_compared(pairs, words, share, again))
+    seen = scratch.write(flat(found))
     while True:
-        # Buckets whose rest is not one component; those already met as the smallest id are done with.
-        rooted = live.join(near, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        live = scratch.write(rooted.join(open_, "key", "left_semi"))
-        if live.isEmpty():
+        further = found.where("size(keys) > 0").select(F.col("b").alias("id"), F.explode("keys").alias("key"))
+        pairs = scratch.write(_met(further).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
             break
-        first = live.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("place") <= hubs)
-        first = scratch.write(first.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")))
-        met = first.join(live, "key").where("a < id AND root_a <> root").select("a", F.col("id").alias("b")).distinct()
-        pairs = scratch.write(met.join(tested, ["a", "b"], "left_anti"))
-        more = scratch.write(_verified(pairs, words, threshold))
-        tested = tested.unionByName(pairs)
-        live = live.join(first.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti").select("key", "id")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            near = scratch.write(components(scratch, links))
-        hubs *= 8
+        found = scratch.write(_compared(pairs, words, share, again))
+        seen = seen.unionByName(scratch.write(flat(found)))
+    links = seen.where(F.col("kind") == LINK).select("a", "b")
+    near = scratch.write(components(scratch, links))
+    # a is like some; y may be within twice the distance of a, and isn't in its component.
+    apart = _apart(seen.where(F.col("kind") == MAYBE).join(links.select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("y")), near, "a", "y")
+    apart = scratch.write(apart.select("a", F.col("y").alias("b"), F.lit(0).cast("long").alias("crowd")))
+    if not apart.isEmpty():
+        misses = flat(_compared(apart, words, 2 * share)).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"))
+        beside = misses.join(links, "a").select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("crowd", F.lit(0).cast("long")))
+        more = flat(_compared(beside, words, share)).where(F.col("kind") == LINK).select("a", "b")
+        near = scratch.write(components(scratch, links.unionByName(more)))
     classed = known.join(classes, ["c1", "c2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classed = classed.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("of"), F.coalesce("root", "rep").alias("class_id"))
     out = whole.select(F.col("id").alias("doc_id")).join(classed, F.col("doc_id") == F.col("of"), "left")
     return out.select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id"))).alias("kept"))
 
 
+def _apart(pairs: DataFrame, near: DataFrame, one: str, other: str) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    out = pairs
+    for c in (one, other):
+        out = out.join(near.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return out.where(F.coalesce(f"root_{one}", one) != F.coalesce(f"root_{other}", other)).select(one, other)
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", **how) -> DataFrame:
     """docs with one document of each class, the one of the smallest id."""
     scratch = Scratch(spark, "near-dedup")

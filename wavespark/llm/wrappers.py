@@ -8,8 +8,8 @@
 4. Each page is matched against its host's wrapper; the text at main slots is its main text.
 
 Defined cases: a null or empty page has the empty text; a page whose url is null or has no host belongs to the host
-``''``; repeated rows are pages of their own; a page that its wrapper doesn't match (none of those it was made from) is
-read by the rule of step 3 alone; an empty table gives an empty table; other columns are not looked at.
+``''``; repeated rows are pages of their own; a page that its wrapper doesn't match (none of those it was made from), or
+that matches without any main slot and has no article, is read by the rule of step 3 alone; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def main_text(page: str | None, wrapper: str | None) -> str:
             m = None
         if m:
             marked = {i for i, _ in m.spans("m")} if "m" in found.groupindex else set()
-    if marked is None:
+    if marked is None or not marked and not any(tag_of(s) in MAIN for s, _ in seen):
         at = [i for i, (s, _) in enumerate(seen) if s == TEXT]
         marked = {i for i, x in zip(at, slots([s for s, _ in seen]), strict=True) if x}
     blocks, block, i = [], [], -1
