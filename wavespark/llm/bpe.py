@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -27,6 +29,10 @@ from pyspark.sql import types as T
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+#: Longer words and pieces are encoded anew each time.
+LONGEST_KEPT = 64
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable bytes stand for themselves, the others for U+0100 and on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -41,7 +47,8 @@ class PairTree:
         self.none, self.width = none, 1 << max(0, (len(keys) - 1).bit_length())
         self.node = [none] * self.width + keys + [none] * (self.width - len(keys))
         for i in range(self.width - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
+            left, right = self.node[2 * i], self.node[2 * i + 1]
+            self.node[i] = left if left < right else right
 
     @property
     def root(self) -> int:
@@ -59,10 +66,29 @@ class PairTree:
             node[i] = least
 
 
+class Recent(dict):
+    """A table in two generations of bounded size: when the young one is full, it becomes the old one, and what is
+    looked up in the old one becomes young again. Common keys stay, and memory is bounded."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordBpe:
     """The vocabulary in a file: ``encode`` to ids, ``decode`` to text, ``word`` for one word without white space."""
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -74,45 +100,66 @@ class WordBpe:
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split.replace(r"\s", SPACE)).findall
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
-        self.words = regex.compile(f"[^{SPACE}]+").findall
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.most_words = most_words
+        self.words = re.compile(f"[^{SPACE}]+").findall
+        self.known = Recent(self.word, most_words)
+        self.piece = Recent(self.encode_piece, most_words)
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Merge until no pair has a rank: the root of the tree says which."""
+        """Merge until no pair has a rank: the root of the tree says which. The tree is ``PairTree``, with its updates
+        written out here, as they are most of the work."""
         n = len(symbols)
         if n < 2:
             return symbols
-        ranks, none = self.ranks, len(self.ranks) * n + n
-        key = lambda i, j: ranks.get((symbols[i], symbols[j]), -1)
-        tree = PairTree([r * n + i if (r := key(i, i + 1)) >= 0 else none for i in range(n - 1)], none)
+        rank, none = self.ranks.get, len(self.ranks) * n + n
+        tree = PairTree([none if (r := rank(pair)) is None else r * n + i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))], none)
+        node, width = tree.node, tree.width
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while tree.root < none:
-            i = tree.root % n
+        while (top := node[1]) < none:
+            i = top % n
             j = after[i]
             symbols[i] += symbols[j]
             symbols[j] = ""
             after[i] = k = after[j]
+            h = before[i]
+            changed = []
             if j < n - 1:
-                tree.put(j, none)
+                changed.append((j, none))
             if k < n:
                 before[k] = i
-                tree.put(i, r * n + i if (r := key(i, k)) >= 0 else none)
+                r = rank((symbols[i], symbols[k]))
+                changed.append((i, none if r is None else r * n + i))
             else:
-                tree.put(i, none)
-            if (h := before[i]) >= 0:
-                tree.put(h, r * n + h if (r := key(h, i)) >= 0 else none)
+                changed.append((i, none))
+            if h >= 0:
+                r = rank((symbols[h], symbols[i]))
+                changed.append((h, none if r is None else r * n + h))
+            for place, key in changed:
+                at = width + place
+                if node[at] == key:
+                    continue
+                node[at] = key
+                while at > 1:
+                    other = node[at ^ 1]
+                    at >>= 1
+                    if key > other:
+                        key = other
+                    if node[at] == key:
+                        break
+                    node[at] = key
         return [s for s in symbols if s]
 
     def plain(self, text: str) -> list[int]:
         """Ids of text that holds no special token."""
         out: list[int] = []
         for piece in self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):
-            symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-            symbols[-1] += self.end
-            out += [self.ids[s] for s in self.merge(symbols)]
+            out += self.piece[piece] if len(piece) <= LONGEST_KEPT else self.encode_piece(piece)
         return out
 
+    def encode_piece(self, piece: str) -> list[int]:
+        symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
+        symbols[-1] += self.end
+        return [self.ids[s] for s in self.merge(symbols)]
+
     def encode_word(self, word: str) -> list[int]:
         out: list[int] = []
         for part in self.at_special(word):
@@ -121,15 +168,8 @@ class WordBpe:
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the decoded text, of a word without white space."""
-        found = self.kept.get(word)
-        if found is None:
-            ids = self.encode_word(word)
-            found = (array("I", ids).tobytes(), self.decode(ids))
-            if len(word) <= 64:
-                if len(self.kept) >= self.most_words:
-                    self.kept.clear()
-                self.kept[word] = found
-        return found
+        ids = self.encode_word(word)
+        return array("I", ids).tobytes(), self.decode(ids)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for w in self.words(text or "") for i in self.encode_word(w)]
@@ -139,10 +179,17 @@ class WordBpe:
         return " ".join(self.text[i] for i in ids)
 
     def both(self, text: str | None) -> tuple[bytes, str]:
-        found = [self.word(w) for w in self.words(text or "")]
+        known = self.known
+        found = [known[w] if len(w) <= LONGEST_KEPT else self.word(w) for w in self.words(text or "")]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> WordBpe:
+    """One vocabulary per Python worker: its tables serve all tasks that the worker runs."""
+    return WordBpe(path)
+
+
 def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Adds ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``keep_ids``, ``ids`` and ``decoded``.
 
@@ -156,7 +203,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: s
     rest = docs.drop(*[n for n, _, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(SparkFiles.get(name))
+        bpe = loaded(SparkFiles.get(name))
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
