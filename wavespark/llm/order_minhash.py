@@ -6,11 +6,12 @@
    and repeats count, so it follows edit similarity where plain MinHash follows sets.
 3. In each bucket the smallest id is compared with all others: the words of both are aligned within a band as wide as
    the threshold allows (1 - edits / words of the longer >= threshold).
-4. An id that is unlike the smallest of its buckets is sketched again, by the k-mers that none of those has, and meets
+4. An id that is unlike the smallest of its buckets is sketched again, by the k-mers that none of those it met has, and meets
    others by that, in rounds until no new pair comes up. Documents that merely share a passage part there, after one
    comparison a bucket; like ones stay together. No bucket's pairs are ever listed.
 5. What is like the smallest may be like another that isn't: an alignment obeys the triangle inequality, so only those
-   within twice the distance can be, and where they aren't one component yet they are compared.
+   whose edits to the smallest differ by no more than the threshold allows can be, and where they aren't one component
+   yet they are compared.
 6. Components of the links are the classes.
 
 Defined cases: null ids take no part (null class, kept); a text without words (null, empty, blank) is a class of its
@@ -206,13 +207,16 @@ def _as_words(docs: DataFrame) -> DataFrame:
 
 
 FAR, LINK, MAYBE = 0, 1, 2
+#: In place of a crowd: the two were found unlike in an earlier round.
+MET = -1
 
 
-def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSketch | None = None) -> DataFrame:
+def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSketch | None = None, each: bool = False) -> DataFrame:
     """pairs: ``a``, ``b``, ``crowd`` (ids in their largest bucket). One row per ``b`` (which has one ``a`` a sketch at
-    most): ``hubs`` tells what each ``a`` is to it; if it is unlike one of a crowd, ``keys`` are its next buckets."""
+    most, unless ``each`` pair has its own row): ``hubs`` tells what each ``a`` is to it and how many edits away, if that is
+    known; if it is unlike one of a crowd, ``keys`` are its next buckets."""
     left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    by = ["b"] if sketch else ["b", "a"]  # without a sketch the number of others is not bounded
+    by = ["b", "a"] if each else ["b"]
     hubs = pairs.join(left, "a").groupBy(*by).agg(F.collect_list(F.struct(F.col("a"), "crowd", "wa")).alias("hubs"))
     joined = hubs.join(right, "b").select("b", "wb", "hubs")
 
@@ -224,18 +228,22 @@ def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSke
                 for i in range(batch.num_rows):
                     b, parts = np.asarray(batch.column(1)[i].values), batch.column(2)[i].values
                     ids, crowds, texts = parts.field(0).to_pylist(), parts.field(1).to_pylist(), parts.field(2)
-                    found, unlike = [], []
+                    found, unlike, met = [], [], []
                     for j, (hub, crowd) in enumerate(zip(ids, crowds, strict=True)):
                         a = np.asarray(texts[j].values)
-                        like = edits_within(a, b, allowed(a, b, share)) is not None
-                        found.append((hub, LINK if like else MAYBE if least_edits(a, b) <= allowed(a, b, 2 * share) else FAR))
+                        if crowd == MET:
+                            met.append(a)
+                            continue
+                        edits = edits_within(a, b, allowed(a, b, share))
+                        like = edits is not None
+                        found.append((hub, LINK if like else MAYBE if least_edits(a, b) <= allowed(a, b, 2 * share) else FAR, edits))
                         if not like and crowd > 2:
                             unlike.append(a)
-                    told.append([{"a": h, "kind": k} for h, k in found])
-                    keys.append(_beyond(unlike, b, sketch) if unlike and sketch else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.struct([("a", pa.int64()), ("kind", pa.int32())]))), pa.array(keys, pa.list_(pa.int64()))], names=["b", "hubs", "keys"])
+                    told.append([{"a": h, "kind": k, "edits": e, "n": len(b)} for h, k, e in found])
+                    keys.append(_beyond(unlike + met, b, sketch) if unlike and sketch else [])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.struct([("a", pa.int64()), ("kind", pa.int32()), ("edits", pa.int32()), ("n", pa.int32())]))), pa.array(keys, pa.list_(pa.int64()))], names=["b", "hubs", "keys"])
 
-    return joined.mapInArrow(run, "b long, hubs array<struct<a:long,kind:int>>, keys array<long>")
+    return joined.mapInArrow(run, "b long, hubs array<struct<a:long,kind:int,edits:int,n:int>>, keys array<long>")
 
 
 def _beyond(unlike: list[np.ndarray], b: np.ndarray, sketch: OrderSketch) -> list[int]:
@@ -268,7 +276,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     words = scratch.write(_as_words(texts.join(ids, "id", "left_semi").select("id", "text")))
     share = 1 - threshold
     again = OrderSketch(k, 2, max(1, sketches // 4), seed + 1)
-    flat = lambda d: d.select("b", F.explode("hubs").alias("h")).select("h.a", "b", "h.kind")
+    flat = lambda d: d.select("b", F.explode("hubs").alias("h")).select("h.a", "b", "h.kind", "h.edits", "h.n")
     found = scratch.write(_compared(pairs, words, share, again))
     seen = scratch.write(flat(found))
     while True:
@@ -276,18 +284,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
         pairs = scratch.write(_met(further).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        found = scratch.write(_compared(pairs, words, share, again))
+        met = seen.where(F.col("kind") != LINK).join(pairs.select("b").distinct(), "b", "left_semi").select("a", "b", F.lit(MET).cast("long").alias("crowd"))
+        found = scratch.write(_compared(pairs.select("a", "b", "crowd").unionByName(met), words, share, again))
         seen = seen.unionByName(scratch.write(flat(found)))
-    links = seen.where(F.col("kind") == LINK).select("a", "b")
+    like = seen.where(F.col("kind") == LINK)
+    links = like.select("a", "b")
     near = scratch.write(components(scratch, links))
     # a is like some; y may be within twice the distance of a, and isn't in its component.
     apart = _apart(seen.where(F.col("kind") == MAYBE).join(links.select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("y")), near, "a", "y")
     apart = scratch.write(apart.select("a", F.col("y").alias("b"), F.lit(0).cast("long").alias("crowd")))
     if not apart.isEmpty():
-        misses = flat(_compared(apart, words, 2 * share)).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"))
-        beside = misses.join(links, "a").select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        misses = flat(_compared(apart, words, 2 * share)).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"), F.col("edits").alias("far"), F.col("n").alias("of"))
+        reach = F.col("edits") + F.floor(F.lit(share) * F.greatest("n", "of") + F.lit(1e-9))
+        beside = misses.join(like, "a").where(F.col("far") <= reach).select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
         beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("crowd", F.lit(0).cast("long")))
-        more = flat(_compared(beside, words, share)).where(F.col("kind") == LINK).select("a", "b")
+        more = flat(_compared(beside, words, share, each=True)).where(F.col("kind") == LINK).select("a", "b")
         near = scratch.write(components(scratch, links.unionByName(more)))
     classed = known.join(classes, ["c1", "c2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classed = classed.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("of"), F.coalesce("root", "rep").alias("class_id"))
