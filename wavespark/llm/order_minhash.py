@@ -11,7 +11,7 @@
    comparison a bucket; like ones stay together. No bucket's pairs are ever listed.
 5. What is like the smallest may be like another that isn't: an alignment obeys the triangle inequality, so only those
    whose edits to the smallest differ by no more than the threshold allows can be, and where they aren't one component
-   yet they are compared.
+   yet they are aligned if they have words enough in common: each word of the longer that the other lacks is an edit.
 6. Components of the links are the classes.
 
 Defined cases: null ids take no part (null class, kept); a text without words (null, empty, blank) is a class of its
@@ -211,6 +211,18 @@ FAR, LINK, MAYBE = 0, 1, 2
 MET = -1
 
 
+def _bags(docs: DataFrame) -> DataFrame:
+    """docs: ``id``, ``words``. The words as a set: each is hashed with its number of earlier occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = [kmers(np.asarray(w.values).astype(np.uint64), 1).view(np.int64) for w in batch.column(1)]
+            ends = np.r_[0, np.cumsum([len(b) for b in bags])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bags) if bags else np.empty(0, np.int64)))], names=["id", "bag"])
+
+    return docs.mapInArrow(run, "id long, bag array<long>")
+
+
 def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSketch | None = None, each: bool = False) -> DataFrame:
     """pairs: ``a``, ``b``, ``crowd`` (ids in their largest bucket). One row per ``b`` (which has one ``a`` a sketch at
     most, unless ``each`` pair has its own row): ``hubs`` tells what each ``a`` is to it and how many edits away, if that is
@@ -295,8 +307,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     apart = scratch.write(apart.select("a", F.col("y").alias("b"), F.lit(0).cast("long").alias("crowd")))
     if not apart.isEmpty():
         misses = flat(_compared(apart, words, 2 * share)).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"), F.col("edits").alias("far"), F.col("n").alias("of"))
-        reach = F.col("edits") + F.floor(F.lit(share) * F.greatest("n", "of") + F.lit(1e-9))
-        beside = misses.join(like, "a").where(F.col("far") <= reach).select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        misses = scratch.write(misses)
+        near_misses = like.join(misses.select("a").distinct(), "a", "left_semi")
+        bags = scratch.write(_bags(words.join(misses.select(F.col("y").alias("id")).union(near_misses.select("b")).distinct(), "id", "left_semi")))
+        near_misses = near_misses.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+        misses = misses.join(bags.select(F.col("id").alias("y"), F.col("bag").alias("bag_y")), "y")
+        limit = F.floor(F.lit(share) * F.greatest("n", "of") + F.lit(1e-9))
+        lacking = F.greatest("n", "of") - F.size(F.array_intersect("bag_b", "bag_y"))
+        beside = misses.join(near_misses, "a").where((F.col("far") <= F.col("edits") + limit) & (F.abs(F.col("n") - F.col("of")) <= limit) & (lacking <= limit))
+        beside = beside.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
         beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("crowd", F.lit(0).cast("long")))
         more = flat(_compared(beside, words, share, each=True)).where(F.col("kind") == LINK).select("a", "b")
         near = scratch.write(components(scratch, links.unionByName(more)))
