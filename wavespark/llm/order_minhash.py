@@ -310,14 +310,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
         misses = scratch.write(misses)
         near_misses = like.join(misses.select("a").distinct(), "a", "left_semi")
         bags = scratch.write(_bags(words.join(misses.select(F.col("y").alias("id")).union(near_misses.select("b")).distinct(), "id", "left_semi")))
-        near_misses = near_misses.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
+        near_misses = near_misses.join(near.select(F.col("id").alias("b"), "root"), "b").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
         misses = misses.join(bags.select(F.col("id").alias("y"), F.col("bag").alias("bag_y")), "y")
         limit = F.floor(F.lit(share) * F.greatest("n", "of") + F.lit(1e-9))
         lacking = F.greatest("n", "of") - F.size(F.array_intersect("bag_b", "bag_y"))
         beside = misses.join(near_misses, "a").where((F.col("far") <= F.col("edits") + limit) & (F.abs(F.col("n") - F.col("of")) <= limit) & (lacking <= limit))
-        beside = beside.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct()
+        beside = beside.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b"), "y", "root", lacking.alias("lacking")).distinct()
         beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("crowd", F.lit(0).cast("long")))
-        more = flat(_compared(beside, words, share, each=True)).where(F.col("kind") == LINK).select("a", "b")
+        # One link to a component is enough: the pair of most words in common first, the others where that is none.
+        first = scratch.write(beside.groupBy("y", "root").agg(F.min_by(F.struct("a", "b", "crowd"), F.struct("lacking", "a", "b")).alias("pair")).select("pair.*", "y", "root"))
+        aligned = lambda d: scratch.write(flat(_compared(d.select("a", "b", "crowd").distinct(), words, share, each=True)).where(F.col("kind") == LINK).select("a", "b"))
+        more = aligned(first)
+        joined = first.join(more, ["a", "b"], "left_semi").select("y", "root")
+        rest = beside.join(joined, ["y", "root"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti")
+        more = more.unionByName(aligned(rest))
         near = scratch.write(components(scratch, links.unionByName(more)))
     classed = known.join(classes, ["c1", "c2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classed = classed.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("of"), F.coalesce("root", "rep").alias("class_id"))
