@@ -139,6 +139,29 @@ def test_classes_equal_brute_force(spark):
     assert all(r.kept == (r.class_id == r.doc_id) for r in got)
 
 
+def spread_edits(words, rng, n, tag):
+    """n words replaced by new ones at different places."""
+    words = list(words)
+    for j, at in enumerate(rng.sample(range(len(words)), n)):
+        words[at] = f"{tag}-{j}"
+    return words
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """Pairs of similarity 0.80 to 0.90, of 5 to 240 words."""
+    rng = random.Random(12)
+    docs, pairs = [], 0
+    for n, share in [(n, s) for n in (5, 12, 30, 45, 120, 240) for s in (0.8, 0.82, 0.85, 0.9) for _ in range(10)]:
+        base = [f"v{rng.randrange(5000)}" for _ in range(n)]
+        changed = spread_edits(base, rng, int((1 - share) * n + 1e-9), f"p{pairs}")
+        assert edits(base, changed) <= 0.2 * n + 1e-9
+        docs += [(2 * pairs, " ".join(base)), (2 * pairs + 1, " ".join(changed))]
+        pairs += 1
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(got[2 * p] == 2 * p for p in range(pairs))
+    assert sum(got[2 * p + 1] == 2 * p for p in range(pairs)) >= 0.97 * pairs
+
+
 def test_near_duplicates_edges(spark):
     text = " ".join(VOCABULARY[:50])
     rows = [(None, text), (None, None), (1, ""), (2, None), (3, "a"), (4, "a"), (5, "b"), (6, text), (6, text + " z"), (7, text + " z"), (8, text * 200)]

@@ -3,7 +3,8 @@
 1. Texts with the same words are one class; all below works on one document per class, the one of the smallest id.
 2. A sketch samples, for each of ``sketches`` hash functions, the ``ell`` least k-mers of k words - each labelled with
    its number of earlier occurrences - and keeps them in text order. Equal samples put documents into one bucket; order
-   and repeats count, so it follows edit similarity where plain MinHash follows sets.
+   and repeats count, so it follows edit similarity where plain MinHash follows sets. The number of functions follows
+   from the recall wanted at the threshold (``planned``); texts under SHORT words are sampled by single words.
 3. In each bucket the smallest id is compared with all others: the words of both are aligned within a band as wide as
    the threshold allows (1 - edits / words of the longer >= threshold).
 4. An id that is unlike the smallest of its buckets is sketched again, by the k-mers that none of those it met has, and meets
@@ -21,6 +22,7 @@ table gives an empty table. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from .words import WordHashes, digest, find_words, mix, mix2
 
 #: Cells of a table of diagonals; wider alignments go row by row.
 CELLS = 8_000_000
+#: Texts of fewer words are sampled by single words: an edit would cost them too many of their k-mers.
+SHORT = 40
 
 
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
@@ -52,15 +56,33 @@ def kmers(words: np.ndarray, k: int) -> np.ndarray:
     return mix2(h, number)
 
 
+def planned(threshold: float, recall: float, k: int, ell: int) -> int:
+    """Sketches by which a pair at the threshold, its edits spread over the text, shares a sample as often as recall says."""
+    kept = threshold**k
+    return math.ceil(math.log(1 - recall) / math.log(1 - min((kept / (2 - kept)) ** ell, 1 - 1e-9)))
+
+
 class OrderSketch:
-    def __init__(self, k: int = 5, ell: int = 3, sketches: int = 32, seed: int = 11):
-        self.k, self.ell, self.sketches = k, ell, sketches
+    def __init__(self, k: int = 2, ell: int = 3, sketches: int = 42, seed: int = 11, threshold: float = 0.8):
+        self.k, self.ell, self.sketches, self.threshold = k, ell, sketches, threshold
         rng = np.random.default_rng(seed)
         self.seeds = rng.integers(0, 2**63, sketches, dtype=np.uint64)
         self.odd = rng.integers(0, 2**62, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def of(self, words: np.ndarray) -> np.ndarray:
-        return self.sample(kmers(words, self.k))
+    def of(self, words: np.ndarray, without: list[np.ndarray] | None = None) -> np.ndarray:
+        """Names of all samples of the words, or of what none of the others has."""
+        out = [np.empty(0, np.int64)]
+        for k in self.sizes(len(words)):
+            grams = kmers(words, k)
+            if without:
+                grams = grams[~np.isin(grams, np.concatenate([kmers(x, k) for x in without]))]
+            if len(grams):
+                out.append(self.sample(grams) ^ np.int64(k))
+        return np.concatenate(out)
+
+    def sizes(self, n: int) -> list[int]:
+        """By which k a text of n words is sampled: two texts that may be alike have one in common."""
+        return [1] * (n < SHORT) + [self.k] * (n >= int(SHORT * self.threshold))
 
     def sample(self, grams: np.ndarray) -> np.ndarray:
         """One signed 64-bit name per sketch of the ordered sample of labelled k-mers."""
@@ -185,7 +207,7 @@ def _sketched(docs: DataFrame, sketch: OrderSketch) -> DataFrame:
                     marks.append(digest(words))
                     if len(words):
                         names.append(sketch.of(words))
-                ends = np.r_[0, np.cumsum(np.array(sizes) > 0)] * sketch.sketches
+                ends = np.r_[0, np.cumsum([len(sketch.sizes(n)) * (n > 0) for n in sizes])] * sketch.sketches
                 flat = pa.array(np.concatenate(names) if names else np.empty(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "n", "c1", "c2", "sketch"])
 
@@ -270,8 +292,9 @@ def _met(spread: DataFrame) -> DataFrame:
     return spread.join(buckets, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("of").alias("crowd"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 5, ell: int = 3, sketches: int = 32, threshold: float = 0.8, seed: int = 11) -> DataFrame:
-    """One row per row of docs: ``doc_id``, ``class_id`` (the smallest id of its class), ``kept``."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 2, ell: int = 3, sketches: int | None = None, threshold: float = 0.8, seed: int = 11, recall: float = 0.99) -> DataFrame:
+    """One row per row of docs: ``doc_id``, ``class_id`` (the smallest id of its class), ``kept``. The number of sketches
+    follows from the recall wanted at the threshold, unless it is given."""
     scratch = Scratch(spark, "order-minhash")
     whole = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = whole.where("id IS NOT NULL")
@@ -279,7 +302,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
         texts = rows
     else:
         texts = scratch.write(rows.groupBy("id").agg(F.min("text").alias("text")))
-    known = scratch.write(_sketched(texts, OrderSketch(k, ell, sketches, seed)))
+    sketches = sketches or planned(threshold, recall, k, ell)
+    known = scratch.write(_sketched(texts, OrderSketch(k, ell, sketches, seed, threshold)))
     worded = known.where("n > 0")
     classes = scratch.write(worded.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     reps = worded.join(classes, ["c1", "c2"]).where("id = rep")
