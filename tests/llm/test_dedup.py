@@ -162,6 +162,35 @@ def test_pairs_near_the_threshold_are_found(spark):
     assert sum(got[2 * p + 1] == 2 * p for p in range(pairs)) >= 0.97 * pairs
 
 
+def test_pairs_in_crowds_are_found(spark):
+    """Texts of which half or more are passages that many unlike ones share, in different selections; a few have a like one."""
+    rng = random.Random(13)
+    passages = [[f"p{i}-{j}" for j in range(45)] for i in range(4)]
+    docs, like = [], []
+    for g in range(150):
+        own, shared = [f"g{g}-{j}" for j in range(90)], rng.sample(passages, 2)
+        base = own[:30] + shared[0] + own[30:60] + shared[1] + own[60:]
+        docs.append(base)
+        if g % 3 == 0:
+            like.append((len(docs) - 1, len(docs)))
+            docs.append(spread_edits(own[:30], rng, 9, f"x{g}") + shared[0] + spread_edits(own[30:60], rng, 9, f"y{g}") + shared[1] + spread_edits(own[60:], rng, 9, f"z{g}"))
+    ids = list(range(len(docs)))
+    rng.shuffle(ids)
+    assert all(edits(docs[a], docs[b]) <= 0.2 * 180 for a, b in like)
+    rows = [(i, " ".join(t)) for i, t in zip(ids, docs, strict=True)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    truth = {i: i for i in ids} | {max(ids[a], ids[b]): min(ids[a], ids[b]) for a, b in like}
+    assert sum(got[i] != truth[i] for i in ids) <= 1
+
+
+def test_bound_by_a_longer_text_between():
+    """Two parts of a text that are both like it are further apart than twice what either of them allows."""
+    x = np.arange(100, dtype=np.int32)
+    a, y = x[20:], x[:80]
+    apart = order_minhash.edits_within(a, y, 100)
+    assert apart == 40 > order_minhash.allowed(a, y, 0.4) and order_minhash.reach(a, y, 0.2) >= apart
+
+
 def test_near_duplicates_edges(spark):
     text = " ".join(VOCABULARY[:50])
     rows = [(None, text), (None, None), (1, ""), (2, None), (3, "a"), (4, "a"), (5, "b"), (6, text), (6, text + " z"), (7, text + " z"), (8, text * 200)]

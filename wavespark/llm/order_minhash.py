@@ -1,15 +1,15 @@
 """Near-duplicate documents by Order MinHash, verified by banded alignment.
 
 1. Texts with the same words are one class; all below works on one document per class, the one of the smallest id.
-2. A sketch samples, for each of ``sketches`` hash functions, the ``ell`` least k-mers of k words - each labelled with
+2. A sketch samples, for each of a number of hash functions, the ``ell`` least k-mers of k words - each labelled with
    its number of earlier occurrences - and keeps them in text order. Equal samples put documents into one bucket; order
    and repeats count, so it follows edit similarity where plain MinHash follows sets. The number of functions follows
    from the recall wanted at the threshold (``planned``); texts under SHORT words are sampled by single words.
 3. In each bucket the smallest id is compared with all others: the words of both are aligned within a band as wide as
    the threshold allows (1 - edits / words of the longer >= threshold).
-4. An id that is unlike the smallest of its buckets is sketched again, by the k-mers that none of those it met has, and meets
-   others by that, in rounds until no new pair comes up. Documents that merely share a passage part there, after one
-   comparison a bucket; like ones stay together. No bucket's pairs are ever listed.
+4. Those of a bucket that are unlike its smallest are all compared with each other if they are FEW. If they are more, they
+   are sketched again, by the k-mers that none of the smallest of such crowds has, in rounds until no crowd is left.
+   Documents that merely share a passage part there; like ones stay together. No large bucket's pairs are ever listed.
 5. What is like the smallest may be like another that isn't: an alignment obeys the triangle inequality, so only those
    whose edits to the smallest differ by no more than the threshold allows can be, and where they aren't one component
    yet they are aligned if they have words enough in common: each word of the longer that the other lacks is an edit.
@@ -37,6 +37,8 @@ from .words import WordHashes, digest, find_words, mix, mix2
 CELLS = 8_000_000
 #: Texts of fewer words are sampled by single words: an edit would cost them too many of their k-mers.
 SHORT = 40
+#: Unlike documents of one bucket that are compared all with all.
+FEW = 8
 
 
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
@@ -192,6 +194,12 @@ def allowed(a: np.ndarray, b: np.ndarray, share: float) -> int:
     return int(share * max(len(a), len(b)) + 1e-9)
 
 
+def reach(a: np.ndarray, b: np.ndarray, share: float) -> int:
+    """Edits between two texts that are like one and the same third one, which may be longer than both."""
+    third = int(min(len(a), len(b)) / (1 - share) + 1e-9) if share < 1 else len(a) + len(b)
+    return sum(int(share * max(n, third) + 1e-9) for n in (len(a), len(b)))
+
+
 def _sketched(docs: DataFrame, sketch: OrderSketch) -> DataFrame:
     """docs: ``id``, ``text``. Adds number of words, digest and sketch; leaves the text behind."""
 
@@ -229,8 +237,6 @@ def _as_words(docs: DataFrame) -> DataFrame:
 
 
 FAR, LINK, MAYBE = 0, 1, 2
-#: In place of a crowd: the two were found unlike in an earlier round.
-MET = -1
 
 
 def _bags(docs: DataFrame) -> DataFrame:
@@ -245,51 +251,57 @@ def _bags(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, bag array<long>")
 
 
-def _compared(pairs: DataFrame, words: DataFrame, share: float, sketch: OrderSketch | None = None, each: bool = False) -> DataFrame:
-    """pairs: ``a``, ``b``, ``crowd`` (ids in their largest bucket). One row per ``b`` (which has one ``a`` a sketch at
-    most, unless ``each`` pair has its own row): ``hubs`` tells what each ``a`` is to it and how many edits away, if that is
-    known; if it is unlike one of a crowd, ``keys`` are its next buckets."""
-    left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    by = ["b", "a"] if each else ["b"]
-    hubs = pairs.join(left, "a").groupBy(*by).agg(F.collect_list(F.struct(F.col("a"), "crowd", "wa")).alias("hubs"))
-    joined = hubs.join(right, "b").select("b", "wb", "hubs")
+def _compared(pairs: DataFrame, words: DataFrame, share: float, each: bool = False, bound=allowed) -> DataFrame:
+    """pairs: ``a``, ``b`` (one row per ``b``, which has one ``a`` a sketch at most, unless ``each`` pair has its own row).
+    What ``a`` is to ``b``, how many edits away, if that is within bound, and the words of ``b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                told, keys = [], []
+                found = []
                 for i in range(batch.num_rows):
-                    b, parts = np.asarray(batch.column(1)[i].values), batch.column(2)[i].values
-                    ids, crowds, texts = parts.field(0).to_pylist(), parts.field(1).to_pylist(), parts.field(2)
-                    found, unlike, met = [], [], []
-                    for j, (hub, crowd) in enumerate(zip(ids, crowds, strict=True)):
+                    id_, b, parts = batch.column(0)[i].as_py(), np.asarray(batch.column(1)[i].values), batch.column(2)[i].values
+                    ids, texts = parts.field(0).to_pylist(), parts.field(1)
+                    for j, hub in enumerate(ids):
                         a = np.asarray(texts[j].values)
-                        if crowd == MET:
-                            met.append(a)
-                            continue
-                        edits = edits_within(a, b, allowed(a, b, share))
-                        like = edits is not None
-                        found.append((hub, LINK if like else MAYBE if least_edits(a, b) <= allowed(a, b, 2 * share) else FAR, edits))
-                        if not like and crowd > 2:
-                            unlike.append(a)
-                    told.append([{"a": h, "kind": k, "edits": e, "n": len(b)} for h, k, e in found])
-                    keys.append(_beyond(unlike + met, b, sketch) if unlike and sketch else [])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.list_(pa.struct([("a", pa.int64()), ("kind", pa.int32()), ("edits", pa.int32()), ("n", pa.int32())]))), pa.array(keys, pa.list_(pa.int64()))], names=["b", "hubs", "keys"])
+                        edits = edits_within(a, b, bound(a, b, share))
+                        found.append((hub, id_, LINK if edits is not None else MAYBE if least_edits(a, b) <= reach(a, b, share) else FAR, edits, len(b)))
+                columns = list(zip(*found, strict=True)) or [()] * 5
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "kind", "edits", "n"])
+
+    return _texts_of_both(pairs, words, each).mapInArrow(run, "a long, b long, kind int, edits int, n int")
+
+
+def _texts_of_both(pairs: DataFrame, words: DataFrame, each: bool = False) -> DataFrame:
+    left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
+    by = ["b", "a"] if each else ["b"]
+    hubs = pairs.join(left, "a").groupBy(*by).agg(F.collect_list(F.struct(F.col("a"), "wa")).alias("hubs"))
+    return hubs.join(right, "b").select("b", "wb", "hubs")
 
-    return joined.mapInArrow(run, "b long, hubs array<struct<a:long,kind:int,edits:int,n:int>>, keys array<long>")
 
+def _beyond(pairs: DataFrame, words: DataFrame, sketch: OrderSketch) -> DataFrame:
+    """pairs: ``a``, ``b``. Samples of what ``b`` has beyond all its ``a``: ``id``, ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for i in range(batch.num_rows):
+                texts = batch.column(2)[i].values.field(1)
+                without = [np.asarray(texts[j].values).astype(np.uint64) for j in range(len(texts))]
+                own = np.unique(sketch.of(np.asarray(batch.column(1)[i].values).astype(np.uint64), without))
+                ids.append(np.full(len(own), batch.column(0)[i].as_py(), np.int64))
+                keys.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["id", "key"])
 
-def _beyond(unlike: list[np.ndarray], b: np.ndarray, sketch: OrderSketch) -> list[int]:
-    grams = kmers(b.astype(np.uint64), sketch.k)
-    own = grams[~np.isin(grams, np.concatenate([kmers(a.astype(np.uint64), sketch.k) for a in unlike]))]
-    return sketch.sample(own).tolist() if len(own) >= sketch.ell else []
+    return _texts_of_both(pairs, words).mapInArrow(run, "id long, key long")
 
 
 def _met(spread: DataFrame) -> DataFrame:
-    """spread: ``id``, ``key``. The smallest id of each bucket with each other one: ``a``, ``b``, ``crowd``."""
+    """spread: ``id``, ``key``. The smallest id of each bucket with each other one: ``key``, ``a``, ``b``, ``of`` (ids in the bucket)."""
     buckets = spread.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("of")).where("of > 1")
-    return spread.join(buckets, "key").where("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.max("of").alias("crowd"))
+    return spread.join(buckets, "key").where("id <> a").select("key", "a", F.col("id").alias("b"), "of")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 2, ell: int = 3, sketches: int | None = None, threshold: float = 0.8, seed: int = 11, recall: float = 0.99) -> DataFrame:
@@ -307,30 +319,41 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
     worded = known.where("n > 0")
     classes = scratch.write(worded.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     reps = worded.join(classes, ["c1", "c2"]).where("id = rep")
-    pairs = scratch.write(_met(scratch.write(reps.select("id", F.explode("sketch").alias("key")))))
+    members = scratch.write(_met(reps.select("id", F.explode(F.array_distinct("sketch")).alias("key"))))
+    pairs = scratch.write(members.select("a", "b").distinct())
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     words = scratch.write(_as_words(texts.join(ids, "id", "left_semi").select("id", "text")))
     share = 1 - threshold
-    again = OrderSketch(k, 2, max(1, sketches // 4), seed + 1)
-    flat = lambda d: d.select("b", F.explode("hubs").alias("h")).select("h.a", "b", "h.kind", "h.edits", "h.n")
-    found = scratch.write(_compared(pairs, words, share, again))
-    seen = scratch.write(flat(found))
+    again = OrderSketch(k, 1, sketches, seed + 1, threshold)
+    seen = scratch.write(_compared(pairs, words, share))
+    shed = None
     while True:
-        further = found.where("size(keys) > 0").select(F.col("b").alias("id"), F.explode("keys").alias("key"))
-        pairs = scratch.write(_met(further).join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
+        # Those that are unlike the smallest of their bucket, with the number of them.
+        unlike = members.where("of > 2").drop("of").join(seen.where(F.col("kind") != LINK).select("a", "b").distinct(), ["a", "b"])
+        unlike = scratch.write(unlike.join(unlike.groupBy("key").agg(F.count("*").alias("of")).where("of > 1"), "key"))
+        few = unlike.where(F.col("of") <= FEW).select("key", "b")
+        pairs = few.withColumnRenamed("b", "a").join(few, "key").where("a < b").select("a", "b").distinct()
+        pairs = scratch.write(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            seen = seen.unionByName(scratch.write(_compared(pairs, words, share, each=True).withColumn("kind", F.when(F.col("kind") == LINK, LINK).otherwise(FAR))))
+        crowd = unlike.where(F.col("of") > FEW).select("a", "b").distinct()
+        crowd = scratch.write(crowd if shed is None else crowd.join(shed, ["a", "b"], "left_anti"))
+        if crowd.isEmpty():
             break
-        met = seen.where(F.col("kind") != LINK).join(pairs.select("b").distinct(), "b", "left_semi").select("a", "b", F.lit(MET).cast("long").alias("crowd"))
-        found = scratch.write(_compared(pairs.select("a", "b", "crowd").unionByName(met), words, share, again))
-        seen = seen.unionByName(scratch.write(flat(found)))
+        shed = crowd if shed is None else shed.unionByName(crowd)
+        further = _beyond(shed.join(crowd.select("b").distinct(), "b", "left_semi"), words, again)
+        members = scratch.write(_met(scratch.write(further)))
+        pairs = scratch.write(members.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            seen = seen.unionByName(scratch.write(_compared(pairs, words, share)))
     like = seen.where(F.col("kind") == LINK)
     links = like.select("a", "b")
     near = scratch.write(components(scratch, links))
     # a is like some; y may be within twice the distance of a, and isn't in its component.
     apart = _apart(seen.where(F.col("kind") == MAYBE).join(links.select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("y")), near, "a", "y")
-    apart = scratch.write(apart.select("a", F.col("y").alias("b"), F.lit(0).cast("long").alias("crowd")))
+    apart = scratch.write(apart.select("a", F.col("y").alias("b")).distinct())
     if not apart.isEmpty():
-        misses = flat(_compared(apart, words, 2 * share)).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"), F.col("edits").alias("far"), F.col("n").alias("of"))
+        misses = _compared(apart, words, share, bound=reach).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"), F.col("edits").alias("far"), F.col("n").alias("of"))
         misses = scratch.write(misses)
         near_misses = like.join(misses.select("a").distinct(), "a", "left_semi")
         bags = scratch.write(_bags(words.join(misses.select(F.col("y").alias("id")).union(near_misses.select("b")).distinct(), "id", "left_semi")))
@@ -340,10 +363,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
         lacking = F.greatest("n", "of") - F.size(F.array_intersect("bag_b", "bag_y"))
         beside = misses.join(near_misses, "a").where((F.col("far") <= F.col("edits") + limit) & (F.abs(F.col("n") - F.col("of")) <= limit) & (lacking <= limit))
         beside = beside.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b"), "y", "root", lacking.alias("lacking")).distinct()
-        beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("crowd", F.lit(0).cast("long")))
+        beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
         # One link to a component is enough: the pair of most words in common first, the others where that is none.
-        first = scratch.write(beside.groupBy("y", "root").agg(F.min_by(F.struct("a", "b", "crowd"), F.struct("lacking", "a", "b")).alias("pair")).select("pair.*", "y", "root"))
-        aligned = lambda d: scratch.write(flat(_compared(d.select("a", "b", "crowd").distinct(), words, share, each=True)).where(F.col("kind") == LINK).select("a", "b"))
+        first = scratch.write(beside.groupBy("y", "root").agg(F.min_by(F.struct("a", "b"), F.struct("lacking", "a", "b")).alias("pair")).select("pair.*", "y", "root"))
+        aligned = lambda d: scratch.write(_compared(d.select("a", "b").distinct(), words, share, each=True).where(F.col("kind") == LINK).select("a", "b"))
         more = aligned(first)
         joined = first.join(more, ["a", "b"], "left_semi").select("y", "root")
         rest = beside.join(joined, ["y", "root"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti")
