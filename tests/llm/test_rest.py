@@ -1,6 +1,7 @@
 """Mixing, chats, vectors, search, pages, licences and quality: brute force, round trips, held-out accuracy, edges."""
 
 import hashlib
+import json
 import math
 import random
 
@@ -179,3 +180,19 @@ def test_quality_edges(spark):
     got = quality.classify(spark, docs, labels)
     assert set(docs.columns) <= set(got.columns) and got.count() == 4 and all(0 <= r.quality_score <= 1 and not math.isnan(r.quality_score) for r in got.collect())
     assert quality.classify(spark, docs.limit(0), labels).count() == 0
+
+
+def test_classes_that_stand_in_for_each_other():
+    """An advert on one page where another has its body, a notice against a promo before the article: neither hides the rest."""
+    page = lambda one, two, n: f"<html><body><div class='{one}'><p>{one} {n}</p></div><article><div class='{two}'><p>first {n}</p></div><p>last {n}</p></article></body></html>"
+    pages = [page("notice", "ad", 1), page("promo", "body", 2)]
+    left, right = [wrappers.fold([s for s, _ in wrappers.tokens(p) if s]) for p in pages]
+    wrapper = json.dumps(wrappers.align(left, right))
+    assert [wrappers.main_text(p, wrapper) for p in pages] == ["last 1", "first 2 last 2"]
+
+
+def test_wrapper_matches_in_linear_time():
+    nodes = [["+", [["?", ["a"]], ["?", ["a"]], ["+", ["a"]]]]] * 6 + ["b"]
+    automaton = wrappers.Automaton(nodes)
+    assert automaton.matches(["a"] * 3000 + ["b"]) and not automaton.matches(["a"] * 3000) and not automaton.matches(["a"] * 5 + ["b"])
+    assert wrappers.Automaton([["?", ["a"]]]).matches([]) and not automaton.matches([])

@@ -4,12 +4,13 @@
 2. Distinct folded streams per host are counted by Spark, then aligned one after another, in groups of bounded size and
    as many rounds as that takes: what only some pages have becomes optional, what repeats becomes a repeated group, and
    all text becomes slots. The result is one wrapper per host.
-3. Slots of the wrapper are told apart by where they stand (an article or not; menus, footers, adverts, comments ...).
-4. Each page is matched against its host's wrapper; the text at main slots is its main text.
+3. Each page is matched against its host's wrapper, which tells the way that the page takes through it.
+4. The slots on that way are told apart by the elements open there (an article or not; menus, footers, adverts,
+   comments ...): of elements that stand in for each other a page has only its own. The text at main slots is its main text.
 
 Defined cases: a null or empty page has the empty text; a page whose url is null or has no host belongs to the host
 ``''``; repeated rows are pages of their own; a page that its wrapper doesn't match (none of those it was made from), or
-that matches without any main slot and has no article, is read by the rule of step 3 alone; an empty table gives an empty table; other columns are not looked at.
+that matches without any main slot, is read by the rule of step 3 alone; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,53 +183,102 @@ def _flat(nodes: list) -> Iterator[str]:
             yield from _flat(x[1])
 
 
-def slots(symbols: list[str]) -> list[bool]:
-    """For each text slot in order, whether it is main text: what an article holds, or else all that no rule excludes."""
+def places(symbols: list[str]) -> list[tuple[bool, bool]]:
+    """For each text slot in order, whether it stands in an article, and in something that is never main text."""
     place, found = Place(), []
     for s in symbols:
         if s == TEXT:
             found.append((place.main, place.never))
         else:
             place.see(s)
+    return found
+
+
+def slots(symbols: list[str]) -> list[bool]:
+    """For each text slot in order, whether it is main text: what an article holds, or else all that no rule excludes."""
+    found = places(symbols)
     some = any(m and not n for m, n in found)
     return [not n and (m or not some) for m, n in found]
 
 
-@lru_cache(maxsize=512)
-def matcher(wrapper: str):
-    """The wrapper as a pattern over one letter per symbol; main slots are captured under the name m."""
-    nodes = json.loads(wrapper)
-    flat = list(_flat(nodes))
-    letters = {s: chr(0x4E00 + i) for i, s in enumerate(dict.fromkeys(flat))}
-    main = iter(slots(flat))
+class Automaton:
+    """The wrapper as an automaton: sets of positions are bits of a number, and followed only once (a page takes time in
+    proportion to its length, whatever the wrapper)."""
+
+    def __init__(self, nodes: list) -> None:
+        self.at: dict[str, int] = {}
+        self.follow: list[int] = []
+        self.first, self.last, self.empty = self._add(nodes)
+        self.after: dict[int, int] = {}
 
-    def pattern(seq: list) -> str:
-        out = ""
+    def _add(self, seq: list) -> tuple[int, int, bool]:
+        first, last, empty = 0, 0, True
         for x in seq:
             if isinstance(x, str):
-                out += letters[x] if x != TEXT or not next(main) else f"(?P<m>{letters[x]})"
+                f = end = 1 << len(self.follow)
+                self.at[x] = self.at.get(x, 0) | f
+                self.follow.append(0)
+                skip = False
             else:
-                out += f"(?:{pattern(x[1])}){x[0]}"
-        return out
+                f, end, skip = self._add(x[1])
+                if x[0] == "+":
+                    self._lead(end, f)
+                else:
+                    skip = True
+            self._lead(last, f)
+            first |= f if empty else 0
+            last, empty = end | (last if skip else 0), empty and skip
+        return first, last, empty
+
+    def _lead(self, start: int, to: int) -> None:
+        for p in _ones(start):
+            self.follow[p] |= to
+
+    def matches(self, symbols: list[str]) -> bool:
+        if not symbols:
+            return self.empty
+        here, now = 0, self.first
+        for s in symbols:
+            here = now & self.at.get(s, 0)
+            if not here:
+                return False
+            if here not in self.after:
+                if len(self.after) >= 10_000:
+                    self.after.clear()
+                to = 0
+                for p in _ones(here):
+                    to |= self.follow[p]
+                self.after[here] = to
+            now = self.after[here]
+        return bool(here & self.last)
+
+
+def _ones(bits: int) -> Iterator[int]:
+    while bits:
+        low = bits & -bits
+        yield low.bit_length() - 1
+        bits ^= low
 
-    return regex.compile(pattern(nodes)), letters
+
+@lru_cache(maxsize=512)
+def matcher(wrapper: str) -> tuple[Automaton, bool]:
+    """The wrapper as an automaton, and whether it has an article."""
+    nodes = json.loads(wrapper)
+    return Automaton(nodes), any(tag_of(s) in MAIN or "main" in s.split(" ")[1:] for s in _flat(nodes))
 
 
 def main_text(page: str | None, wrapper: str | None) -> str:
     toks = tokens(page or "")
     seen = [(s, t) for s, t in toks if s]
-    marked: set[int] | None = None
+    symbols = [s for s, _ in seen]
+    at = [i for i, s in enumerate(symbols) if s == TEXT]
+    marked: set[int] = set()
     if wrapper:
-        found, letters = matcher(wrapper)
-        try:
-            m = found.fullmatch("".join(letters.get(s, "?") for s, _ in seen), timeout=5)
-        except TimeoutError:
-            m = None
-        if m:
-            marked = {i for i, _ in m.spans("m")} if "m" in found.groupindex else set()
-    if marked is None or not marked and not any(tag_of(s) in MAIN for s, _ in seen):
-        at = [i for i, (s, _) in enumerate(seen) if s == TEXT]
-        marked = {i for i, x in zip(at, slots([s for s, _ in seen]), strict=True) if x}
+        automaton, article = matcher(wrapper)
+        if automaton.matches(symbols):
+            marked = {i for i, (main, never) in zip(at, places(symbols), strict=True) if not never and (main or not article)}
+    if not marked:
+        marked = {i for i, x in zip(at, slots(symbols), strict=True) if x}
     blocks, block, i = [], [], -1
     for s, t in toks:
         i += bool(s)
