@@ -168,6 +168,37 @@ def test_quad_frame_and_partial(spark):
     assert [r.frame for r in spi.find_bytes(found, [0x56, 0xDE, 0xAD]).collect()] == [0]
 
 
+def test_address_widths_and_erases(spark):
+    """A 4-byte read and two erases by their opcodes; then addresses of one byte by a fixed plan."""
+    wave: dict[str, list[int]] = {n: [] for n in ("cs", "sck", "io0")}
+
+    def put(*values):
+        for n, x in zip(wave, values, strict=True):
+            wave[n].append(x)
+
+    put(1, 0, 0)
+    for frame in ("1312345678AB", "20001000", "DC01020304"):
+        for bit in f"{int(frame, 16):0{4 * len(frame)}b}":
+            put(0, 0, int(bit))
+            put(0, 1, int(bit))
+        put(1, 0, 0)
+    data = capture(spark, **wave)
+    framed = spi.frames(data)
+    moved = spi.transfers(data, framed)
+    plan = spi.planned(moved, spi.command_table(spark))
+    found = spi.fields(moved, plan)
+    rows = sorted((r.frame, r.name, r.address, r.data_bytes) for r in spi.transactions(found, plan, framed).collect())
+    assert rows == [(0, "4-Byte Read", 0x12345678, 1), (1, "4KB Subsector Erase", 0x1000, 0), (2, "4-Byte Sector Erase", 0x01020304, 0)]
+    hits = lambda found, *wanted: sorted(r.frame for r in spi.find_bytes(found, list(wanted)).collect())
+    assert hits(found, 0x13, 0x12, 0x34) == [0] and hits(found, 0x78, 0xAB) == [0]
+    narrow = spi.fields(moved, spi.fixed_plan(framed, 1, 1, 1, 0, 1))
+    assert hits(narrow, 0, 0x12) == [] and hits(narrow, 0x13, 0x12, 0x34) == [0]
+
+
+def test_command_codes_are_unique():
+    assert len({c[0] for c in spi.COMMANDS}) == len(spi.COMMANDS) == 69
+
+
 def test_empty_inputs(spark):
     none = capture(spark, a=[0]).limit(0)
     assert runs.dictionary(none).count() == 0 and grids.edges(none).count() == 0 and measure.summary(none).count() == 0

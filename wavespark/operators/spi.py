@@ -14,18 +14,78 @@ from ..functions.values import level
 from .joins import as_of, points_in
 
 FRAME = ["capture_id", "frame"]
-#: code, name, address bytes, address lines, dummy clocks, data lines, direction: common serial-flash commands.
+#: code, name, address bytes, address lines, dummy clocks, data lines, direction: serial-flash commands, as they are after a
+#: reset (one command line). The five DTR reads are left out, as both-edge transfers are not built.
 COMMANDS = [
-    (0x01, "Write Status", 0, 1, 0, 1, "write"),
-    (0x02, "Page Program", 3, 1, 0, 1, "write"),
+    (0x66, "Reset Enable", 0, 1, 0, 0, ""),
+    (0x99, "Reset Memory", 0, 1, 0, 0, ""),
+    (0x9E, "Read Id", 0, 1, 0, 1, "read"),
+    (0x9F, "Read Id", 0, 1, 0, 1, "read"),
+    (0xAF, "Multiple I/O Read Id", 0, 1, 0, 1, "read"),
+    (0x5A, "Read SFDP", 3, 1, 8, 1, "read"),
     (0x03, "Read", 3, 1, 0, 1, "read"),
-    (0x05, "Read Status", 0, 1, 0, 1, "read"),
-    (0x06, "Write Enable", 0, 1, 0, 0, ""),
     (0x0B, "Fast Read", 3, 1, 8, 1, "read"),
     (0x3B, "Dual Output Fast Read", 3, 1, 8, 2, "read"),
+    (0xBB, "Dual I/O Fast Read", 3, 2, 8, 2, "read"),
     (0x6B, "Quad Output Fast Read", 3, 1, 8, 4, "read"),
-    (0x9F, "Read Id", 0, 1, 0, 1, "read"),
     (0xEB, "Quad I/O Fast Read", 3, 4, 10, 4, "read"),
+    (0xE7, "Quad I/O Word Read", 3, 4, 4, 4, "read"),
+    (0x13, "4-Byte Read", 4, 1, 0, 1, "read"),
+    (0x0C, "4-Byte Fast Read", 4, 1, 8, 1, "read"),
+    (0x6C, "4-Byte Quad Output Fast Read", 4, 1, 8, 4, "read"),
+    (0xEC, "4-Byte Quad I/O Fast Read", 4, 4, 10, 4, "read"),
+    (0x06, "Write Enable", 0, 1, 0, 0, ""),
+    (0x04, "Write Disable", 0, 1, 0, 0, ""),
+    (0x05, "Read Status", 0, 1, 0, 1, "read"),
+    (0x70, "Read Flag Status", 0, 1, 0, 1, "read"),
+    (0xB5, "Read Nonvolatile Configuration", 0, 1, 0, 1, "read"),
+    (0x85, "Read Volatile Configuration", 0, 1, 0, 1, "read"),
+    (0x65, "Read Enhanced Volatile Configuration", 0, 1, 0, 1, "read"),
+    (0x96, "Read General Purpose Read Register", 0, 1, 8, 1, "read"),
+    (0x01, "Write Status", 0, 1, 0, 1, "write"),
+    (0xB1, "Write Nonvolatile Configuration", 0, 1, 0, 1, "write"),
+    (0x81, "Write Volatile Configuration", 0, 1, 0, 1, "write"),
+    (0x61, "Write Enhanced Volatile Configuration", 0, 1, 0, 1, "write"),
+    (0x50, "Clear Flag Status", 0, 1, 0, 0, ""),
+    (0x02, "Page Program", 3, 1, 0, 1, "write"),
+    (0xA2, "Dual Input Fast Program", 3, 1, 0, 2, "write"),
+    (0xD2, "Extended Dual Input Fast Program", 3, 2, 0, 2, "write"),
+    (0x32, "Quad Input Fast Program", 3, 1, 0, 4, "write"),
+    (0x38, "Extended Quad Input Fast Program", 3, 4, 0, 4, "write"),
+    (0x12, "4-Byte Page Program", 4, 1, 0, 1, "write"),
+    (0x34, "4-Byte Quad Input Fast Program", 4, 1, 0, 4, "write"),
+    (0x3E, "4-Byte Quad Input Extended Fast Program", 4, 4, 0, 4, "write"),
+    (0x52, "32KB Subsector Erase", 3, 1, 0, 0, ""),
+    (0x20, "4KB Subsector Erase", 3, 1, 0, 0, ""),
+    (0xD8, "Sector Erase", 3, 1, 0, 0, ""),
+    (0x21, "4-Byte 4KB Subsector Erase", 4, 1, 0, 0, ""),
+    (0x5C, "4-Byte 32KB Subsector Erase", 4, 1, 0, 0, ""),
+    (0xDC, "4-Byte Sector Erase", 4, 1, 0, 0, ""),
+    (0xC7, "Bulk Erase", 0, 1, 0, 0, ""),
+    (0x60, "Bulk Erase", 0, 1, 0, 0, ""),
+    (0x75, "Program/Erase Suspend", 0, 1, 0, 0, ""),
+    (0x7A, "Program/Erase Resume", 0, 1, 0, 0, ""),
+    (0x4B, "Read OTP Array", 3, 1, 8, 1, "read"),
+    (0x42, "Program OTP Array", 3, 1, 0, 1, "write"),
+    (0x35, "Enter Quad I/O Mode", 0, 1, 0, 0, ""),
+    (0xF5, "Reset Quad I/O Mode", 0, 1, 0, 0, ""),
+    (0xB7, "Enter 4-Byte Address Mode", 0, 1, 0, 0, ""),
+    (0xE9, "Exit 4-Byte Address Mode", 0, 1, 0, 0, ""),
+    (0xB9, "Enter Deep Power-Down", 0, 1, 0, 0, ""),
+    (0xAB, "Release From Deep Power-Down", 0, 1, 0, 0, ""),
+    (0x2D, "Read Sector Protection", 0, 1, 0, 1, "read"),
+    (0x2C, "Program Sector Protection", 0, 1, 0, 1, "write"),
+    (0xE8, "Read Volatile Lock Bits", 3, 1, 0, 1, "read"),
+    (0xE5, "Write Volatile Lock Bits", 3, 1, 0, 1, "write"),
+    (0xE2, "Read Nonvolatile Lock Bits", 4, 1, 0, 1, "read"),
+    (0xE3, "Write Nonvolatile Lock Bits", 4, 1, 0, 0, ""),
+    (0xE4, "Erase Nonvolatile Lock Bits", 0, 1, 0, 0, ""),
+    (0xA7, "Read Global Freeze Bit", 0, 1, 0, 1, "read"),
+    (0xA6, "Write Global Freeze Bit", 0, 1, 0, 0, ""),
+    (0x27, "Read Password", 0, 1, 0, 1, "read"),
+    (0x28, "Write Password", 0, 1, 0, 1, "write"),
+    (0x29, "Unlock Password", 0, 1, 0, 1, "write"),
+    (0x9B, "Interface Activation / CRC", 0, 1, 0, 1, "write"),
 ]
 
 
@@ -91,7 +151,8 @@ def planned(moved: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def fields(moved: DataFrame, plan: DataFrame, names: tuple[str, ...] = ("io0",)) -> DataFrame:
-    """Fields of all frames: kind (CMD, ADDR, DUMMY, DATA), unit in the kind, start, end, value, partial, unknown.
+    """Fields of all frames: kind (CMD, ADDR, DUMMY, DATA), unit in the kind, start, end, value, bytes in
+    the value, partial, unknown.
 
     plan: per frame ``command_lines`` (0: none), ``address_bytes``, ``address_lines``, ``dummy``, ``data_lines``.
     """
@@ -109,8 +170,8 @@ def fields(moved: DataFrame, plan: DataFrame, names: tuple[str, ...] = ("io0",))
     left = (c("_need") - 1 - (o - first - c("unit") * c("_need"))) * c("_lines")
     value = F.when(kind == "DUMMY", F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", _bits(c("_lines"), names), left.cast("int")))
     grouped = own.withColumn("_value", value).withColumn("_unknown", _unknown(c("_lines"), names)).groupBy(*FRAME, "kind", "unit")
-    out = grouped.agg(F.min("edge").alias("start"), F.max("edge").alias("end"), F.sum("_value").alias("value"), F.count("*").alias("_n"), F.first("_need").alias("_need"), F.max("_unknown").alias("unknown"))
-    return out.select(*FRAME, "kind", "unit", "start", "end", "value", (c("_n") < c("_need")).alias("partial"), "unknown")
+    out = grouped.agg(F.min("edge").alias("start"), F.max("edge").alias("end"), F.sum("_value").alias("value"), F.count("*").alias("_n"), F.first("_need").alias("_need"), F.max("_unknown").alias("unknown"), F.first("address_bytes").alias("_b"))
+    return out.select(*FRAME, "kind", "unit", "start", "end", "value", F.when(c("kind") == "ADDR", c("_b")).otherwise(F.lit(1)).cast("int").alias("bytes"), (c("_n") < c("_need")).alias("partial"), "unknown")
 
 
 def raw_plan(framed: DataFrame, lines: int = 1) -> DataFrame:
@@ -135,7 +196,7 @@ def transactions(found: DataFrame, plan: DataFrame, framed: DataFrame) -> DataFr
 
 def find_bytes(found: DataFrame, wanted: list[int]) -> DataFrame:
     """Where bytes follow each other in a frame (address bytes highest first, dummy clocks are none of them)."""
-    size = F.when(F.col("kind") == "ADDR", F.lit(3)).otherwise(F.lit(1))
+    size = F.col("bytes")
     known = found.where("kind <> 'DUMMY' AND NOT partial").withColumn("k", F.explode(F.sequence(F.lit(0), size - 1)))
     byte = F.call_function("shiftright", F.col("value"), (8 * (size - 1 - F.col("k"))).cast("int")).bitwiseAND(F.lit(255))
     rank = F.when(F.col("kind") == "CMD", 0).when(F.col("kind") == "ADDR", 1).otherwise(2)
