@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavespark.functions import times, values
-from wavespark.operators import axis, grids, intervals, joins, measure, runs, spi
+from wavespark.operators import axis, grids, intervals, joins, measure, runs, spi, spi_state
 from wavespark.plans.conditions import S, literal
 from wavespark.sources import csvfile, vcdfile
 
@@ -170,10 +170,10 @@ def test_quad_frame_and_partial(spark):
 
 def test_address_widths_and_erases(spark):
     """A 4-byte read and two erases by their opcodes; then addresses of one byte by a fixed plan."""
-    wave: dict[str, list[int]] = {n: [] for n in ("cs", "sck", "io0")}
+    wave: dict[str, list[int]] = {n: [] for n in ("cs", "sck", "io0", "io1")}
 
     def put(*values):
-        for n, x in zip(wave, values, strict=True):
+        for n, x in zip(wave, (*values, values[-1]), strict=True):
             wave[n].append(x)
 
     put(1, 0, 0)
@@ -184,9 +184,9 @@ def test_address_widths_and_erases(spark):
         put(1, 0, 0)
     data = capture(spark, **wave)
     framed = spi.frames(data)
-    moved = spi.transfers(data, framed)
+    moved = spi.transfers(data, framed, lines=("io0", "io1"))
     plan = spi.planned(moved, spi.command_table(spark))
-    found = spi.fields(moved, plan)
+    found = spi.fields(moved, plan, ("io0", "io1"))
     rows = sorted((r.frame, r.name, r.address, r.data_bytes) for r in spi.transactions(found, plan, framed).collect())
     assert rows == [(0, "4-Byte Read", 0x12345678, 1), (1, "4KB Subsector Erase", 0x1000, 0), (2, "4-Byte Sector Erase", 0x01020304, 0)]
     hits = lambda found, *wanted: sorted(r.frame for r in spi.find_bytes(found, list(wanted)).collect())
@@ -195,6 +195,147 @@ def test_address_widths_and_erases(spark):
     assert hits(narrow, 0, 0x12) == [] and hits(narrow, 0x13, 0x12, 0x34) == [0]
 
 
+def spi_wave(spark, frames, *names, falling=False):
+    """Frames as lists of levels of the lines, one per clock."""
+    wave: dict[str, list[int]] = {n: [] for n in ("cs", "sck", *names)}
+    idle = int(falling)
+
+    def put(*values):
+        for n, x in zip(wave, values, strict=True):
+            wave[n].append(x)
+
+    rest = [0] * len(names)
+    put(1, idle, *rest)
+    for frame in frames:
+        for levels in frame:
+            put(0, idle, *levels)
+            put(0, 1 - idle, *levels)
+        put(1, idle, *rest)
+    return capture(spark, **wave)
+
+
+def bits(text):
+    return [int(b) for b in f"{int(text, 16):0{4 * len(text)}b}"]
+
+
+def test_spi_lanes_and_polarity(spark):
+    """A read answers on io1; an unknown command has both lanes; the clock may sample as it falls, the lowest bit first."""
+    lines = ("io0", "io1")
+    read = list(zip(bits("9F0000"), bits("00EF40"), strict=True))
+    odd = list(zip(bits("AA11"), bits("0022"), strict=True))
+    for falling in (False, True):
+        data = spi_wave(spark, [read, odd], *lines, falling=falling)
+        framed = spi.frames(data)
+        moved = spi.transfers(data, framed, lines=lines, falling=falling)
+        plan = spi.planned(moved, spi.command_table(spark))
+        found = spi.fields(moved, plan, lines)
+        rows = {r.frame: r for r in spi.transactions(found, plan, framed).collect()}
+        assert (rows[0].name, rows[0].data_bytes, rows[1].name, rows[1].data_bytes) == ("Read Id", 2, None, 1)
+        text = lambda lane=None: {r.frame: r.text for r in spi.export_frames(found, lane=lane).collect()}
+        assert text() == {0: "EF 40", 1: "11"} and text("in") == {0: "EF 40", 1: "22"}
+        hits = lambda *b, **how: sorted(r.frame for r in spi.find_bytes(found, list(b), **how).collect())
+        assert hits(0x9F, 0xEF) == [0] and hits(0xAA, 0x22) == [1] and hits(0xAA, 0x11) == [1] and hits(0x9F, data_only=True) == []
+    raw = spi.fields(moved, spi.raw_plan(framed), lines, lowest_first=True)
+    assert [r.value for r in raw.where("frame = 1").orderBy("unit").collect()] == [0x55, 0x88]
+    alone = spi.fields(moved.drop("io1"), plan)
+    assert spi.transactions(alone, plan, framed).where("frame = 0").first().problem  # nothing is wired to the reading line
+
+
+def test_spi_modes(spark):
+    """Four lines and four address bytes until they are taken back, by a command or by a reset; buckets of any size."""
+    lines = ("io0", "io1", "io2", "io3")
+    one = lambda text: [(b, 0, 0, 0) for b in bits(text)]
+    four = lambda text: [tuple((int(h, 16) >> k) & 1 for k in range(4)) for h in text]
+    frames = [one("02123456AA"), one("B7"), one("0212345678AA"), one("35"), four("0212345678AA"), four("E9"), four("02123456AA"), four("F5"), one("02123456AA"), one("B7"), one("66"), one("99"), one("02123456AA"), one("B7"), one("66"), one("05"), one("99"), one("0212345678AA")]
+    data = spi_wave(spark, frames, *lines)
+    framed = spi.frames(data)
+    moved = spi.transfers(data, framed, lines=lines)
+    for size in (1 << 10, 3, 2):
+        plan = spi_state.planned_by_mode(moved, spi.command_table(spark), lines, size)
+        told = {r.frame: r.address for r in spi.transactions(spi.fields(moved, plan, lines), plan, framed).where("opcode = 2").collect()}
+        assert told == {0: 0x123456, 2: 0x12345678, 4: 0x12345678, 6: 0x123456, 8: 0x123456, 12: 0x123456, 17: 0x12345678}, size
+
+
+def test_bits_of_unknown_and_wide_values(spark):
+    wide = "1" + "0" * 98 + "1"
+    data = capture(spark, **{"v[99:0]": [5, wide, "X"]})
+    got = {(r.signal, r.start): r.num if r.txt is None else r.txt for r in runs.expand_bits(data, 100).collect()}
+    assert [got["v[0]", 0], got["v[1]", 0], got["v[2]", 0], got["v[99]", 0], got["v[99]", 1], got["v[50]", 0], got["v[0]", 2]] == [1, 0, 1, 0, 1, 0, "X"] and ("v[0]", 1) not in got
+    up = {r.signal: r.txt or r.num for r in runs.expand_bits(capture(spark, **{"u[4:7]": ["1X0Z"]}), 4).collect()}
+    assert up == {"u[4]": 1, "u[5]": "X", "u[6]": 0, "u[7]": "Z"}
+    hexed = {r.signal: r.txt for r in runs.expand_bits(capture(spark, h=["XA"]), 8, "HEX").where("txt IS NOT NULL").collect()}
+    assert hexed == {f"h[{k}]": "X" for k in range(4, 8)}
+    picked = S("d", 4, source="BINARY").bits("1:0").eq("b01")
+    held = picked.on(points(spark, 3), capture(spark, d=["XX01", "XX1X", 5])).where("holds")
+    assert sorted(r["at"] for r in held.collect()) == [0, 2]
+
+
+def test_signed_literals():
+    assert literal("hFF", "SIGNED", 8) == -1 and literal("d-1", "SIGNED", 8) == -1 and literal("hFF", "SIGNED_MAGNITUDE", 8) == -127 and literal("200", "UNSIGNED", 8) == 200
+    for text, radix in (("d200", "SIGNED"), ("h1FF", "SIGNED"), ("d-1", "UNSIGNED"), ("zz", "HEX")):
+        with pytest.raises(ValueError):
+            literal(text, radix, 8)
+
+
+def test_csv_checks(spark, tmp_path):
+    head = "Sample in Buffer,s[7:0],u\nRadix - UNSIGNED,SIGNED,HEX\n"
+    got, columns = csvfile.read_csv_capture(spark, write(tmp_path / "a.csv", head + '0,255,"1F"\n1,-3,XX\n2,7,3\n'))
+    assert sorted((r.signal, r.start, r.num, r.txt) for r in got.collect()) == [("s[7:0]", 0, -1, None), ("s[7:0]", 1, -3, None), ("s[7:0]", 2, 7, None), ("u", 0, 31, None), ("u", 1, None, "XX"), ("u", 2, 3, None)]
+    assert [c.width for c in columns] == [None, 8, 8]
+    assert [tuple(r) for r in csvfile.read_csv_meta(spark, str(tmp_path / "a.csv")).orderBy("sample").collect()] == [(0, 0), (1, 1), (2, 2)]
+    for row, why in (("0,256,1", "width"), ('0,"1,1', "quoted"), ("0,1", "cells")):
+        with pytest.raises(ValueError, match=why):
+            csvfile.read_csv_capture(spark, write(tmp_path / f"{why}{len(row)}.csv", head + row + "\n"))
+
+
+def test_vcd_errors(spark, tmp_path):
+    head = "$var wire 8 ! data [7:0] $end\n$enddefinitions\n$end\n"
+    good, _, _ = vcdfile.read_vcd_capture(spark, write(tmp_path / "a.vcd", head + "#0 b1\n! $comment 1! b101 $end\n#1\n$dumpvars b11 ! $end #2"))
+    assert sorted((r.start, r.end, r.num) for r in good.collect()) == [(0, 1, 1), (1, 3, 3)]
+    for n, (text, why) in enumerate([("#5\n1!\n#3\n", "below"), ("#0 hello", "hello"), ("#0 b1", "b1")]):
+        with pytest.raises(ValueError, match=why):
+            vcdfile.read_vcd_capture(spark, write(tmp_path / f"{n}.vcd", head + text), size=2)
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_buckets_equal_one_window(spark, size):
+    """Runs, edges, grids, buses and frames in pieces are what they are in one."""
+    import random
+
+    rng = random.Random(4)
+    names = {n: [rng.choice([0, 0, 1, 1, "X"]) for _ in range(40)] for n in ("clk", "a", "b")}
+    data = capture(spark, **names)
+    rows = lambda d: sorted(map(str, d.collect()))
+    samples = runs.decode(data)
+    assert rows(runs.encode(samples, size)) == rows(runs.encode(samples))
+    cut = data.withColumn("part", F.explode(F.sequence("start", F.col("end") - 1))).withColumn("start", F.col("part")).withColumn("end", F.col("part") + 1).drop("part")
+    assert rows(runs.merge_seams(cut, size)) == rows(runs.merge_seams(cut)) == rows(data)
+    assert rows(grids.edges(data, "both", size)) == rows(grids.edges(data, "both"))
+    marks, counts = grids.edges(data), spark.createDataFrame([(0, 40)], "capture_id long, count long")
+    assert rows(grids.edge_grid(marks, counts, False, size=size)) == rows(grids.edge_grid(marks, counts, False))
+    assert rows(grids.clock_statistics(data, size)) == rows(grids.clock_statistics(data))
+    assert rows(runs.assemble_bus(data, ["a", "b"], "ab", size)) == rows(runs.assemble_bus(data, ["a", "b"], "ab"))
+    framed = spi.frames(data, "a", size=size)
+    assert rows(framed) == rows(spi.frames(data, "a"))
+    assert rows(spi.transfers(data, framed, "clk", ("b",), size=size)) == rows(spi.transfers(data, framed, "clk", ("b",)))
+
+
+def test_time_texts(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(times.frequency_text(F.lit(333333333.3))) == "333.333 MHz" and one(times.frequency_text(F.lit(1e9))) == "1 GHz" and one(times.frequency_text(F.lit(12.5))) == "12.5 Hz"
+    assert one(times.nice_step(F.lit(0.0))) == 1.0 and one(times.nice_step(F.lit(1000.0))) == 1000.0 and times.clock_ns("10") == 10
+    assert one(times.seconds_text(F.lit(1.0031005e-3))) == "1,003,100.5 ns" and one(times.ruler_text(F.lit(2.5e-6), 5e-7)) == "2,500 ns"
+    assert str(one(times.time_at(F.lit(2.5), F.lit(10).cast("long"), F.lit(20).cast("long"))).normalize()) == "15" and one(times.between(F.lit(25).cast("long"), F.lit(20).cast("long"), F.lit(None).cast("long"), F.lit(3))) == 8.0
+    signals = spark.createDataFrame([("top/data", 0, 1), ("top/clk_in", 1, 1), ("top/clk_en", 2, 1), ("top/aclk", 3, 1), ("top/myclock", 4, 1), ("top/clk", 5, 8)], "signal string, position int, width int")
+    assert [(r.signal, r.score) for r in grids.clock_candidates(signals).collect()] == [("top/clk_in", 3), ("top/aclk", 3), ("top/clk_en", 2), ("top/myclock", 1), ("top/data", 0)]
+    assert grids.marker_period(7, 3) == (4, 7)
+
+
+def test_wide_values_have_one_form(spark):
+    keys = [spark.range(1).select(values.value_key(values.parse_value(F.lit(t), r)).alias("k")).first().k for t, r in ((str(2**70 + 5), "UNSIGNED"), (f"{2**70 + 5:X}", "HEX"), (str(2**63 - 1), "SIGNED"), (f"{2**63 - 1:X}", "HEX"), (str(-(2**64)), "SIGNED"))]
+    assert keys[0] == keys[1] == f"w:{2**70 + 5:b}" and keys[2] == keys[3] == f"i:{2**63 - 1}" and keys[4] == f"w:-{2**64:b}"
+
+
 def test_command_codes_are_unique():
     assert len({c[0] for c in spi.COMMANDS}) == len(spi.COMMANDS) == 69
 

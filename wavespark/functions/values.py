@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Radix: digits allowed, bits a digit (0: decimal), longest text that surely fits 63 bits.
 RADIX = {"HEX": ("0-9A-F", 4, 15), "BINARY": ("01", 1, 62), "OCTAL": ("0-7", 3, 20), "UNSIGNED": ("0-9", 0, 18), "SIGNED": ("0-9", 0, 18)}
+#: Digits of a decimal that becomes binary digits; longer ones keep their own.
+WIDEST_DECIMAL = 36
 ALIASES = {"BIN": "BINARY", "OCT": "OCTAL", "DEC": "UNSIGNED", "DECIMAL": "UNSIGNED"}
 
 
@@ -43,8 +45,17 @@ def parse_value(text: Column, radix: str) -> Column:
         num = F.when(short, num).otherwise(F.when(F.length(joined) <= 63, F.conv(joined, 2, 10).cast("long")))
         wide = F.when(known & ~short & (F.length(joined) > 63), joined)
     else:
-        num = F.when(short, num).otherwise(F.expr("cast(null as bigint)"))
-        wide = F.when(known & ~short, t)
+        # Longer decimals become numbers or binary digits too, so that a value has one form whatever its radix.
+        n = F.regexp_replace(t, "^-", "").try_cast("decimal(38,0)")
+        half = F.lit(1 << 62).cast("decimal(38,0)")
+        high = F.floor(n / half).cast("decimal(38,0)")
+        high = F.when(high * half > n, high - 1).otherwise(high)  # the quotient is rounded
+        digits = F.concat(F.bin(high.cast("long")), F.lpad(F.bin((n - high * half).cast("long")), 62, "0"))
+        digits = F.regexp_replace(digits, "^0+(?=.)", "")
+        fits = known & ~short & (F.length(F.regexp_replace(t, "^-?0*", "")) <= WIDEST_DECIMAL)
+        num = F.when(short, num).otherwise(F.when(fits, t.try_cast("long")))
+        sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        wide = F.when(fits & t.try_cast("long").isNull(), F.concat(sign, digits)).otherwise(F.when(known & ~short & ~fits, t))
     return F.struct(F.when(known, num).otherwise(none_long).alias("num"), F.when(known, wide).otherwise(none_text).alias("wide"), F.when(~known & unknown, t).otherwise(none_text).alias("txt"))
 
 
@@ -72,6 +83,27 @@ def expand_text(txt: Column, radix: str, width: int) -> Column:
     return F.right(F.concat(F.repeat(pad, F.greatest(F.lit(0), F.lit(width) - F.length(digits))), digits), F.lit(width))
 
 
+def digits_of(num: Column, txt: Column, radix: str, width: int) -> Column:
+    """The binary digits of a value, as many as the signal is wide: of numbers, of wide ones (whose text is binary digits
+    already), and of texts with X, Z or ?."""
+    plain = F.lpad(F.bin(num), width, "0") if width > 62 else binary_text(num, width)
+    number = F.when(num < 0, F.lpad(F.bin(num), width, "1")).otherwise(plain) if width > 62 else plain
+    wide = F.right(F.lpad(txt, F.greatest(F.lit(width), F.length(txt)), F.lit("0")), F.lit(width))
+    return F.coalesce(number, F.when(txt.rlike("^[01]+$") & (F.length(txt) > 63), wide), expand_text(txt, radix, width))
+
+
+def bit_of(digits: Column, offset: int | Column) -> Column:
+    """One of such digits, by its distance from the lowest."""
+    return F.substring(digits, F.length(digits) - offset, F.lit(1))
+
+
+def labels(signal: Column, width: int, offset: Column) -> Column:
+    """The number that a bus gives a bit: by the range at the end of its name, which may rise or fall, or else its place."""
+    left, right = (F.try_element_at(F.regexp_extract_all(signal, F.lit(r"(\d+)(?=\s*:\s*\d+\]$|\]$)"), 1), F.lit(i)).cast("int") for i in (1, 2))
+    ranged = signal.rlike(r"\[\d+\s*:\s*\d+\]$")
+    return F.when(ranged & (left < right), right - offset).when(ranged, right + offset).otherwise(offset)
+
+
 def bit(num: Column, offset: int | Column) -> Column:
     offset = F.lit(offset) if isinstance(offset, int) else offset
     return F.getbit(num, offset.cast("int")).cast("long")

@@ -21,9 +21,10 @@ def bucket_of(position: Column, size: int = BUCKET) -> Column:
     return F.floor(position / F.lit(size)).cast("long")
 
 
-def _before(summary: DataFrame, keys: Sequence[str], how: dict[str, Column]) -> DataFrame:
-    """For every bucket an aggregate over those before it, per key."""
-    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+def _before(summary: DataFrame, keys: Sequence[str], how: dict[str, Column], after: bool = False) -> DataFrame:
+    """For every bucket an aggregate over those before (after) it, per key."""
+    ends = (1, Window.unboundedFollowing) if after else (Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*ends)
     return summary.select(*keys, "_bucket", *[c.over(w).alias(n) for n, c in how.items()])
 
 
@@ -59,6 +60,19 @@ def fill_forward(df: DataFrame, order: Sequence[Column], position: str, values:
     return out.drop("_bucket", *[f"_carry_{v}" for v in values])
 
 
+def neighbour(df: DataFrame, by: str, values: Sequence[str], keys: Sequence[str] = (), size: int | None = BUCKET, name: str = "_prior", after: bool = False) -> DataFrame:
+    """Adds a struct of the values of the row before (after) in the order of a column, per key; null at the end."""
+    held, step = F.struct(*[F.col(v) for v in values]), F.lead if after else F.lag
+    if size is None:
+        return df.withColumn(name, step(held).over(Window.partitionBy(*keys).orderBy(by)))
+    own = df.withColumn("_bucket", bucket_of(F.col(by), size))
+    near, pick = (F.min_by, F.first) if after else (F.max_by, F.last)
+    ends = own.groupBy(*keys, "_bucket").agg(near(held, F.col(by)).alias("_end"))
+    carried = _before(ends, keys, {"_carry": pick("_end", ignorenulls=True)}, after)
+    inside = step(held).over(Window.partitionBy(*keys, "_bucket").orderBy(by))
+    return _with(own.withColumn("_inside", inside), carried, keys).withColumn(name, F.coalesce("_inside", "_carry")).drop("_bucket", "_inside", "_carry")
+
+
 def merge_touching(df: DataFrame, keys: Sequence[str] = (), size: int | None = BUCKET) -> DataFrame:
     """Intervals ``[start, end)`` that overlap or touch become one, per key."""
     if size is None:

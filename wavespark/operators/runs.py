@@ -1,19 +1,19 @@
 """Run-length intervals: encode, decode, dictionary, and lookups of values and changes.
 
 A run says that ``num`` (or, if that is null, ``txt``) holds on [start, end); runs have ``capture_id`` and ``signal``.
-Windows are partitioned by both, so captures and signals are worked on side by side.
+Captures and signals are worked on side by side; a ``size`` cuts each of them into buckets too, and rows and values that
+a bucket must know of its neighbours are carried over (``axis``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("capture_id", "signal")
-
+from ..functions.values import bit_of, digits_of, labels
+from .axis import fill_forward, neighbour
 
-def by_start() -> WindowSpec:
-    return Window.partitionBy(*KEYS).orderBy("start")
+KEYS = ("capture_id", "signal")
 
 
 def unlike(a: Column, b: Column) -> Column:
@@ -21,14 +21,19 @@ def unlike(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
 
 
-def encode(samples: DataFrame) -> DataFrame:
+def encode(samples: DataFrame, size: int | None = None) -> DataFrame:
     """samples: capture_id, signal, sample, num, txt, in dense order per signal. The rows where the value changes; sample
-    0 always starts a run, and the last run ends where the samples do."""
-    w = Window.partitionBy(*KEYS).orderBy("sample")
-    change = F.lag("sample").over(w).isNull() | unlike(F.lag("num").over(w), F.col("num")) | unlike(F.lag("txt").over(w), F.col("txt"))
-    marked = samples.withColumn("_new", change).withColumn("_count", F.max("sample").over(Window.partitionBy(*KEYS)) + 1)
-    kept = marked.where("_new").withColumnRenamed("sample", "start")
-    return kept.select(*KEYS, "start", F.coalesce(F.lead("start").over(by_start()), F.col("_count")).alias("end"), "num", "txt")
+    0 always starts a run, and the last run ends where the samples do. size: samples in a bucket, for signals too long
+    for one task."""
+    told = neighbour(samples, "sample", ["num", "txt"], KEYS, size)
+    change = F.col("_prior").isNull() | unlike(F.col("_prior.num"), F.col("num")) | unlike(F.col("_prior.txt"), F.col("txt"))
+    kept = told.withColumn("_new", change)
+    if size is None:
+        kept = kept.withColumn("_count", F.max("sample").over(Window.partitionBy(*KEYS)) + 1).where("_new")
+    else:
+        kept = kept.where("_new").join(samples.groupBy(*KEYS).agg((F.max("sample") + 1).alias("_count")), list(KEYS))
+    ended = neighbour(kept.withColumnRenamed("sample", "start").drop("_prior", "_new"), "start", ["start"], KEYS, size, "_next", after=True)
+    return ended.select(*KEYS, "start", F.coalesce("_next.start", "_count").alias("end"), "num", "txt")
 
 
 def long_form(wide: DataFrame, signals: dict[str, Column]) -> DataFrame:
@@ -46,11 +51,17 @@ def decode(runs: DataFrame) -> DataFrame:
     return runs.select(*KEYS, F.explode(F.sequence("start", F.col("end") - 1)).alias("sample"), "num", "txt")
 
 
-def merge_seams(parts: DataFrame) -> DataFrame:
+def merge_seams(parts: DataFrame, size: int | None = None) -> DataFrame:
     """Runs of consecutive pieces of one capture: equal neighbours at the seams become one."""
-    same = F.lag("num").over(by_start()).eqNullSafe(F.col("num")) & F.lag("txt").over(by_start()).eqNullSafe(F.col("txt")) & F.lag("start").over(by_start()).isNotNull()
-    kept = parts.withColumn("_end", F.max("end").over(Window.partitionBy(*KEYS))).withColumn("_same", same).where("NOT _same")
-    return kept.withColumn("end", F.coalesce(F.lead("start").over(by_start()), "_end")).drop("_end", "_same")
+    told = neighbour(parts, "start", ["num", "txt"], KEYS, size)
+    same = F.col("_prior").isNotNull() & F.col("_prior.num").eqNullSafe(F.col("num")) & F.col("_prior.txt").eqNullSafe(F.col("txt"))
+    told = told.withColumn("_same", same)
+    if size is None:
+        kept = told.withColumn("_stop", F.max("end").over(Window.partitionBy(*KEYS))).where("NOT _same")
+    else:
+        kept = told.where("NOT _same").join(parts.groupBy(*KEYS).agg(F.max("end").alias("_stop")), list(KEYS))
+    ended = neighbour(kept.drop("_prior", "_same"), "start", ["start"], KEYS, size, "_next", after=True)
+    return ended.withColumn("end", F.coalesce("_next.start", "_stop")).drop("_next", "_stop")
 
 
 def dictionary(runs: DataFrame) -> DataFrame:
@@ -79,29 +90,28 @@ def search(runs: DataFrame, num: int, sample: int, forward: bool = True, wrap: b
     return found.select(*KEYS, start.alias("start"), (F.col("near").isNull() & start.isNotNull()).alias("wrapped")).where("start IS NOT NULL")
 
 
-def expand_bits(runs: DataFrame, width: int) -> DataFrame:
-    """The bits of a bus as signals of their own, run-length encoded again (unknown values are X in every bit)."""
-    each = runs.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    value = F.getbit("num", F.col("offset")).cast("long")
-    child = each.select("capture_id", F.format_string("%s[%d]", "signal", "offset").alias("signal"), "start", "end", value.alias("num"), F.when(F.col("num").isNull(), F.lit("X")).alias("txt"))
-    return merge_seams(child)
+def expand_bits(runs: DataFrame, width: int, radix: str = "BINARY", size: int | None = None) -> DataFrame:
+    """The bits of a bus as signals of their own, run-length encoded again. A bit of a value that is unknown in part is 0 or
+    1, or else X, Z or ?. A range at the end of the bus's name says how its bits are called."""
+    digits = digits_of(F.col("num"), F.col("txt"), radix, width)
+    each = runs.withColumn("_digits", digits).withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    d = bit_of(F.col("_digits"), F.col("offset"))
+    name = F.concat(F.regexp_replace("signal", r"\[\d+\s*:\s*\d+\]$", ""), F.lit("["), labels(F.col("signal"), width, F.col("offset")).cast("string"), F.lit("]"))
+    child = each.select("capture_id", name.alias("signal"), "start", "end", F.when(d.isin("0", "1"), d.cast("long")).alias("num"), F.when(~d.isin("0", "1"), d).alias("txt"))
+    return merge_seams(child, size)
 
 
-def assemble_bus(runs: DataFrame, members: list[str], name: str) -> DataFrame:
+def assemble_bus(runs: DataFrame, members: list[str], name: str, size: int | None = None) -> DataFrame:
     """One bus of several one-bit signals, the highest bit first: at each change of any, all members' values."""
-    from .axis import fill_forward
-
     of = runs.where(F.col("signal").isin(members))
-    at = of.groupBy("capture_id", "start").agg(F.max("end").alias("_far"), *[F.max(F.when(F.col("signal") == m, F.coalesce(F.col("num").cast("string"), "txt"))).alias(f"_m{i}") for i, m in enumerate(members)])
+    at = of.groupBy("capture_id", "start").agg(*[F.max(F.when(F.col("signal") == m, F.coalesce(F.col("num").cast("string"), "txt"))).alias(f"_m{i}") for i, m in enumerate(members)])
     cols = [f"_m{i}" for i in range(len(members))]
-    digits = F.concat(*cols)
-    filled = fill_forward(at, [F.col("start")], "start", cols, ["capture_id"], None).withColumn("_d", digits)
+    filled = fill_forward(at, [F.col("start")], "start", cols, ["capture_id"], size).withColumn("_d", F.concat(*cols))
     known = F.col("_d").rlike("^[01]+$")
     value = filled.select("capture_id", F.lit(name).alias("signal"), "start", F.when(known, F.conv("_d", 2, 10).cast("long")).alias("num"), F.when(~known, F.col("_d")).alias("txt"))
     ends = of.groupBy("capture_id").agg(F.max("end").alias("count"))
-    w = Window.partitionBy("capture_id").orderBy("start")
-    whole = value.join(ends, "capture_id").withColumn("end", F.coalesce(F.lead("start").over(w), F.col("count"))).drop("count")
-    return merge_seams(whole.select(*KEYS, "start", "end", "num", "txt"))
+    whole = neighbour(value, "start", ["start"], KEYS, size, "_next", after=True).join(ends, "capture_id").withColumn("end", F.coalesce("_next.start", "count"))
+    return merge_seams(whole.select(*KEYS, "start", "end", "num", "txt"), size)
 
 
 def seam_mismatches(left: DataFrame, right: DataFrame, sample: int) -> DataFrame:

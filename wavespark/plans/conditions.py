@@ -16,28 +16,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import mask, offsets_of, select_bits, sign_magnitude, signed
+from ..functions.values import bit_of, digits_of, mask, offsets_of, select_bits, sign_magnitude, signed
 from ..operators.joins import as_of
 
 BASES = {"h": 16, "b": 2, "d": 10, "0x": 16, "0b": 2, "0o": 8}
 
 
+SIGNED = ("SIGNED", "SIGNED_MAGNITUDE")
+
+
 def literal(value: int | str, radix: str = "HEX", width: int | None = None) -> int:
-    """``hFF``, ``b01``, ``d-3``, ``0x1F`` say their base; other texts are read in the signal's display radix."""
-    if isinstance(value, int):
-        return value
-    low = value.strip().lower()
-    for mark in ("0x", "0b", "0o", "d", "h", "b"):
-        if low.startswith(mark) and len(low) > len(mark):
+    """``hFF``, ``b01``, ``d-3``, ``0x1F`` say their base; other texts are read in the signal's display radix.
+
+    A number is a value of the signal. Digits of a base that is a power of two are a pattern of its bits instead, so on
+    a signed byte ``hFF`` is -1. What no value of the signal can be is an error.
+    """
+    pattern = False
+    if isinstance(value, str):
+        low = value.strip().lower().replace("_", "")
+        for mark in ("0x", "0b", "0o", "d", "h", "b", ""):
             try:
-                n = int(low[len(mark) :], BASES[mark])
-                break
+                base = BASES[mark] if mark else {"HEX": 16, "BINARY": 2, "OCTAL": 8}.get(radix, 10)
+                n = int(low.removeprefix(mark), base) if low.startswith(mark) else None
             except ValueError:
                 continue
+            if n is not None:
+                pattern = base != 10 and n >= 0
+                break
+        else:
+            raise ValueError(f"{value!r} is no number")
     else:
-        n = int(low, {"HEX": 16, "BINARY": 2, "OCTAL": 8}.get(radix, 10))
-    if width is not None and not -(1 << (width - 1)) <= n < 1 << width:
+        n = value
+    if width is None:
+        return n
+    has_sign = radix in SIGNED
+    low_end = 0 if pattern or not has_sign else -(1 << (width - 1))
+    high_end = 1 << (width - 1) if has_sign and not pattern else 1 << width
+    if not low_end <= n < high_end:
         raise ValueError(f"{value} doesn't fit {width} bits")
+    if has_sign and pattern and n >> (width - 1):
+        return n - (1 << width) if radix == "SIGNED" else -(n & mask(width - 1))
     return n
 
 
@@ -79,13 +97,15 @@ def _column(name: str, before: bool, value: str) -> str:
 
 @dataclass(frozen=True)
 class S:
-    """A signal in a condition. The display radix says how literals are read and whether the value has a sign."""
+    """A signal in a condition. The display radix says how literals are read and whether the value has a sign, and
+    ``source`` in which radix the signal's texts with X or Z are written."""
 
     name: str
     width: int = 1
     radix: str = "HEX"
     before: bool = False
     offsets: tuple[int, ...] = ()
+    source: str = "BINARY"
 
     @property
     def previous(self) -> S:
@@ -93,23 +113,32 @@ class S:
 
     def bits(self, text: str) -> S:
         """An ordered selection of bits; a selection has no sign."""
-        return replace(self, offsets=tuple(offsets_of(text, self.width)), radix="HEX" if self.radix.startswith("SIGNED") else self.radix)
+        return replace(self, offsets=tuple(offsets_of(text, self.width)), radix="UNSIGNED" if self.radix in SIGNED else self.radix)
+
+    def _raw(self, part: str) -> Column:
+        return F.col(_column(self.name, self.before, part))
+
+    def _picked(self) -> Column:
+        """The digits of a selection from a value that is a text: one with X or Z, or a wide one."""
+        digits = digits_of(F.lit(None).cast("long"), self._raw("txt"), self.source, self.width)
+        return F.concat(*[bit_of(digits, o) for o in self.offsets])
 
     @property
     def num(self) -> Column:
-        raw = F.col(_column(self.name, self.before, "num"))
+        raw = self._raw("num")
         if self.offsets:
-            return select_bits(raw, self.offsets)
+            picked = self._picked()
+            return F.coalesce(select_bits(raw, self.offsets), F.when(picked.rlike("^[01]{1,63}$"), F.conv(picked, 2, 10).cast("long")))
         if self.radix == "SIGNED":
             return signed(raw, self.width)
         return sign_magnitude(raw, self.width) if self.radix == "SIGNED_MAGNITUDE" else raw.bitwiseAND(F.lit(mask(self.width)))
 
     @property
     def txt(self) -> Column:
-        raw = F.col(_column(self.name, self.before, "txt"))
         if not self.offsets:
-            return raw
-        return F.concat(*[F.substring(F.lpad(raw, self.width, "0"), self.width - o, 1) for o in self.offsets])
+            return self._raw("txt")
+        picked = self._picked()
+        return F.when(~picked.rlike("^[01]{1,63}$"), picked)
 
     @property
     def _reads(self) -> frozenset[tuple[str, bool]]:

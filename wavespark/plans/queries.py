@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import times as tm
 from ..functions import values as v
-from ..operators import axis, grids, intervals, joins, measure, runs, spi
+from ..operators import axis, grids, intervals, joins, measure, runs, spi, spi_state
 from ..sources import csvfile, vcdfile
-from ..sources.files import shared_folder
+from ..sources.files import shared_folder, write_in_order
 from . import captures as cap
 from .conditions import S
 
@@ -58,22 +58,9 @@ def rle_event_type(spark, sf):
 
 @query(f"WITH {U}, g AS (SELECT CAST(0 AS BIGINT) AS capture_id, row_number() OVER (ORDER BY event_id) - 1 AS sample, etype FROM u), {rle('etype', frm='g')} SELECT start, \"end\", num FROM r")
 def rle_long_axis(spark, sf):
-    """One axis, encoded in pieces whose seams are mended: runs of each bucket, then a carry over buckets."""
-    rows = cap.whole(spark, sf)
-    own = rows.withColumn("_b", axis.bucket_of(F.col("sample"), 4096))
-    first = F.lag("etype").over(Window.partitionBy("_b").orderBy("sample"))
-    heads = own.withColumn("_was", first).where("_was IS NULL OR _was <> etype").select("sample", "etype")
-    last = own.groupBy("_b").agg(F.max_by("etype", "sample").alias("_last"), (F.max("sample") + 1).alias("_stop"))
-    before = last.select((F.col("_b") + 1).alias("_b"), F.col("_last").alias("_prior"))
-    marked = heads.withColumn("_b", axis.bucket_of(F.col("sample"), 4096)).join(before, "_b", "left")
-    start = F.col("sample") % 4096 == 0
-    kept = marked.where(~(start & F.coalesce(F.col("_prior") == F.col("etype"), F.lit(False))))
-    w = Window.partitionBy("_b").orderBy("sample")
-    firsts = kept.groupBy("_b").agg(F.min("sample").alias("_first"))
-    following = firsts.select("_b", F.lead("_first").over(Window.orderBy("_b")).alias("_next"))
-    stop = last.agg(F.max("_stop").alias("_count"))
-    out = kept.join(following, "_b", "left").crossJoin(F.broadcast(stop))
-    return out.select(F.col("sample").alias("start"), F.coalesce(F.lead("sample").over(w), "_next", "_count").alias("end"), F.col("etype").alias("num"))
+    """One axis, encoded in pieces whose seams are mended."""
+    got = runs.encode(runs.long_form(cap.whole(spark, sf), {"etype": F.col("etype")}), size=4096)
+    return got.select("start", "end", "num")
 
 
 @query(f"WITH {U} SELECT capture_id, count(*) AS samples, CAST(sum(etype) AS BIGINT) AS total FROM u GROUP BY 1")
@@ -148,6 +135,17 @@ def bits_of_bus(spark, sf):
     return got.select("capture_id", F.regexp_extract("signal", r"\[(\d)\]", 1).cast("long").alias("bit"), "start", "end", "num")
 
 
+@query(f"""WITH {U}, b AS (SELECT capture_id * 10 + o AS capture_id, sample, CASE WHEN etype = 3 THEN substr('ZX1', 3 - o, 1) ELSE CAST((etype >> o) & 1 AS VARCHAR) END AS bit FROM u, (SELECT unnest([0, 1, 2]) AS o)), {rle('bit', frm='b')}
+SELECT capture_id // 10 AS capture_id, capture_id % 10 AS bit, start, "end", num AS value FROM r""")
+def bits_of_unknown_bus(spark, sf):
+    """A bus some of whose values are unknown in part."""
+    rows = cap.by_user(spark, sf)
+    odd = F.col("etype") == 3
+    samples = rows.select("capture_id", F.lit("bus[2:0]").alias("signal"), "sample", F.when(~odd, F.col("etype")).alias("num"), F.when(odd, F.lit("ZX1")).alias("txt"))
+    got = runs.expand_bits(runs.encode(samples), 3)
+    return got.select("capture_id", F.regexp_extract("signal", r"\[(\d)\]", 1).cast("long").alias("bit"), "start", "end", F.coalesce(F.col("num").cast("string"), "txt").alias("value"))
+
+
 @query("SELECT event_id, ((user_id >> 2) & 1) * 8 + ((user_id >> 7) & 1) * 4 + ((user_id >> 6) & 1) * 2 + ((user_id >> 5) & 1) AS picked, CAST(user_id & 240 AS BIGINT) >> 4 AS high FROM events")
 def bit_select_pack(spark, sf):
     pick = lambda t: v.select_bits(F.col("user_id"), v.offsets_of(t, 11))
@@ -206,6 +204,15 @@ def condition_cross_signal(spark, sf):
     return _held(spark, sf, S("etype", 3).eq(S("uid", 11).bits("2:0")) | S("val", 16).bits("3:2").gt(S("etype", 3)), "etype", "uid", "val")
 
 
+@query(f"WITH {U}, x AS (SELECT *, CASE WHEN (val * 7) & 255 >= 128 THEN ((val * 7) & 255) - 256 ELSE (val * 7) & 255 END AS s FROM u) SELECT capture_id, sample AS at FROM x WHERE s = -7 OR s < -100 OR s >= 90 OR (s >> 6) & 3 = 1")
+def condition_signed(spark, sf):
+    """Patterns and numbers against a signed byte, and a selection of its bits."""
+    x = S("x", 8, "SIGNED")
+    rows = cap.by_user(spark, sf).withColumn("x", (F.col("val") * 7).bitwiseAND(F.lit(255)))
+    got = (x.eq("hF9") | x.lt("d-100") | x.ge(90) | x.bits("7:6").eq(1)).on(cap.every_point(rows), cap.runs(rows, "x"))
+    return got.where("holds").select("capture_id", "at")
+
+
 # Grids
 
 
@@ -400,20 +407,23 @@ def viewport_runs(spark, sf):
 # SPI
 
 
-def _wave(frames: DataFrame) -> DataFrame:
-    """Runs of cs, sck and io0 that carry each frame's ``bits``; frames: capture_id, frame, bits."""
+def _wave(frames: DataFrame, lines: dict[str, str] = {"io0": "bits"}) -> DataFrame:
+    """Runs of cs, sck and lines that carry each frame's bits; frames: capture_id, frame, and a column of bits per line, of
+    one length."""
     w = Window.partitionBy("capture_id").orderBy("frame")
-    length = 2 * F.length("bits") + 4
-    placed = frames.withColumn("at", F.sum(length).over(w) - F.length("bits") * 2 - 2).withColumn("stop", F.col("at") + 2 * F.length("bits"))
+    size = F.length("bits")
+    placed = frames.withColumn("at", F.sum(2 * size + 4).over(w) - size * 2 - 2).withColumn("stop", F.col("at") + 2 * size)
     first = F.col("frame") == 0
     none = F.lit(None).cast("string")
     row = lambda signal, start, end, num: F.struct(F.lit(signal).alias("signal"), start.cast("long").alias("start"), end.cast("long").alias("end"), num.cast("long").alias("num"))
     at, stop = F.col("at"), F.col("stop")
-    idle = F.array(*[row(s, F.when(first, F.lit(0)).otherwise(at - 4), at, F.lit(x)) for s, x in (("cs", 1), ("sck", 0), ("io0", 0))], row("cs", at, stop, F.lit(0)))
-    bit = lambda k: F.substring("bits", k + 1, 1)
-    each = F.flatten(F.transform(F.sequence(F.lit(0), F.length("bits") - 1), lambda k: F.array(row("sck", at + 2 * k, at + 2 * k + 1, F.lit(0)), row("sck", at + 2 * k + 1, at + 2 * k + 2, F.lit(1)), row("io0", at + 2 * k, at + 2 * k + 2, bit(k)))))
+    rest = [("cs", 1), ("sck", 0), *[(n, 0) for n in lines]]
+    idle = F.array(*[row(s, F.when(first, F.lit(0)).otherwise(at - 4), at, F.lit(x)) for s, x in rest], row("cs", at, stop, F.lit(0)))
+    clock = lambda k: [row("sck", at + 2 * k, at + 2 * k + 1, F.lit(0)), row("sck", at + 2 * k + 1, at + 2 * k + 2, F.lit(1))]
+    wires = lambda k: [row(n, at + 2 * k, at + 2 * k + 2, F.substring(c, k + 1, 1)) for n, c in lines.items()]
+    each = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.array(*clock(k), *wires(k))))
     last = placed.groupBy("capture_id").agg(F.max("stop").alias("stop"))
-    tail = last.select("capture_id", F.explode(F.array(*[row(s, F.col("stop"), F.col("stop") + 2, F.lit(x)) for s, x in (("cs", 1), ("sck", 0), ("io0", 0))])).alias("r"))
+    tail = last.select("capture_id", F.explode(F.array(*[row(s, F.col("stop"), F.col("stop") + 2, F.lit(x)) for s, x in rest])).alias("r"))
     body = placed.select("capture_id", F.explode(F.concat(idle, each)).alias("r"))
     return runs.merge_seams(body.unionByName(tail).select("capture_id", "r.*", none.alias("txt")))
 
@@ -435,6 +445,7 @@ def spi_raw_roundtrip(spark, sf):
     return found.select("capture_id", "frame", "unit", "value")
 
 
+LINES = ("io0", "io1")
 OPCODE = "[159, 170, 11, 6, 3][etype + 1]"
 #: Flash-like frames: read id, an unknown code, fast read, write enable, read.
 CODES = (0x9F, 0xAA, 0x0B, 0x06, 0x03)
@@ -443,11 +454,14 @@ CODES = (0x9F, 0xAA, 0x0B, 0x06, 0x03)
 def _commands(spark, sf):
     rows = cap.by_user(spark, sf)
     code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("etype") + 1).cast("int"))
-    data, address = _bits(F.col("uid"), 8), _bits(F.col("event_id"), 24)
-    rest = F.when(F.col("etype").isin(0, 1), data).when(F.col("etype") == 2, F.concat(address, F.lit("0" * 8), data)).when(F.col("etype") == 3, F.lit("")).otherwise(F.concat(address, data))
-    wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), F.concat(_bits(code.cast("long"), 8), rest).alias("bits")))
+    data, address, none = _bits(F.col("uid"), 8), _bits(F.col("event_id"), 24), F.lit("0" * 8)
+    rest = F.when(F.col("etype") == 0, none).when(F.col("etype") == 1, data).when(F.col("etype") == 2, F.concat(address, none, none)).when(F.col("etype") == 3, F.lit("")).otherwise(F.concat(address, none))
+    sent = F.concat(_bits(code.cast("long"), 8), rest)
+    # What is read comes back on the other line, under zeros.
+    back = F.when(F.col("etype").isin(0, 2, 4), F.concat(F.repeat(F.lit("0"), F.length(sent) - 8), data)).otherwise(F.repeat(F.lit("0"), F.length(sent)))
+    wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), back.alias("back")), {"io0": "bits", "io1": "back"})
     framed = spi.frames(wave)
-    moved = spi.transfers(wave, framed)
+    moved = spi.transfers(wave, framed, lines=LINES)
     return framed, moved, spi.planned(moved, spi.command_table(spark))
 
 
@@ -455,7 +469,7 @@ def _commands(spark, sf):
   CASE WHEN etype IN (2, 4) THEN event_id & 16777215 END AS address, CASE WHEN etype = 3 THEN 0 ELSE 1 END AS data_bytes, CASE WHEN etype <> 3 THEN lpad(upper(to_hex(uid & 255)), 2, '0') END AS text FROM u""")
 def spi_command_roundtrip(spark, sf):
     framed, moved, plan = _commands(spark, sf)
-    found = spi.fields(moved, plan)
+    found = spi.fields(moved, plan, LINES)
     out = spi.transactions(found, plan, framed).join(spi.export_frames(found), spi.FRAME, "left")
     return out.select("capture_id", F.col("frame").cast("long").alias("frame"), "opcode", "name", "address", F.col("data_bytes").cast("int").alias("data_bytes"), "text")
 
@@ -468,7 +482,36 @@ def spi_format_histogram(spark, sf):
 @query(f"WITH {U}, b AS (SELECT capture_id, sample AS frame, CASE WHEN etype IN (0, 1) THEN [{OPCODE}, uid & 255] WHEN etype = 3 THEN [6] ELSE [{OPCODE}, (event_id >> 16) & 255, (event_id >> 8) & 255, event_id & 255, uid & 255] END AS l FROM u), p AS (SELECT *, unnest(range(1, len(l))) AS i FROM b) SELECT capture_id, frame FROM p WHERE l[i] = 0 AND l[i + 1] = 1")
 def spi_query_bytes(spark, sf):
     framed, moved, plan = _commands(spark, sf)
-    return spi.find_bytes(spi.fields(moved, plan), [0, 1]).select("capture_id", "frame")
+    return spi.find_bytes(spi.fields(moved, plan, LINES).where("main"), [0, 1]).select("capture_id", "frame")
+
+
+@query(f"""WITH {U} SELECT capture_id, sample AS frame, [183, 3, 233, 3, 2, 19][sample % 6 + 1] AS opcode, CASE sample % 6 WHEN 0 THEN NULL WHEN 1 THEN event_id + 16777216 WHEN 2 THEN NULL WHEN 5 THEN event_id + 16777216 ELSE event_id & 16777215 END AS address,
+  CASE WHEN sample % 6 IN (0, 2) THEN 0 ELSE 1 END AS data_bytes FROM u""")
+def spi_modes(spark, sf):
+    """Reads and writes whose addresses are as long as the last change of mode says."""
+    rows = cap.by_user(spark, sf).withColumn("k", (F.col("sample") % 6).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, (0xB7, 0x03, 0xE9, 0x03, 0x02, 0x13))), F.col("k") + 1).cast("long")
+    address = F.when(F.col("k").isin(1, 5), _bits(F.col("event_id") + (1 << 24), 32)).when(F.col("k").isin(3, 4), _bits(F.col("event_id"), 24)).otherwise(F.lit(""))
+    data = F.when(F.col("k").isin(0, 2), F.lit("")).otherwise(_bits(F.col("uid"), 8))
+    sent = F.concat(_bits(code, 8), address, data)
+    wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), F.repeat(F.lit("1"), F.length(sent)).alias("back")), {"io0": "bits", "io1": "back"})
+    framed = spi.frames(wave)
+    moved = spi.transfers(wave, framed, lines=LINES)
+    plan = spi_state.planned_by_mode(moved, spi.command_table(spark), LINES)
+    out = spi.transactions(spi.fields(moved, plan, LINES), plan, framed)
+    return out.select("capture_id", "frame", "opcode", "address", F.col("data_bytes").cast("int").alias("data_bytes"))
+
+
+@query(f"""WITH {U} SELECT capture_id, count(*) AS frames, CAST(sum(CASE WHEN etype = 3 THEN 0 ELSE 1 END) AS BIGINT) AS data_bytes, CAST(0 AS BIGINT) AS problems, count(*) FILTER (etype = 1) AS unknown FROM u GROUP BY 1""")
+def spi_summary(spark, sf):
+    framed, moved, plan = _commands(spark, sf)
+    return spi.summary(spi.transactions(spi.fields(moved, plan, LINES), plan, framed))
+
+
+@query(f"WITH {U} SELECT capture_id, sample AS frame FROM u WHERE etype IN (2, 4) AND event_id & 16777215 BETWEEN 100 AND 400")
+def spi_query_addr(spark, sf):
+    framed, moved, plan = _commands(spark, sf)
+    return spi.find_values(spi.fields(moved, plan, LINES), "ADDR", 100, 400).select("capture_id", "frame")
 
 
 # Sources
@@ -491,3 +534,38 @@ def vcd_roundtrip(spark, sf):
     changes = rows.select("tick", F.explode(F.array(F.struct(F.lit("etype[2:0]").alias("signal"), F.col("etype").alias("num")), F.struct(F.lit("err").alias("signal"), F.col("err").alias("num")))).alias("s")).select("tick", "s.*")
     vcdfile.write_vcd_capture(changes, {"etype[2:0]": 3, "err": 1}, path, "1us")
     return vcdfile.read_vcd_capture(spark, path)[0].select("signal", "start", "end", "num")
+
+
+@query(f"WITH {U}, g AS (SELECT CAST(0 AS BIGINT) AS capture_id, row_number() OVER (ORDER BY event_id) - 1 AS sample, CASE WHEN (val * 7) & 255 >= 128 THEN ((val * 7) & 255) - 256 ELSE (val * 7) & 255 END AS s FROM u), {rle('s', 'r', 'g')} SELECT start, \"end\", num FROM r")
+def csv_signed(spark, sf):
+    """Patterns of signed bytes in quoted cells."""
+    rows = cap.whole(spark, sf).select(F.col("sample").alias("k"), F.concat_ws(",", F.col("sample").cast("string"), F.concat(F.lit('"'), (F.col("val") * 7).bitwiseAND(F.lit(255)).cast("string"), F.lit('"'))).alias("value"))
+    head = spark.createDataFrame([(-2, "Sample in Buffer,s[7:0]"), (-1, "Radix - UNSIGNED,SIGNED")], "k long, value string")
+    path = shared_folder(spark, "csv")
+    write_in_order(head.unionByName(rows), ["k"], path)
+    return csvfile.read_csv_capture(spark, path)[0].select("start", "end", "num")
+
+
+@query(f"WITH {U}, g AS (SELECT CAST(0 AS BIGINT) AS capture_id, row_number() OVER (ORDER BY event_id) - 1 AS sample, etype, err FROM u), {rle('etype', 'r1', 'g')}, {rle('err', 'r2', 'g')} SELECT 'top/etype[2:0]' AS signal, start, \"end\", num FROM r1 UNION ALL SELECT 'top/err', start, \"end\", num FROM r2")
+def vcd_layouts(spark, sf):
+    """A dump in changing layouts: identifiers on the next line, comments that look like changes, several changes a line."""
+    rows = cap.whole(spark, sf)
+    vector, scalar, time = F.concat(F.lit("b"), F.bin("etype")), F.concat(F.col("err").cast("string"), F.lit('"')), F.format_string("#%d", "tick")
+    layouts = [
+        F.array(time, vector, F.lit("b!"), scalar),
+        F.array(F.concat(time, F.lit(" $comment 1! b101 b! #5 $end "), vector, F.lit(" b! "), scalar)),
+        F.array(time, F.lit("r1.5"), F.lit("r"), scalar, F.lit("$comment"), F.lit('0" r'), F.lit("$end"), F.concat(vector, F.lit("  b!"))),
+    ]
+    text = F.element_at(F.array(*layouts), (F.col("sample") % 3 + 1).cast("int"))
+    body = rows.select("sample", F.posexplode(text).alias("k", "value"))
+    head = ["$timescale 1us $end", "$scope module top $end", "$var wire 3 b! etype[2:0] $end", '$var wire 1 " err $end', "$var real 64 r x $end", "$upscope $end", "$enddefinitions $end"]
+    heads = spark.createDataFrame([(-1, i, h) for i, h in enumerate(head)], "sample long, k int, value string")
+    path = shared_folder(spark, "vcd")
+    write_in_order(heads.unionByName(body), ["sample", "k"], path)
+    return vcdfile.read_vcd_capture(spark, path)[0].select("signal", "start", "end", "num")
+
+
+@query("SELECT event_id, format('{:.6g}', CASE WHEN h >= 1e9 THEN h / 1e9 WHEN h >= 1e6 THEN h / 1e6 WHEN h >= 1e3 THEN h / 1e3 ELSE h END) || CASE WHEN h >= 1e9 THEN ' GHz' WHEN h >= 1e6 THEN ' MHz' WHEN h >= 1e3 THEN ' kHz' ELSE ' Hz' END AS text FROM (SELECT event_id, (CAST(event_id AS DOUBLE) + 1) * (user_id + 1) * 37.0::DOUBLE / 3 AS h FROM events)")
+def frequency_texts(spark, sf):
+    hertz = (F.col("event_id").cast("double") + 1) * (F.col("user_id") + 1) * F.lit(37.0) / 3
+    return cap.table(spark, sf, "events").select("event_id", tm.frequency_text(hertz).alias("text"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import csv
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import parse_value, radix_of
-from ..operators.runs import encode
-from .files import lines, numbered
+from ..operators.axis import BUCKET
+from ..operators.runs import encode, merge_seams
+from .files import first_lines, lines, numbered, settled, write_in_order
 
 META = ("sample in buffer", "sample in window")
 
@@ -38,44 +40,96 @@ def specs(names: list[str], radices: list[str]) -> list[ColumnSpec]:
     return out
 
 
-def read_csv_capture(spark: SparkSession, path: str, capture_id: int = 0) -> tuple[DataFrame, list[ColumnSpec]]:
-    """Runs of a capture file and its columns. Cells are run-length encoded as text first, so only changes are parsed.
-
-    Blank lines and lines of empty cells are skipped; a row of another number of cells or a cell that is no value of its
-    radix is an error that names the first such line.
-    """
-    head = [r.value.lstrip("﻿").rstrip("\r") for r in spark.read.text(path).take(2)]
+def _rows(spark: SparkSession, path: str) -> tuple[DataFrame, list[ColumnSpec]]:
+    """Data rows ``sample``, ``row`` (line number from 0), ``cells``, and the columns."""
+    head = [line.lstrip("\ufeff").rstrip("\r") for line in first_lines(spark, path, 2)]
     if len(head) < 2:
         raise ValueError("a capture has two header lines")
-    columns = specs([c.strip() for c in head[0].split(",")], [c.strip() for c in head[1].split(",")])
-    body = numbered(lines(spark, path), "row").where("row > 1").withColumn("cells", F.split(F.regexp_replace("value", "\r$", ""), ","))
-    body = body.where("trim(replace(value, ',', '')) <> ''")
-    wrong = body.where(F.size("cells") != len(columns)).agg(F.min("row")).first()[0]
-    if wrong is not None:
-        raise ValueError(f"line {wrong + 1} doesn't have {len(columns)} cells")
-    dense = numbered(body.select("block", "line", "cells", "row"), "sample")
+    columns = specs(*[[c.strip() for c in next(csv.reader([line]))] for line in head])
+    body = numbered(lines(spark, path), "row").where("row > 1").withColumn("value", F.regexp_replace("value", "\r$", ""))
+    body = body.where("trim(replace(value, ',', '')) <> ''").withColumn("cells", _cells(F.col("value")))
+    open_ = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    wrong = body.agg(F.min(F.when(open_, F.col("row"))).alias("open"), F.min(F.when(F.size("cells") != len(columns), F.col("row"))).alias("size")).first()
+    if wrong.open is not None:
+        raise ValueError(f"line {wrong.open + 1} has a quoted cell that doesn't end; cells of several lines are not read")
+    if wrong.size is not None:
+        raise ValueError(f"line {wrong.size + 1} doesn't have {len(columns)} cells")
+    return numbered(body.select("block", "line", "cells", "row"), "sample"), columns
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line; quotes around a cell are taken off, and two inside it are one."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',\s*("(?:[^"]|"")*"|[^,]*)'), 1)
+    bare = F.transform(quoted, lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.split(line, ","))
+
+
+def _checked(parsed: DataFrame, columns: list[ColumnSpec]) -> tuple[DataFrame, list[ColumnSpec]]:
+    """parsed: ``signal``, ``start``, ``txt``, ``v``. Raises for the first cell that is no value or doesn't fit the width that
+    its column names; patterns of negative numbers get their sign, and columns without a width the least that holds all."""
+    named = [(c.name, c.radix, c.width) for c in columns if not c.meta]
+    spec = lambda i, kind: F.create_map(*[F.lit(x).cast(t) for c in named for x, t in ((c[0], "string"), (c[i], kind))])[F.col("signal")]
+    own = parsed.withColumn("_radix", spec(1, "string")).withColumn("_width", spec(2, "int"))
+    num, width = F.col("v.num"), F.col("_width")
+    power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), F.least(n, F.lit(62)))
+    fits = F.when(num.isNotNull(), (width >= 63) | (num < power(width)) & (num >= -power(width - 1))).when(F.col("v.wide").isNotNull(), F.length("v.wide") <= width)
+    none = F.col("v.num").isNull() & F.col("v.wide").isNull() & F.col("v.txt").isNull()
+    # Texts with X or Z take whole digits: a number as wide as they are may hold more bits than the column.
+    size = F.length(F.bin(F.when(num < 0, -(num + 1)).otherwise(num))) + ((num < 0) | (F.col("_radix") == "SIGNED")).cast("int")
+    digits = F.when(F.col("_radix") == "HEX", 4).when(F.col("_radix") == "OCTAL", 3).otherwise(1)
+    need = F.coalesce(size, F.length("v.wide"), F.length("v.txt") * digits)
+    told = own.groupBy("signal").agg(
+        F.min(F.when(none, F.struct("start", "txt"))).alias("bad"),
+        F.min(F.when(width.isNotNull() & ~F.coalesce(fits, F.lit(True)), F.struct("start", "txt"))).alias("over"),
+        F.max(need).alias("need"),
+    )
+    needs = {}
+    for r in told.collect():  # a row per column of the file
+        for what, why in ((r.bad, "is no value"), (r.over, "doesn't fit its width")):
+            if what is not None:
+                raise ValueError(f"sample {what['start']}, {r.signal}: {what['txt']!r} {why}")
+        needs[r.signal] = r.need
+    columns = [c if c.meta or c.width is not None else replace(c, width=max(1, needs.get(c.name) or 1)) for c in columns]
+    wrap = (F.col("_radix") == "SIGNED") & (width <= 62) & (num >= power(width - 1))
+    signed = F.when(wrap, num - power(width)).otherwise(num)
+    return own.select("capture_id", "signal", "start", "end", signed.alias("num"), F.coalesce("v.wide", "v.txt").alias("txt")), columns
+
+
+def read_csv_capture(spark: SparkSession, path: str, capture_id: int = 0, size: int | None = BUCKET) -> tuple[DataFrame, list[ColumnSpec]]:
+    """Runs of a capture file (or folder of parts) and its columns, with their widths. Cells are run-length encoded as text
+    first, so only changes are parsed.
+
+    Blank lines and lines of empty cells are skipped; a row of another number of cells, a cell that is no value of its
+    radix and one that doesn't fit the width its column names are errors that name the first such place. Cells may be
+    quoted, within a line. size: samples in a bucket.
+    """
+    dense, columns = _rows(spark, path)
     names = F.array(*[F.lit(c.name) for c in columns])
-    cells = dense.select(F.lit(capture_id).cast("long").alias("capture_id"), "sample", "row", F.posexplode("cells").alias("column", "cell"))
+    cells = dense.select(F.lit(capture_id).cast("long").alias("capture_id"), "sample", F.posexplode("cells").alias("column", "cell"))
     keep = [i for i, c in enumerate(columns) if not c.meta]
     signals = cells.where(F.col("column").isin(keep)).select("capture_id", F.element_at(names, F.col("column") + 1).alias("signal"), "sample", F.lit(None).cast("long").alias("num"), F.trim("cell").alias("txt"))
+    signals = settled(signals, "csv-cells")
     value = None
     for c in columns:
         one = parse_value(F.col("txt"), c.radix)
         value = F.when(F.col("signal") == c.name, one) if value is None else value.when(F.col("signal") == c.name, one)
-    parsed = encode(signals).withColumn("v", value)
-    bad = parsed.where("v.num IS NULL AND v.wide IS NULL AND v.txt IS NULL").agg(F.min(F.struct("start", "signal", "txt"))).first()[0]
-    if bad is not None:
-        raise ValueError(f"sample {bad['start']}, {bad['signal']}: {bad['txt']!r} is no value")
-    from ..operators.runs import merge_seams
+    runs, columns = _checked(settled(encode(signals, size).withColumn("v", value), "csv-runs"), columns)
+    return merge_seams(runs, size), columns
+
 
-    return merge_seams(parsed.select("capture_id", "signal", "start", "end", F.col("v.num").alias("num"), F.coalesce("v.wide", "v.txt").alias("txt"))), columns
+def read_csv_meta(spark: SparkSession, path: str) -> DataFrame:
+    """``sample`` and the columns about the buffer, as integers."""
+    dense, columns = _rows(spark, path)
+    picked = [F.trim(F.get("cells", F.lit(i))).cast("long").alias(c.name) for i, c in enumerate(columns) if c.meta]
+    return dense.select("sample", *picked)
 
 
 def write_csv_capture(wide: DataFrame, signals: dict[str, str], path: str) -> None:
-    """The samples of one capture as such a file; signals: column name to radix. The file's order is that of samples."""
+    """The samples of one capture as a folder of parts in the order of samples, written side by side; signals: column name
+    to radix."""
     text = {"HEX": lambda c: F.hex(c), "BINARY": lambda c: F.bin(c)}
     cells = [F.col("sample").cast("string")] + [text.get(r, lambda c: c.cast("string"))(F.col(n)) for n, r in signals.items()]
     rows = wide.select(F.col("sample").alias("k"), F.concat_ws(",", *cells).alias("value"))
     spark = wide.sparkSession
     head = spark.createDataFrame([(-2, ",".join(["Sample in Buffer", *signals])), (-1, ",".join(["Radix - UNSIGNED", *[r for r in signals.values()]]))], "k long, value string")
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    write_in_order(head.unionByName(rows), ["k"], path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,26 +11,50 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; below a local one only where none is named."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``; below one of this machine only where Spark runs on it alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='wavespark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read again: what follows goes over them several times, and a lost executor
+    costs a read."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``value`` with ``block`` (the split it is in) and ``line`` (its place in the split) of one text file.
+    """``value`` with ``block`` (the split it is in) and ``line`` (its place in the split) of a text file, or of the files
+    of a folder in the order of their names.
 
-    Splits are known by their first byte, so the order is that of the file whatever the order in which splits are read.
+    Splits are known by their file and first byte, so the order is that of the text whatever the order in which splits
+    are read.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("_id"))
+    block = F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
+    raw = spark.read.text(path).select(block.alias("block"), "value", F.monotonically_increasing_id().alias("_id"))
     return raw.withColumn("line", F.row_number().over(Window.partitionBy("block").orderBy("_id")) - 1).drop("_id")
 
 
+def first_lines(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first lines of a file, or of the first file of a folder."""
+    files = sorted(spark.read.text(path).inputFiles())
+    return [r.value for r in spark.read.text(files[0]).limit(n).collect()] if files else []
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
-    """Adds the place in the file, from 0: one count per split is summed over the splits before."""
+    """Adds the place in the text, from 0: one count per split is summed over the splits before."""
     counts = df.groupBy("block").agg(F.count("*").alias("_n"))
     before = counts.select(F.col("block").alias("_b"), F.coalesce(F.sum("_n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy("block").orderBy("line")) - 1
     return df.withColumn("_place", place).join(before, F.col("block") == F.col("_b")).withColumn(name, F.col("_before") + F.col("_place")).drop("_b", "_before", "_place", "_n")
+
+
+def write_in_order(rows: DataFrame, order: list[str], path: str) -> None:
+    """Column ``value`` as text files whose names are in the order of the columns ``order``, which are written side by side."""
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
