@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavespark.llm import order_minhash, recompression
@@ -102,8 +103,12 @@ def test_banded_alignment():
         assert order_minhash.edits_within(x, y, 40) == d
         assert order_minhash.edits_within(x, y, d) == d
         assert d == 0 or order_minhash.edits_within(x, y, d - 1) is None
-        if a and b:
-            assert order_minhash._rows(x, y, max(d, 8, abs(len(a) - len(b)))) == d
+        if d:
+            assert order_minhash._banded(a, b, max(d, abs(len(a) - len(b)))) == d
+    for n in (500, 1500):  # beyond the first band
+        x = np.array([rng.randint(0, 10**6) for _ in range(n)], np.int32)
+        y = np.delete(x, range(7, n, 6)).astype(np.int32)
+        assert order_minhash.edits_within(x, y, n // 5) == n - len(y) and order_minhash.edits_within(x, y, n - len(y) - 1) is None
 
 
 def varied(words, rng, n):
@@ -162,7 +167,8 @@ def test_pairs_near_the_threshold_are_found(spark):
     assert sum(got[2 * p + 1] == 2 * p for p in range(pairs)) >= 0.97 * pairs
 
 
-def test_pairs_in_crowds_are_found(spark):
+@pytest.mark.parametrize("most", [2048, 10])
+def test_pairs_in_crowds_are_found(spark, most):
     """Texts of which half or more are passages that many unlike ones share, in different selections; a few have a like one."""
     rng = random.Random(13)
     passages = [[f"p{i}-{j}" for j in range(45)] for i in range(4)]
@@ -178,17 +184,36 @@ def test_pairs_in_crowds_are_found(spark):
     rng.shuffle(ids)
     assert all(edits(docs[a], docs[b]) <= 0.2 * 180 for a, b in like)
     rows = [(i, " ".join(t)) for i, t in zip(ids, docs, strict=True)]
-    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), most_in_block=most).collect()}
     truth = {i: i for i in ids} | {max(ids[a], ids[b]): min(ids[a], ids[b]) for a, b in like}
     assert sum(got[i] != truth[i] for i in ids) <= 1
 
 
-def test_bound_by_a_longer_text_between():
-    """Two parts of a text that are both like it are further apart than twice what either of them allows."""
-    x = np.arange(100, dtype=np.int32)
-    a, y = x[20:], x[:80]
-    apart = order_minhash.edits_within(a, y, 100)
-    assert apart == 40 > order_minhash.allowed(a, y, 0.4) and order_minhash.reach(a, y, 0.2) >= apart
+def test_signatures_bound_the_distance():
+    """No signature may call a pair further apart than it is, whatever the lengths."""
+    rng = np.random.default_rng(5)
+    for n in (1, 30, 300, 1000, 1100, 9000):
+        for _ in range(8):
+            a = rng.integers(0, 2**63, 400, dtype=np.uint64)[np.minimum(rng.geometric(0.02, n), 400) - 1]
+            b = np.delete(a, rng.integers(0, n, n // 9))
+            b[rng.integers(0, len(b), max(1, n // 20))] = rng.integers(0, 2**63, dtype=np.uint64)
+            x, y = order_minhash.signature(a), order_minhash.signature(b)
+            bound = order_minhash.least_apart(x, y)
+            assert bound <= order_minhash.least_edits(a, b) and order_minhash.least_apart(x, x) == 0
+            assert order_minhash.all_apart(pa.array([x, y]), pa.array([y, y])).tolist() == [bound, 0]
+    assert order_minhash.least_apart(order_minhash.signature(np.full(5000, 7, np.uint64)), order_minhash.signature(np.full(400, 7, np.uint64))) == 4600
+
+
+@pytest.mark.parametrize("most", [2048, 10])
+def test_a_crowd_of_near_misses(spark, most):
+    """A group of many copies around a centre that is not the smallest: copies unlike the smallest are found through others."""
+    rng = random.Random(21)
+    centre = [f"c{i}" for i in range(60)]
+    docs = [centre if g == 50 else spread_edits(centre, rng, 8, f"e{g}-") for g in range(120)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), most_in_block=most).collect()}
+    assert all(edits(docs[50], d) <= 12 for d in docs) and sum(edits(docs[0], d) > 12 for d in docs) > 90
+    assert sum(c != 0 for c in got.values()) <= 1
 
 
 def test_near_duplicates_edges(spark):

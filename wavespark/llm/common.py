@@ -6,6 +6,7 @@ Executors come and go, so lineage is cut only by Parquet tables in the folder th
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only where none is named (tests on one machine) a folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='wavespark-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -36,6 +39,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.paths: dict[int, str] = {}
+        self.kept: list[DataFrame] = []  # so that no other table gets the id of a written one
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write and reread: the result's lineage is a scan."""
@@ -47,15 +52,21 @@ class Scratch:
         finally:
             self.spark.conf.unset(self.CLEAN) if was is None else self.spark.conf.set(self.CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        self.paths[id(out)] = path
+        self.kept.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_bound(share: float) -> int:
+    """The 64-bit hash below which that share of all hashes lie."""
+    return min(2**63 - 1, int(share * 2**64) - 2**63)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -76,7 +87,9 @@ def components(scratch: Scratch, links: DataFrame, most_rounds: int = 60) -> Dat
     one = F.col("a") != F.col("b")
     edges = scratch.write(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(one).distinct())
     before = None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds + 1):
+        if turn == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(one).distinct()

@@ -5,15 +5,13 @@
    its number of earlier occurrences - and keeps them in text order. Equal samples put documents into one bucket; order
    and repeats count, so it follows edit similarity where plain MinHash follows sets. The number of functions follows
    from the recall wanted at the threshold (``planned``); texts under SHORT words are sampled by single words.
-3. In each bucket the smallest id is compared with all others: the words of both are aligned within a band as wide as
-   the threshold allows (1 - edits / words of the longer >= threshold).
-4. Those of a bucket that are unlike its smallest are all compared with each other if they are FEW. If they are more, they
-   are sketched again, by the k-mers that none of the smallest of such crowds has, in rounds until no crowd is left.
-   Documents that merely share a passage part there; like ones stay together. No large bucket's pairs are ever listed.
-5. What is like the smallest may be like another that isn't: an alignment obeys the triangle inequality, so only those
-   whose edits to the smallest differ by no more than the threshold allows can be, and where they aren't one component
-   yet they are aligned if they have words enough in common: each word of the longer that the other lacks is an edit.
-6. Components of the links are the classes.
+3. In each bucket the smallest id meets all others. A pair whose bags of words alone differ too much - told from
+   signatures of fixed size - is dropped; the words of the others are aligned within a band as wide as the threshold
+   allows (1 - edits / words of the longer >= threshold). Components of these links are the first classes.
+4. What shares a bucket but no class yet meets too, without listing a crowd's pairs: documents that met the same smallest
+   one are a group. The signatures of a group up to MOST_IN_BLOCK are compared by one task; larger groups meet by their
+   rare words (``_by_rare_words``, which loses no pair within the threshold). Alignment judges as before.
+5. Components of all links are the classes.
 
 Defined cases: null ids take no part (null class, kept); a text without words (null, empty, blank) is a class of its
 own; rows that share an id are one document, of which the least text is read, and each row gets its class; an empty
@@ -22,23 +20,25 @@ table gives an empty table. Other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 from .words import WordHashes, digest, find_words, mix, mix2
 
-#: Cells of a table of diagonals; wider alignments go row by row.
-CELLS = 8_000_000
 #: Texts of fewer words are sampled by single words: an edit would cost them too many of their k-mers.
 SHORT = 40
-#: Unlike documents of one bucket that are compared all with all.
-FEW = 8
+#: Places of one word in a text from which on they are kept as one number.
+COMMON = 64
+#: Documents of one group whose signatures one task compares; larger groups meet by their rare words.
+MOST_IN_BLOCK = 2048
 
 
 def kmers(words: np.ndarray, k: int) -> np.ndarray:
@@ -65,22 +65,15 @@ def planned(threshold: float, recall: float, k: int, ell: int) -> int:
 
 
 class OrderSketch:
-    def __init__(self, k: int = 2, ell: int = 3, sketches: int = 42, seed: int = 11, threshold: float = 0.8):
+    def __init__(self, k: int = 2, ell: int = 2, sketches: int = 19, seed: int = 11, threshold: float = 0.8):
         self.k, self.ell, self.sketches, self.threshold = k, ell, sketches, threshold
         rng = np.random.default_rng(seed)
         self.seeds = rng.integers(0, 2**63, sketches, dtype=np.uint64)
         self.odd = rng.integers(0, 2**62, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def of(self, words: np.ndarray, without: list[np.ndarray] | None = None) -> np.ndarray:
-        """Names of all samples of the words, or of what none of the others has."""
-        out = [np.empty(0, np.int64)]
-        for k in self.sizes(len(words)):
-            grams = kmers(words, k)
-            if without:
-                grams = grams[~np.isin(grams, np.concatenate([kmers(x, k) for x in without]))]
-            if len(grams):
-                out.append(self.sample(grams) ^ np.int64(k))
-        return np.concatenate(out)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Names of all samples of the words."""
+        return np.concatenate([self.sample(kmers(words, k)) ^ np.int64(k) for k in self.sizes(len(words))])
 
     def sizes(self, n: int) -> list[int]:
         """By which k a text of n words is sampled: two texts that may be alike have one in common."""
@@ -129,97 +122,121 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     least = max(1, least_edits(a, b))
     if least > limit:
         return None
-    band = max(least, 8)
+    band = max(least, 64)  # a narrow band first: few edits are common
     while True:
         band = min(band, limit)
-        d = _diagonals(a, b, band) if (2 * band + 1) * (len(a) + 1) <= CELLS else _rows(a, b, band)
+        d = _banded(a.tolist(), b.tolist(), band)
         if d is not None or band >= limit:
             return d
-        band *= 2
+        band *= 8
 
 
-def _diagonals(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    """Furthest-reaching alignment: after e edits, how far along a each diagonal of the band gets."""
+def _banded(a: list[int], b: list[int], band: int) -> int | None:
+    """Edit distance along the band of diagonals -band to band, a column at a time; None if it is more than band.
+
+    A column's steps down are bits (vp: +1, vn: -1) of one number, from the band's upper to its lower end, which moves a
+    row down with each column. The distance is followed on the lower end and then along the last row.
+    """
+    more = [-1] * (band + 1 - len(a))  # the lower end starts in a row: a common end changes no distance
+    a, b = a + more, b + more
     n, m = len(a), len(b)
-    wide = np.full(n + 2 * band, -1, np.int64)
-    size = max(0, min(m, n + band))
-    wide[band : band + size] = b[:size]
-    unlike = np.lib.stride_tricks.sliding_window_view(wide, n) != a
-    place = np.arange(n, dtype=np.int32)
-    stop = np.minimum.accumulate(np.where(unlike, place, np.int32(n))[:, ::-1], axis=1)[:, ::-1]
-    stop = np.hstack([stop, np.full((2 * band + 1, 1), n, np.int32)])
-    k = np.arange(-band, band + 1)
-    most = np.minimum(n, m - k)
-    rows, goal = np.arange(2 * band + 1), m - n + band
-    low = -(10**9)
-    far = np.full(2 * band + 3, low, np.int64)
-    start = 0
-    for e in range(band + 1):
-        if e == 0:
-            new = np.full(2 * band + 1, low, np.int64)
-            new[band] = start
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i + 1 + band)
+    # Common words keep a number of all their places; one for each word would take memory by the square of the length.
+    common = {x: sum(1 << p for p in rows) for x, rows in places.items() if len(rows) >= COMMON}
+    full, low = (1 << 2 * band + 1) - 1, 1 << 2 * band
+    vp, vn, d = full >> band << band, 0, band
+    for j in range(1, m + 1):
+        if b[j - 1] in common:
+            x = common[b[j - 1]] >> j & full
+        else:
+            x = 0
+            for p in places.get(b[j - 1], ()):
+                if 0 <= p - j <= 2 * band:
+                    x |= 1 << p - j
+        d0 = ((x & vp) + vp ^ vp | x | vn) & full
+        hp, hn = vn | full & ~(d0 | vp), d0 & vp
+        if j <= n - band:
+            d += not d0 & low
         else:
-            new = np.maximum(np.maximum(far[1:-1] + 1, far[:-2]), far[2:] + 1)
-        new = np.minimum(new, most)
-        ok = (new >= 0) & (new + k >= 0)
-        new[ok] = stop[rows[ok], new[ok]]
-        new[~ok] = low
-        new = np.minimum(new, np.where(ok, most, low))
-        if new[goal] >= n:
-            return e
-        far[1:-1] = new
-    return None
-
-
-def _rows(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
-    """The same row by row, for bands too wide for a table."""
-    n, m, width = len(a), len(b), 2 * band + 1
-    far, step = 10**9, np.arange(width)
-    cost = np.where((step - band >= 0) & (step - band <= m), step - band, far)
-    wide = np.full(n + width + 1, -1, np.int64)
-    size = max(0, min(m, n + band))
-    wide[band : band + size] = b[:size]
-    for i in range(1, n + 1):
-        at = i - band + step
-        take = np.minimum(cost + (wide[i - 1 : i - 1 + width] != a[i - 1]), np.r_[cost[1:], far] + 1)
-        take = np.where((at >= 1) & (at <= m), take, np.where(at == 0, i, far))
-        cost = np.minimum.accumulate(take - step) + step
-        cost = np.where((at >= 0) & (at <= m), cost, far)
-    d = int(cost[m - n + band])
+            row = 1 << n - j + band
+            d += bool(hp & row) - bool(hn & row)
+        vp, vn = hn | full & ~(d0 >> 1 | hp), d0 >> 1 & hp
     return d if d <= band else None
 
 
-def allowed(a: np.ndarray, b: np.ndarray, share: float) -> int:
-    """Edits that make up a share of the longer sequence."""
-    return int(share * max(len(a), len(b)) + 1e-9)
+def allowed(a: int, b: int, share: float) -> int:
+    """Edits that make up a share of the longer of two sequences of so many words."""
+    return int(share * max(a, b) + 1e-9)
+
+
+def signature(words: np.ndarray) -> bytes:
+    """How often the words fall into each of some slots - four for a word, from 256 to 2048, and up to 8192 in very long
+    texts - led by the slots' power of two and the width of a count. Words have hashes of 64 bits; the slots of a small
+    signature are sums of those of a large one."""
+    power = min(max(8, (4 * len(words)).bit_length()), 11 if len(words) <= 2048 else 13)
+    count = np.bincount((mix(words) >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power)
+    kind = np.uint8 if count.max(initial=0) < 256 else np.uint32
+    return bytes([power, kind().itemsize]) + count.astype(kind).tobytes()
+
+
+def counts_of(mark: bytes) -> np.ndarray:
+    return np.frombuffer(mark, np.uint8 if mark[1] == 1 else np.uint32, offset=2).astype(np.int64)
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """Edits that two texts are apart at least, by their signatures: the true bags differ as much or more."""
+    x, y = counts_of(a), counts_of(b)
+    n = min(len(x), len(y))
+    d = x.reshape(n, -1).sum(axis=1) - y.reshape(n, -1).sum(axis=1)
+    return int(max(d[d > 0].sum(), -d[d < 0].sum()))
 
 
-def reach(a: np.ndarray, b: np.ndarray, share: float) -> int:
-    """Edits between two texts that are like one and the same third one, which may be longer than both."""
-    third = int(min(len(a), len(b)) / (1 - share) + 1e-9) if share < 1 else len(a) + len(b)
-    return sum(int(share * max(n, third) + 1e-9) for n in (len(a), len(b)))
+#: Bytes of the least signature: 256 slots with counts of one byte.
+USUAL = 258
+
+
+def all_apart(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """``least_apart`` of two columns; signatures of the usual size at once."""
+    usual = (np.asarray(pc.binary_length(a)) == USUAL) & (np.asarray(pc.binary_length(b)) == USUAL)
+    out = np.empty(len(a), np.int64)
+    at = np.flatnonzero(usual)
+    if len(at):
+        x, y = (np.frombuffer(b"".join(c.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), USUAL)[:, 2:].astype(np.int16) for c in (a, b))
+        d = x - y
+        out[at] = np.maximum(np.maximum(d, 0).sum(axis=1, dtype=np.int64), np.maximum(-d, 0).sum(axis=1, dtype=np.int64))
+    for i in np.flatnonzero(~usual).tolist():
+        out[i] = least_apart(a[i].as_py(), b[i].as_py())
+    return out
+
+
+def _lists(arrays: list[np.ndarray], kind: type) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(x) for x in arrays])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).astype(kind) if arrays else np.empty(0, kind)))
 
 
 def _sketched(docs: DataFrame, sketch: OrderSketch) -> DataFrame:
-    """docs: ``id``, ``text``. Adds number of words, digest and sketch; leaves the text behind."""
+    """docs: ``id``, ``text``. Number of words, digest, names of the samples and signature; the text stays behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                sizes, marks, names = [], [], []
+                sizes, marks, names, bags = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     words = hashes.of(find_words(text or ""))
                     sizes.append(len(words))
                     marks.append(digest(words))
-                    if len(words):
-                        names.append(sketch.of(words))
-                ends = np.r_[0, np.cumsum([len(sketch.sizes(n)) * (n > 0) for n in sizes])] * sketch.sketches
-                flat = pa.array(np.concatenate(names) if names else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["id", "n", "c1", "c2", "sketch"])
+                    names.append(np.unique(sketch.of(words)) if len(words) else np.empty(0, np.int64))
+                    bags.append(signature(words))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(sizes, pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), _lists(names, np.int64), pa.array(bags, pa.binary())],
+                    names=["id", "n", "c1", "c2", "keys", "bag"],
+                )
 
-    return docs.mapInArrow(run, "id long, n int, c1 long, c2 long, sketch array<long>")
+    return docs.mapInArrow(run, "id long, n int, c1 long, c2 long, keys array<long>, bag binary")
 
 
 def _as_words(docs: DataFrame) -> DataFrame:
@@ -228,86 +245,157 @@ def _as_words(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                # 32 bits are enough inside one pair of texts.
-                words = [(hashes.of(find_words(t or "")) & np.uint64(0x7FFFFFFF)).astype(np.int32) for t in batch.column(1).to_pylist()]
-                ends = np.r_[0, np.cumsum([len(w) for w in words])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(words) if words else np.empty(0, np.int32)))], names=["id", "words"])
+                # 31 bits are enough inside one pair or group of texts.
+                words = [hashes.of(find_words(t or "")) & np.uint64(0x7FFFFFFF) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(words, np.int32)], names=["id", "words"])
 
     return docs.mapInArrow(run, "id long, words array<int>")
 
 
-FAR, LINK, MAYBE = 0, 1, 2
-
-
-def _bags(docs: DataFrame) -> DataFrame:
-    """docs: ``id``, ``words``. The words as a set: each is hashed with its number of earlier occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bags = [kmers(np.asarray(w.values).astype(np.uint64), 1).view(np.int64) for w in batch.column(1)]
-            ends = np.r_[0, np.cumsum([len(b) for b in bags])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bags) if bags else np.empty(0, np.int64)))], names=["id", "bag"])
-
-    return docs.mapInArrow(run, "id long, bag array<long>")
-
-
-def _compared(pairs: DataFrame, words: DataFrame, share: float, each: bool = False, bound=allowed) -> DataFrame:
-    """pairs: ``a``, ``b`` (one row per ``b``, which has one ``a`` a sketch at most, unless ``each`` pair has its own row).
-    What ``a`` is to ``b``, how many edits away, if that is within bound, and the words of ``b``."""
+def _possible(pairs: DataFrame, bags: DataFrame, share: float) -> DataFrame:
+    """pairs: ``a``, ``b``; bags: ``id``, ``n``, ``bag``. Those pairs that their signatures allow to be links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                found = []
-                for i in range(batch.num_rows):
-                    id_, b, parts = batch.column(0)[i].as_py(), np.asarray(batch.column(1)[i].values), batch.column(2)[i].values
-                    ids, texts = parts.field(0).to_pylist(), parts.field(1)
-                    for j, hub in enumerate(ids):
-                        a = np.asarray(texts[j].values)
-                        edits = edits_within(a, b, bound(a, b, share))
-                        found.append((hub, id_, LINK if edits is not None else MAYBE if least_edits(a, b) <= reach(a, b, share) else FAR, edits, len(b)))
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["a", "b", "kind", "edits", "n"])
-
-    return _texts_of_both(pairs, words, each).mapInArrow(run, "a long, b long, kind int, edits int, n int")
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                longer = np.maximum(np.asarray(batch.column(2)), np.asarray(batch.column(3)))
+                ok = all_apart(batch.column(4), batch.column(5)) <= (share * longer + 1e-9).astype(np.int64)
+                yield batch.select([0, 1]).filter(pa.array(ok))
 
+    side = lambda s: bags.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("bag").alias(f"bag{s}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(_as_long(F.col("na"), F.col("nb"), share))
+    return near.select("a", "b", "na", "nb", "baga", "bagb").mapInArrow(run, "a long, b long")
 
-def _texts_of_both(pairs: DataFrame, words: DataFrame, each: bool = False) -> DataFrame:
-    left, right = words.select(F.col("id").alias("a"), F.col("words").alias("wa")), words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    by = ["b", "a"] if each else ["b"]
-    hubs = pairs.join(left, "a").groupBy(*by).agg(F.collect_list(F.struct(F.col("a"), "wa")).alias("hubs"))
-    return hubs.join(right, "b").select("b", "wb", "hubs")
 
+def _within_groups(members: DataFrame, share: float) -> DataFrame:
+    """members: ``a``, ``id``, ``root``, ``n``, ``bag``. Pairs ``a``, ``b`` of one group of MOST_IN_BLOCK at most, but of different
+    roots, that their signatures allow to be links. Every member travels once, and only such pairs are listed."""
 
-def _beyond(pairs: DataFrame, words: DataFrame, sketch: OrderSketch) -> DataFrame:
-    """pairs: ``a``, ``b``. Samples of what ``b`` has beyond all its ``a``: ``id``, ``key``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                held.append(batch)
+                if sum(b.num_rows for b in held) < 4 * MOST_IN_BLOCK:
+                    continue
+            if not held:
+                continue
+            rows = pa.concat_batches(held)
+            group = np.asarray(rows.column(0))
+            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            whole = len(group) if batch is None else int(starts[-1])  # the last group may go on
+            for s, e in zip(starts, [*starts[1:], len(group)], strict=True):
+                if e <= whole:
+                    a, b = _block(rows.slice(s, e - s), share)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            held = [rows.slice(whole)] if whole < len(group) else []
+
+    dealt = members.select("a", "id", "root", "n", "bag").repartition("a").sortWithinPartitions("a", "n")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _block(rows: pa.RecordBatch, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the possible pairs of a group; its rows are in the order of their length."""
+    ids, root, n, marks = np.asarray(rows.column(1)), np.asarray(rows.column(2)), np.asarray(rows.column(3)).astype(np.int64), rows.column(4).to_pylist()
+    bags = np.stack([counts_of(m).reshape(256, -1).sum(axis=1) for m in marks])
+    bags = bags.astype(np.uint8 if bags.max() < 256 else np.int64)
+    limit = (share * n + 1e-9).astype(np.int64)  # of pairs in which this is the longer one
+    first = np.searchsorted(n, n - limit)  # shorter texts are too short for it
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for j in range(1, len(ids)):
+        at = np.arange(first[j], j)
+        at = at[root[at] != root[j]]
+        if len(at):
+            common = np.minimum(bags[at], bags[j]).sum(axis=1, dtype=np.int64)
+            at = at[n[j] - common <= limit[j]]
+            if len(marks[j]) > USUAL:
+                at = np.array([i for i in at.tolist() if least_apart(marks[i], marks[j]) <= limit[j]], np.int64)
+            found.append((ids[at], np.full(len(at), ids[j])))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _as_long(x: Column, y: Column, share: float) -> Column:
+    """Texts of so many words may be alike."""
+    return F.abs(x - y) <= F.floor(F.greatest(x, y) * F.lit(share) + F.lit(1e-9))
+
+
+def _linked(pairs: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """pairs: ``a``, ``b``. Those within the edits allowed, by banded alignment of the words of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            a, b, ok = batch.column(2), batch.column(3), np.zeros(batch.num_rows, bool)
             for i in range(batch.num_rows):
-                texts = batch.column(2)[i].values.field(1)
-                without = [np.asarray(texts[j].values).astype(np.uint64) for j in range(len(texts))]
-                own = np.unique(sketch.of(np.asarray(batch.column(1)[i].values).astype(np.uint64), without))
-                ids.append(np.full(len(own), batch.column(0)[i].as_py(), np.int64))
-                keys.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys))], names=["id", "key"])
-
-    return _texts_of_both(pairs, words).mapInArrow(run, "id long, key long")
+                x, y = np.asarray(a[i].values), np.asarray(b[i].values)
+                ok[i] = edits_within(x, y, allowed(len(x), len(y), share)) is not None
+            yield batch.select([0, 1]).filter(pa.array(ok))
 
+    side = lambda s: words.select(F.col("id").alias(s), F.col("words").alias(f"w{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long")
 
-def _met(spread: DataFrame) -> DataFrame:
-    """spread: ``id``, ``key``. The smallest id of each bucket with each other one: ``key``, ``a``, ``b``, ``of`` (ids in the bucket)."""
-    buckets = spread.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("of")).where("of > 1")
-    return spread.join(buckets, "key").where("id <> a").select("key", "a", F.col("id").alias("b"), "of")
 
+def _tokens(members: DataFrame) -> DataFrame:
+    """members: ``a``, ``id``, ``root``, ``n``, ``words``. A row for each word, hashed with its number of earlier occurrences."""
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 2, ell: int = 3, sketches: int | None = None, threshold: float = 0.8, seed: int = 11, recall: float = 0.99) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                found = [(kmers(np.asarray(w.values).astype(np.uint64), 1) >> np.uint64(32)).astype(np.uint32).view(np.int32) for w in batch.column(4)]
+                each = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(each) for i in range(4)], pa.array(np.concatenate(found) if found else np.empty(0, np.int32))], names=["a", "id", "root", "n", "token"])
+
+    return members.select("a", "id", "root", "n", "words").mapInArrow(run, "a long, id long, root long, n int, token int")
+
+
+def _by_rare_words(scratch: Scratch, members: DataFrame, words: DataFrame, share: float) -> DataFrame:
+    """members: ``a``, ``id``, ``root``, ``n``. All pairs ``a``, ``b`` of one group but of different roots that may be alike.
+
+    Like texts differ in a share of their words at most, so if each lists one word more than that share, the rarest of the
+    group first, two like ones have a listed word in common (the prefix filter of exact set joins). What a crowd shares
+    is common in its group and so at the end of the order.
+    """
+    tokens = scratch.write(_tokens(members.join(words, "id")))
+    often = tokens.groupBy("a", "token").agg(F.count("*").alias("df"))
+    order = F.sort_array(F.collect_list(F.struct("df", "token")))
+    most = F.floor(F.col("n") * F.lit(share) + F.lit(1e-9)).cast("int") + 1
+    listed = tokens.join(often, ["a", "token"]).groupBy("a", "id", "root", "n").agg(F.transform(F.slice(order, 1, most), lambda x: x["token"]).alias("listed"))
+    listed = scratch.write(listed)
+    rows = listed.select("a", "id", "root", F.posexplode("listed").alias("pos", "token"))
+    # Of each word's texts those of its commonest root needn't meet each other: the others meet all.
+    roots = rows.groupBy("a", "token", "root").agg(F.count("*").alias("of"))
+    open_ = roots.groupBy("a", "token").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    some = rows.join(open_, ["a", "token"])
+    # A pair is taken at the first word that both list; the words listed before it travel along.
+    some = scratch.write(some.join(listed.select("a", "id", "n", "listed"), ["a", "id"]).select("a", "token", "id", "root", "n", "main", F.expr("slice(listed, 1, pos)").alias("before")))
+    scratch.drop(tokens)
+    x, y = some.where("root <> main").alias("x"), some.alias("y")
+    both = (F.col("x.a") == F.col("y.a")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    met = x.join(y, both & once & _as_long(F.col("x.n"), F.col("y.n"), share) & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def _of_ids(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids. The ids grow with the corpus, so they are not broadcast at any size."""
+    return texts.join(ids.distinct().hint("merge"), "id", "left_semi").select("id", "text")
+
+
+def _checked(scratch: Scratch, close: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The links among the pairs ``a``, ``b``; only their texts are gathered."""
+    words = scratch.write(_as_words(_of_ids(texts, close.select(F.col("a").alias("id")).union(close.select("b")))))
+    links = scratch.write(_linked(close, words, share))
+    scratch.drop(words)
+    return links
+
+
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", k: int = 2, ell: int = 2, sketches: int | None = None, threshold: float = 0.8, seed: int = 11, recall: float = 0.99, most_in_block: int = MOST_IN_BLOCK
+) -> DataFrame:
     """One row per row of docs: ``doc_id``, ``class_id`` (the smallest id of its class), ``kept``. The number of sketches
     follows from the recall wanted at the threshold, unless it is given."""
-    scratch = Scratch(spark, "order-minhash")
+    scratch, share = Scratch(spark, "order-minhash"), 1 - threshold
     whole = docs.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = whole.where("id IS NOT NULL")
     if rows.groupBy("id").count().where("count > 1").isEmpty():
@@ -316,82 +404,40 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", id
         texts = scratch.write(rows.groupBy("id").agg(F.min("text").alias("text")))
     sketches = sketches or planned(threshold, recall, k, ell)
     known = scratch.write(_sketched(texts, OrderSketch(k, ell, sketches, seed, threshold)))
-    worded = known.where("n > 0")
-    classes = scratch.write(worded.groupBy("c1", "c2").agg(F.min("id").alias("rep")))
-    reps = worded.join(classes, ["c1", "c2"]).where("id = rep")
-    members = scratch.write(_met(reps.select("id", F.explode(F.array_distinct("sketch")).alias("key"))))
-    pairs = scratch.write(members.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    words = scratch.write(_as_words(texts.join(ids, "id", "left_semi").select("id", "text")))
-    share = 1 - threshold
-    again = OrderSketch(k, 1, sketches, seed + 1, threshold)
-    seen = scratch.write(_compared(pairs, words, share))
-    shed = None
-    while True:
-        # Those that are unlike the smallest of their bucket, with the number of them.
-        unlike = members.where("of > 2").drop("of").join(seen.where(F.col("kind") != LINK).select("a", "b").distinct(), ["a", "b"])
-        unlike = scratch.write(unlike.join(unlike.groupBy("key").agg(F.count("*").alias("of")).where("of > 1"), "key"))
-        few = unlike.where(F.col("of") <= FEW).select("key", "b")
-        pairs = few.withColumnRenamed("b", "a").join(few, "key").where("a < b").select("a", "b").distinct()
-        pairs = scratch.write(pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            seen = seen.unionByName(scratch.write(_compared(pairs, words, share, each=True).withColumn("kind", F.when(F.col("kind") == LINK, LINK).otherwise(FAR))))
-        crowd = unlike.where(F.col("of") > FEW).select("a", "b").distinct()
-        crowd = scratch.write(crowd if shed is None else crowd.join(shed, ["a", "b"], "left_anti"))
-        if crowd.isEmpty():
-            break
-        shed = crowd if shed is None else shed.unionByName(crowd)
-        further = _beyond(shed.join(crowd.select("b").distinct(), "b", "left_semi"), words, again)
-        members = scratch.write(_met(scratch.write(further)))
-        pairs = scratch.write(members.select("a", "b").distinct().join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            seen = seen.unionByName(scratch.write(_compared(pairs, words, share)))
-    like = seen.where(F.col("kind") == LINK)
-    links = like.select("a", "b")
+    classes = scratch.write(known.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")))
+    spread = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    # Each bucket's smallest id stands against all its others; the signatures tell which of these pairs are worth an alignment.
+    buckets = spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
+    met = scratch.write(spread.join(buckets, "key").where("id > a").select("a", F.col("id").alias("b")).distinct())
+    bags = known.select("id", "n", "bag")
+    close = scratch.write(_possible(met, bags, share))
+    links = _checked(scratch, close, texts, share)
     near = scratch.write(components(scratch, links))
-    # a is like some; y may be within twice the distance of a, and isn't in its component.
-    apart = _apart(seen.where(F.col("kind") == MAYBE).join(links.select("a").distinct(), "a", "left_semi").select("a", F.col("b").alias("y")), near, "a", "y")
-    apart = scratch.write(apart.select("a", F.col("y").alias("b")).distinct())
-    if not apart.isEmpty():
-        misses = _compared(apart, words, share, bound=reach).where(F.col("kind") == LINK).select("a", F.col("b").alias("y"), F.col("edits").alias("far"), F.col("n").alias("of"))
-        misses = scratch.write(misses)
-        near_misses = like.join(misses.select("a").distinct(), "a", "left_semi")
-        bags = scratch.write(_bags(words.join(misses.select(F.col("y").alias("id")).union(near_misses.select("b")).distinct(), "id", "left_semi")))
-        near_misses = near_misses.join(near.select(F.col("id").alias("b"), "root"), "b").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("bag_b")), "b")
-        misses = misses.join(bags.select(F.col("id").alias("y"), F.col("bag").alias("bag_y")), "y")
-        limit = F.floor(F.lit(share) * F.greatest("n", "of") + F.lit(1e-9))
-        lacking = F.greatest("n", "of") - F.size(F.array_intersect("bag_b", "bag_y"))
-        beside = misses.join(near_misses, "a").where((F.col("far") <= F.col("edits") + limit) & (F.abs(F.col("n") - F.col("of")) <= limit) & (lacking <= limit))
-        beside = beside.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b"), "y", "root", lacking.alias("lacking")).distinct()
-        beside = scratch.write(beside.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
-        # One link to a component is enough: the pair of most words in common first, the others where that is none.
-        first = scratch.write(beside.groupBy("y", "root").agg(F.min_by(F.struct("a", "b"), F.struct("lacking", "a", "b")).alias("pair")).select("pair.*", "y", "root"))
-        aligned = lambda d: scratch.write(_compared(d.select("a", "b").distinct(), words, share, each=True).where(F.col("kind") == LINK).select("a", "b"))
-        more = aligned(first)
-        joined = first.join(more, ["a", "b"], "left_semi").select("y", "root")
-        rest = beside.join(joined, ["y", "root"], "left_anti").join(first.select("a", "b"), ["a", "b"], "left_anti")
-        more = more.unionByName(aligned(rest))
-        near = scratch.write(components(scratch, links.unionByName(more)))
+    # Members of one bucket that aren't one component yet meet too.
+    members = met.select("a", F.col("b").alias("id")).join(near, "id", "left").withColumn("root", F.coalesce("root", "id")).join(bags, "id")
+    groups = members.groupBy("a").agg(F.count("*").alias("of"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("a", "of")
+    members = scratch.write(members.join(groups, "a").select("a", "id", "root", "n", "bag", "of"))
+    rest = _within_groups(members.where(F.col("of") <= most_in_block), share)
+    crowds = members.where(F.col("of") > most_in_block)
+    if not crowds.isEmpty():
+        words = scratch.write(_as_words(_of_ids(texts, crowds.select("id"))))
+        rest = rest.unionByName(_possible(_by_rare_words(scratch, crowds, words, share).distinct(), bags, share))
+    close = scratch.write(rest.distinct())
+    if not close.isEmpty():
+        near = scratch.write(components(scratch, links.unionByName(_checked(scratch, close, texts, share))))
+    scratch.drop(met, members, close)
     classed = known.join(classes, ["c1", "c2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classed = classed.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("of"), F.coalesce("root", "rep").alias("class_id"))
     out = whole.select(F.col("id").alias("doc_id")).join(classed, F.col("doc_id") == F.col("of"), "left")
     return out.select("doc_id", "class_id", (F.col("class_id").isNull() | (F.col("class_id") == F.col("doc_id"))).alias("kept"))
 
 
-def _apart(pairs: DataFrame, near: DataFrame, one: str, other: str) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    out = pairs
-    for c in (one, other):
-        out = out.join(near.select(F.col("id").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return out.where(F.coalesce(f"root_{one}", one) != F.coalesce(f"root_{other}", other)).select(one, other)
-
-
 def deduplicate(spark: SparkSession, docs: DataFrame, text: str = "text", id_: str = "doc_id", **how) -> DataFrame:
     """docs with one document of each class, the one of the smallest id."""
     scratch = Scratch(spark, "near-dedup")
     decided = scratch.write(near_duplicates(spark, docs, text, id_, **how))
     kept = decided.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id"))
-    out = docs.join(kept.distinct(), docs[id_] == F.col("_kept_id"), "left_semi").unionByName(docs.where(docs[id_].isNull()))
+    out = docs.join(kept.distinct().hint("merge"), docs[id_] == F.col("_kept_id"), "left_semi").unionByName(docs.where(docs[id_].isNull()))
     if not kept.groupBy("_kept_id").count().where("count > 1").isEmpty():  # rows that share an id
         out = out.where(F.col(id_).isNotNull()).dropDuplicates([id_]).unionByName(docs.where(docs[id_].isNull()))
     return out
