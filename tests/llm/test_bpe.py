@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from wavespark.llm.bpe import PairTree, WordBpe, encode_decode
+from wavespark.llm.bpe import PairTree, WordBpe, encode_decode, library_differences
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "I'm they'll 'S  it's", "İstanbul ΣΑΣ Σ", "a<|endoftext|>b <|startoftext|>", "<|endoftext|", "e\u0301 \u00e9 ﬁ Å\u030a", "x\x1cy\x85z\xa0w\u3000q", "日本語テスト 漢字", "👩‍👩‍👧 🏽", "१२३ 12345", "a" * 500, "!?" * 300, "\u0300\u0301 a", "\u1100\u1161\u11a8", "ǅ ß ẞ ſt"]
@@ -14,7 +14,7 @@ ODD = ["", " ", "I'm they'll 'S  it's", "İstanbul ΣΑΣ Σ", "a<|endoftext|>b
 
 @pytest.fixture(scope="module")
 def both():
-    return WordBpe(PATH), Tokenizer.from_file(PATH)
+    return WordBpe(PATH, library_differences()), Tokenizer.from_file(PATH)
 
 
 def same(both, text):
@@ -31,6 +31,19 @@ def test_odd_texts(both):
         same(both, text)
 
 
+def test_code_points_of_other_unicode_versions(both):
+    """All code points that the library's tables know otherwise than Python's, and random ones of all planes."""
+    points = {c for pairs in library_differences() for c, _ in pairs}
+    assert {0x558, 0x88F, 0x208F, 0x1C89, 0xA7CB} & points
+    rng = random.Random(6)
+    points |= {c for c in (rng.randrange(0x80, 0x110000) for _ in range(3000)) if not 0xD800 <= c < 0xE000}
+    some = sorted(points)
+    for at in range(0, len(some), 50):
+        same(both, " ".join(f"Ab{chr(c)}cD {chr(c)}1{chr(c)} !{chr(c)}" for c in some[at : at + 50]))
+    for _ in range(500):
+        same(both, "".join(chr(rng.choice(some)) for _ in range(20)))
+
+
 def test_random_texts(both):
     rng = random.Random(5)
     letters = [*"abcdefghijklmnopqrstuvwxyzABCÉéßüñ' .,!?-0123456789\t\n<|>", "the", "tion", "ing", "'s", "<|endoftext|>", "\u0301", "ه", "я", "字", "😀"]

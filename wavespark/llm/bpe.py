@@ -24,6 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers
 
 #: Unicode white space as the vocabulary's own patterns have it (without the separators U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -85,10 +86,37 @@ class Recent(dict):
         return value
 
 
+Pairs = tuple[tuple[int, str], ...]
+
+
+@lru_cache(maxsize=1)
+def library_differences() -> tuple[Pairs, Pairs]:
+    """What the tokenizers library lower-cases, and what it takes for a letter or a number, otherwise than Python's tables,
+    which are of another version of Unicode: (code point, its lower case), and (code point, a character of its kind)."""
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    lower: list[tuple[int, str]] = []
+    kinds: list[tuple[int, str]] = []
+    for at in range(0, len(points), 4096):
+        some = points[at : at + 4096]
+        text = "\n".join(some)
+        told = lambda how: how.normalize_str(text).split("\n")  # noqa: B023, E731
+        small = told(normalizers.Lowercase())
+        lower += [(ord(c), x) for c, x in zip(some, small, strict=True) if c.replace("Σ", "σ").lower() != x]
+        letter, number = (told(normalizers.Replace(Regex(p), "a")) for p in (r"\p{L}", r"\p{N}"))
+        for c, x, n, mine in zip(some, letter, number, regex.sub(r"\p{N}", "1", regex.sub(r"\p{L}", "a", text)).split("\n"), strict=True):
+            kind = "a" if x == "a" else "1" if n == "a" else c
+            if kind != mine:
+                kinds.append((ord(c), "!" if kind == c else kind))
+    return tuple(lower), tuple(kinds)
+
+
 class WordBpe:
     """The vocabulary in a file: ``encode`` to ids, ``decode`` to text, ``word`` for one word without white space."""
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, differences: tuple[Pairs, Pairs] = ((), ()), most_words: int = 250_000):
+        self.lower, self.kinds = map(dict, differences)
+        odd = "".join(re.escape(chr(c)) for c in sorted(self.lower.keys() | self.kinds.keys()))
+        self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -98,7 +126,8 @@ class WordBpe:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.letters = byte_letters()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pieces = regex.compile(split.replace(r"\s", SPACE)).findall
+        pattern = regex.compile(split.replace(r"\s", SPACE))
+        self.pieces, self.split = pattern.findall, pattern.finditer
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda t: [t]
         self.words = re.compile(f"[^{SPACE}]+").findall
         self.known = Recent(self.word, most_words)
@@ -151,7 +180,14 @@ class WordBpe:
     def plain(self, text: str) -> list[int]:
         """Ids of text that holds no special token."""
         out: list[int] = []
-        for piece in self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):
+        text = unicodedata.normalize("NFC", text)
+        if self.odd(text):
+            text = "".join([self.lower[ord(c)] if ord(c) in self.lower else c.replace("Σ", "σ").lower() for c in text])
+            # The pattern sees characters of the right kinds; the pieces are those of the text.
+            pieces = [text[m.start() : m.end()] for m in self.split(text.translate(self.kinds))]
+        else:
+            pieces = self.pieces(text.replace("Σ", "σ").lower())
+        for piece in pieces:
             out += self.piece[piece] if len(piece) <= LONGEST_KEPT else self.encode_piece(piece)
         return out
 
@@ -185,9 +221,9 @@ class WordBpe:
 
 
 @lru_cache(maxsize=1)
-def loaded(path: str) -> WordBpe:
+def loaded(path: str, differences: tuple[Pairs, Pairs]) -> WordBpe:
     """One vocabulary per Python worker: its tables serve all tasks that the worker runs."""
-    return WordBpe(path)
+    return WordBpe(path, differences)
 
 
 def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -197,13 +233,13 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: s
     read, encoded and written by one task, and lost tasks are simply run again.
     """
     spark.sparkContext.addFile(vocabulary)
-    name = vocabulary.rsplit("/", 1)[-1]
+    name, differences = vocabulary.rsplit("/", 1)[-1], library_differences()
     added = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     added += [("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("decoded", T.StringType(), pa.string())] * keep_ids
     rest = docs.drop(*[n for n, _, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(SparkFiles.get(name))
+        bpe = loaded(SparkFiles.get(name), differences)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
