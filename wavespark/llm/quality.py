@@ -4,7 +4,8 @@
 2. Grouped sums give every host and every path below it a posterior: labelled documents count with their label, others
    with their evidence at a small weight. A path shrinks toward its host and a host toward the global rate, by prior
    strengths that the spread between sites implies (method of moments), so a sparse site says little.
-3. The document's log odds move by what its site's posterior differs from the global rate.
+3. The document's log odds move by what its site's posterior, of which the document itself is left out, differs from
+   the global rate.
 
 The only bounded sample is the classifier's: at most ``most_labelled`` labelled rows, in the order of a hash of their
 id. All else counts all documents.
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, hash_bound
 
 SYMBOLS = "|!%*#$&{}<>=~^_@\\"
 MEASURES = 13
@@ -57,21 +58,25 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
-def _measured(df: DataFrame, text: str, weights: list[float] | None) -> DataFrame:
-    """Adds ``measures`` or, with weights (the last is the constant), ``evidence``."""
-    kind, name = (T.ArrayType(T.DoubleType()), "measures") if weights is None else (T.DoubleType(), "evidence")
-    to = pa.list_(pa.float64()) if weights is None else pa.float64()
-    rest = df.drop(name)
+def _measured(rows: DataFrame) -> DataFrame:
+    """rows: ``id``, ``host``, ``path``, ``mark``, ``text``. The measures stand for the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [measures(t) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            out = x if weights is None else 1 / (1 + np.exp(-(np.array(x).reshape(-1, MEASURES) @ np.array(weights[:-1]) + weights[-1])))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != text or n in kept]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(out, to)], names=[*[batch.schema.names[i] for i in keep], name])
+            x = np.array([measures(t) for t in batch.column(4).to_pylist()], np.float32).reshape(-1)
+            ends = np.arange(0, len(x) + 1, MEASURES, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(x))], names=["id", "host", "path", "mark", "measures"])
 
-    kept = rest.columns
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(name, kind)]))
+    kept = rows.select("id", "host", "path", "mark").schema.fields
+    return rows.select("id", "host", "path", "mark", "text").mapInArrow(run, T.StructType([*kept, T.StructField("measures", T.ArrayType(T.FloatType()))]))
+
+
+def _evidence(weights: list[float]) -> Column:
+    """The trained probability, of the column ``measures``."""
+    odds = F.lit(weights[-1])
+    for i, w in enumerate(weights[:-1]):
+        odds = odds + F.lit(w) * F.col("measures")[i].cast("double")
+    return 1 / (1 + F.exp(-odds))
 
 
 def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float = 1e-2, steps: int = 50) -> list[float]:
@@ -90,16 +95,20 @@ def fit(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, ridge: float
     return beta.tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", label: str = "quality", most_labelled: int = 20_000) -> list[float] | None:
-    """Weights from at most ``most_labelled`` labelled documents; None unless both kinds are there."""
-    known = _labels(labels, id_, label)
-    rows = docs.select(F.col(f"`{id_}`").alias("id"), F.col(f"`{text}`").alias("text")).join(known, "id")
-    some = rows.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(most_labelled)
-    got = _measured(some, "text", None).select("measures", "label").collect()
+def train(base: DataFrame, most_labelled: int = 20_000) -> list[float] | None:
+    """base: ``id``, ``measures``, ``label``. Weights from at most ``most_labelled`` labelled rows, those of the least
+    hashes of their ids; None unless both kinds are there."""
+    known = base.where("label IS NOT NULL").select("id", "measures", "label", F.xxhash64("id").alias("h"))
+    count = known.count()
+    if count > most_labelled:
+        # Hashes are even, so this share of them is a little more than is wanted: no task sorts more than that.
+        share = (most_labelled + 6 * most_labelled**0.5) / count
+        known = known.where(F.col("h") < F.lit(hash_bound(share)))
+    got = known.orderBy("h", "measures").limit(most_labelled).collect()
     y = np.array([r.label for r in got], dtype=float)
     if not len(y) or y.min() >= 0.5 or y.max() < 0.5:
         return None
-    return fit(np.array([r.measures for r in got]), y)
+    return fit(np.array([r.measures for r in got], dtype=float), y)
 
 
 def _labels(labels: DataFrame, id_: str, label: str) -> DataFrame:
@@ -123,51 +132,65 @@ def _strength(rows: DataFrame, mean: Column, n: str = "n", k: str = "k") -> floa
     return float(min(1e4, max(1.0, 1 / extra - 1 if extra > 0 else 1e4)))
 
 
-def posteriors(scratch: Scratch, scored: DataFrame, soft: float = 0.05) -> tuple[DataFrame, float]:
-    """scored: ``host``, ``path``, ``evidence``, ``label`` (null where unknown). One row per path with ``site``, and the
-    global rate. Sums are grouped by path and then by host, so that a host of any size is one partial sum per task."""
-    weight = F.when(F.col("label").isNotNull(), F.lit(1.0)).otherwise(F.lit(soft))
-    value = F.coalesce("label", "evidence")
-    paths = scratch.write(scored.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * value).alias("k")))
+def posteriors(scratch: Scratch, scored: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """scored: ``host``, ``path``, ``weight``, ``value``. One row per path with the sums of its documents and of its
+    host's (``n``, ``k``, ``host_n``, ``host_k``), the global rate, and the prior strengths of hosts and of paths.
+    Sums are grouped by path and then by host, so that a host of any size is one partial sum per task."""
+    paths = scratch.write(scored.groupBy("host", "path").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("value")).alias("k")))
     n, k = paths.agg(F.sum("n"), F.sum("k")).first()
     rate = k / n if n else 0.5
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k"))
     s0 = _strength(hosts, F.lit(rate), "host_n", "host_k")
-    hosts = hosts.withColumn("host_rate", (F.col("host_k") + F.lit(s0 * rate)) / (F.col("host_n") + F.lit(s0)))
-    own, theirs = paths.alias("p"), hosts.select(F.col("host").alias("of"), "host_rate")
-    below = own.join(theirs, F.col("p.host").eqNullSafe(F.col("of"))).drop("of")
-    s1 = _strength(below, F.col("host_rate"))
-    site = (F.col("k") + F.col("host_rate") * F.lit(s1)) / (F.col("n") + F.lit(s1))
-    return below.select("host", "path", site.alias("site")), rate
+    own, theirs = paths.alias("p"), hosts.select(F.col("host").alias("of"), "host_n", "host_k")
+    sites = own.join(theirs, F.col("p.host").eqNullSafe(F.col("of"))).drop("of")
+    s1 = _strength(sites.withColumn("host_rate", _shrunk("host_n", "host_k", s0, F.lit(rate))), F.col("host_rate"))
+    return scratch.write(sites), rate, s0, s1
+
+
+def _shrunk(n: str | Column, k: str | Column, strength: float, prior: Column) -> Column:
+    """The posterior rate of sums under a prior that is worth ``strength`` documents."""
+    n, k = (F.col(x) if isinstance(x, str) else x for x in (n, k))
+    return (F.greatest(k, F.lit(0.0)) + prior * F.lit(strength)) / (F.greatest(n, F.lit(0.0)) + F.lit(strength))
 
 
 def classify(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", host: Column | None = None, path: Column | None = None, label: str = "quality", threshold: float = 0.5, most_labelled: int = 20_000, keep_text: bool = True
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, text: str = "text", id_: str = "doc_id", host: Column | None = None, path: Column | None = None, label: str = "quality", threshold: float = 0.5, soft: float = 0.05, most_labelled: int = 20_000, keep_text: bool = True
 ) -> DataFrame:
-    """Adds ``evidence``, ``site``, ``quality_score`` and ``kept`` to every document.
+    """Adds ``evidence``, ``site``, ``quality_score`` and ``kept`` to every document; without ``keep_text`` the result is
+    one row per document with its id and these alone.
 
-    host and path: columns of docs; by default its source, and the language below it.
+    host and path: columns of docs; by default its source, and the language below it. soft: what a document without a
+    label weighs in its site, against one with a label.
     """
     scratch = Scratch(spark, "quality")
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     docs = docs.drop("evidence", "site", "quality_score", "kept")
-    weights = train(docs, labels, text, id_, label, most_labelled)
+    id_column, body = F.col(f"`{id_}`"), F.col(f"`{text}`")
+    # What a decision depends on, in one number: rows that share an id may differ in the rest.
+    mark = F.xxhash64(*[x for c in (id_column, host, path, body) for x in (c, c.isNull())])
+    # Texts are read once, where they lie; from here on measures stand for them.
+    small = _measured(docs.select(id_column.alias("id"), host.alias("host"), path.alias("path"), mark.alias("mark"), body.alias("text")))
+    base = scratch.write(small.join(_labels(labels, id_, label).hint("merge"), "id", "left"))
+    weights = train(base, most_labelled)
     if weights is None:
-        out = docs.withColumns({"evidence": F.lit(0.5), "site": F.lit(0.5), "quality_score": F.lit(0.5), "kept": F.lit(True)})
-        return out if keep_text else out.drop(text)
-    # The evidence is computed once, beside the id and the site; the texts themselves are neither shuffled nor copied.
-    small = _measured(docs.select(F.col(f"`{id_}`").alias("id"), host.alias("host"), path.alias("path"), F.col(f"`{text}`").alias("text")), "text", weights)
-    scored = scratch.write(small.drop("text"))
-    known = _labels(labels, id_, label)
-    sites, rate = posteriors(scratch, scored.join(known, "id", "left"))
-    sites = scratch.write(sites.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "site"))
-    near = lambda d, h, p: d.join(sites, h.eqNullSafe(sites.of_host) & p.eqNullSafe(sites.of_path), "left").drop("of_host", "of_path")
+        half = {c: F.lit(0.5) for c in ("evidence", "site", "quality_score")} | {"kept": F.lit(True)}
+        return docs.withColumns(half) if keep_text else docs.select(id_column).withColumns(half)
+    scored = base.withColumn("evidence", _evidence(weights)).drop("measures")
+    weight = F.when(F.col("label").isNotNull(), F.lit(1.0)).otherwise(F.lit(soft))
+    scored = scored.withColumns({"weight": weight, "value": F.coalesce("label", "evidence")})
+    sites, rate, s0, s1 = posteriors(scratch, scored)
+    sites = sites.withColumnsRenamed({"host": "of_host", "path": "of_path"})
+    near = scored.join(sites, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+    # The document itself is left out of its site: its evidence counts once.
+    own = F.col("weight") * F.col("value")
+    host_rate = _shrunk(F.col("host_n") - F.col("weight"), F.col("host_k") - own, s0, F.lit(rate))
+    site = _shrunk(F.col("n") - F.col("weight"), F.col("k") - own, s1, host_rate)
     odds = _logit(F.col("evidence")) + _logit(F.col("site")) - _logit(F.lit(rate))
-    score = 1 / (1 + F.exp(-odds))
-    if keep_text:
-        whole = _measured(docs.withColumn("_q_host", host).withColumn("_q_path", path), text, weights)
-        out = near(whole, F.col("_q_host"), F.col("_q_path")).drop("_q_host", "_q_path")
-    else:
-        out = near(scored, F.col("host"), F.col("path")).drop("host", "path").withColumnRenamed("id", id_)
-    return out.withColumn("quality_score", score).withColumn("kept", F.col("quality_score") >= threshold)
+    judged = near.withColumn("site", site).withColumn("quality_score", 1 / (1 + F.exp(-odds))).withColumn("kept", F.col("quality_score") >= threshold)
+    out = ["evidence", "site", "quality_score", "kept"]
+    if not keep_text:
+        return judged.select(F.col("id").alias(id_), *out)
+    decisions = judged.select(F.col("mark").alias("of_mark"), *out).dropDuplicates(["of_mark"])
+    whole = docs.select(F.struct("*").alias("doc"), mark.alias("mark"))
+    return whole.join(decisions.hint("merge"), F.col("mark") == F.col("of_mark")).select("doc.*", *out)
