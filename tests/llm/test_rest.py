@@ -172,6 +172,87 @@ def test_quality_held_out(spark, docs_dir):
     assert len(test) > 20 and right >= 0.9, right
 
 
+def test_licences_are_told_by_the_model(spark):
+    """Paragraphs without any of the usual words, hard ones with all of them, and a family against a like one."""
+    lines = [
+        ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute", ["Unlicense"]),
+        ("PERMISSION TO USE, COPY, MODIFY, AND/OR DISTRIBUTE THIS SOFTWARE FOR ANY PURPOSE WITH OR WITHOUT FEE IS HEREBY GRANTED, PROVIDED THAT THE ABOVE COPYRIGHT NOTICE AND THIS PERMISSION NOTICE APPEAR IN ALL COPIES.", ["ISC"]),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+        ("The copyright license of the software comes with no warranty and needs permission as is.", []),
+        ("Permission was granted to the city, free of charge, to deal with the public notice in the Mozilla park.", []),
+    ]
+    rows = [(i, t, 1) for i, (t, _) in enumerate(lines)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, licences int")
+    got = sorted((r.doc_id, r.licences) for r in licenses.scan(spark, docs).collect())
+    assert got == sorted((i, want) for i, (_, want) in enumerate(lines) for _ in range(2))
+    none = licenses.scan(spark, docs.limit(0))
+    assert none.count() == 0 and none.columns == ["doc_id", "text", "licences", "n_licence_paragraphs", "licence_score"]
+
+
+def by_hand(docs, labels, soft=0.05):
+    """The posteriors with plain sums: (id, text, source, lang) and {id: label} to {id: (evidence, site, score)}."""
+    rows = [(i, (s, g), np.array(quality.measures(t), np.float32).astype(float)) for i, t, s, g in docs]
+    known = [(x, labels[i]) for i, _, x in rows if i in labels]
+    w = np.array(quality.fit(np.array([x for x, _ in known]), np.array([float(v) for _, v in known])))
+    evidence = {i: 1 / (1 + math.exp(-(x @ w[:-1] + w[-1]))) for i, _, x in rows}
+    own = {i: (1.0, float(labels[i])) if i in labels else (soft, evidence[i]) for i, _, _ in rows}
+    site = {i: s for i, s, _ in rows}
+
+    def sums(key):
+        out = {}
+        for i, (n, v) in own.items():
+            old = out.get(key(i), (0.0, 0.0))
+            out[key(i)] = (old[0] + n, old[1] + n * v)
+        return out
+
+    def strength(groups):
+        spread, chance = sum(n * (k / n - m) ** 2 for n, k, m in groups), sum(m * (1 - m) for _, _, m in groups)
+        extra = (spread - chance) / (chance / len(groups) * (sum(n for n, _, _ in groups) - len(groups)))
+        return min(1e4, max(1.0, 1 / extra - 1 if extra > 0 else 1e4))
+
+    paths, hosts, (all_n, all_k) = sums(lambda i: site[i]), sums(lambda i: site[i][0]), sums(lambda i: 0)[0]
+    rate = all_k / all_n
+    s0 = strength([(n, k, rate) for n, k in hosts.values()])
+    s1 = strength([(n, k, (hosts[h][1] + s0 * rate) / (hosts[h][0] + s0)) for (h, _), (n, k) in paths.items()])
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    out = {}
+    for i, (n, v) in own.items():
+        h = (hosts[site[i][0]][1] - n * v + s0 * rate) / (hosts[site[i][0]][0] - n + s0)
+        s = (paths[site[i]][1] - n * v + s1 * h) / (paths[site[i]][0] - n + s1)
+        out[i] = evidence[i], s, 1 / (1 + math.exp(-(logit(evidence[i]) + logit(s) - logit(rate))))
+    return out
+
+
+def test_quality_equals_plain_sums(spark):
+    rng = random.Random(8)
+    docs, labels = [], {}
+    for i in range(400):
+        source, lang = rng.choice(["a", "a", "b", "c", None]), rng.choice(["en", "de", None])
+        good = rng.random() < {"a": 0.9, "b": 0.5, "c": 0.2, None: 0.6}[source]
+        text = " ".join(rng.choice(["tree", "House", "water", "seen", "Found"]) + str(rng.randint(0, 40)) for _ in range(rng.randint(5, 60))) if good or rng.random() < 0.1 else "BUY | NOW ! " * rng.randint(1, 30)
+        docs.append((i, text, source, lang))
+        if rng.random() < 0.4:
+            labels[i] = int(good)
+    frame = rows_of(spark, docs, "doc_id long, text string, source string, lang string")
+    got = quality.classify(spark, frame, spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()
+    truth = by_hand(docs, labels)
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.evidence, r.site, r.quality_score) == pytest.approx(truth[r.doc_id], abs=1e-6) and r.kept == (r.quality_score >= 0.5)
+
+
+def test_quality_sample_is_bounded(spark):
+    base = spark.range(3000).selectExpr("id", f"transform(sequence(1, {quality.MEASURES}), x -> cast((id % 7) * x / 50 AS float)) AS measures", "cast(id % 7 > 3 AS double) AS label")
+    least = sorted(r.h for r in base.select(F.xxhash64("id").alias("h")).collect())[:200]
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y: seen.append(len(y)) or fit(x, y)
+    try:
+        assert quality.train(base, 200) is not None and seen == [200] and least[-1] < least[0] + 2**64
+    finally:
+        quality.fit = fit
+
+
 def test_quality_edges(spark):
     docs = rows_of(spark, [(None, None, None, None), (1, "", "s", "l"), (1, "x", "s", None), (2, "y " * 20_000, None, "l")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -182,6 +263,20 @@ def test_quality_edges(spark):
     assert quality.classify(spark, docs.limit(0), labels).count() == 0
 
 
+def test_what_all_pages_share_is_template(spark):
+    """Rules of tags and classes alone would keep the greeting and the signature of a host; its wrapper tells them apart."""
+    body = lambda i: f"<p>Story {i} goes on for some words.</p>"
+    pages = [(i, "http://a.org/x", f"<div class=q7>Welcome to our house</div><div class=z1>{body(i)}</div>") for i in range(12)]
+    pages += [(20 + i, "http://b.org/x", f"<article>{body(i)}<p class=sig>Written by the team</p></article>") for i in range(12)]
+    pages += [(40 + i, "http://c.org/x", f"<article><p>The very same story on every page.</p><p class=no>{i}</p></article>") for i in range(12)]
+    pages += [(60 + i, "http://d.org/x", f"<div class=q7>Welcome</div><div class=z1>{body(i)}</div>") for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract(spark, df).collect()}
+    assert all(got[i] == f"Story {i} goes on for some words." == got[20 + i] for i in range(12))
+    assert all(got[40 + i] == f"The very same story on every page. {i}" for i in range(12)) and got[60] == "Welcome Story 0 goes on for some words."
+    assert wrappers.main_text(pages[0][2], None) == "Welcome to our house Story 0 goes on for some words."
+
+
 def test_classes_that_stand_in_for_each_other():
     """An advert on one page where another has its body, a notice against a promo before the article: neither hides the rest."""
     page = lambda one, two, n: f"<html><body><div class='{one}'><p>{one} {n}</p></div><article><div class='{two}'><p>first {n}</p></div><p>last {n}</p></article></body></html>"

@@ -6,7 +6,9 @@
    all text becomes slots. The result is one wrapper per host.
 3. Each page is matched against its host's wrapper, which tells the way that the page takes through it.
 4. The slots on that way are told apart by the elements open there (an article or not; menus, footers, adverts,
-   comments ...): of elements that stand in for each other a page has only its own. The text at main slots is its main text.
+   comments ...): of elements that stand in for each other a page has only its own. A slot that holds one text on all
+   pages of the host (FIXED_PAGES at least) is part of its template, wherever it stands. The text at the other main slots
+   is the page's main text; where the shared ones are most of it, pages are copies of each other, and all stays.
 
 Defined cases: a null or empty page has the empty text; a page whose url is null or has no host belongs to the host
 ``''``; repeated rows are pages of their own; a page that its wrapper doesn't match (none of those it was made from), or
@@ -24,6 +26,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,8 @@ NEVER_WORDS = frozenset(
 )
 PAGE_ONLY = frozenset(("header", "banner", "masthead"))
 TEXT = "#"
+#: Pages from which on a text that all of them share in one slot is the host's and not theirs.
+FIXED_PAGES = 8
 #: Longest repeated group that is looked for, in tokens after folding, and streams aligned by one task at once.
 LONGEST_GROUP, ALIGNED_AT_ONCE = 12, 32
 
@@ -143,7 +148,7 @@ class Place:
     """Where a slot stands: the open elements, kept through tags that were never closed."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, bool]] = []  # tag, main, never
+        self.open: list[tuple[str, bool, bool, str]] = []  # tag, main, never, symbol
 
     def see(self, symbol: str) -> None:
         tag = tag_of(symbol)
@@ -164,7 +169,12 @@ class Place:
                         break
             words = {w for part in symbol.split(" ")[1:] for w in re.split(r"[^a-z]+", part)}
             main = any(o[1] for o in self.open) or tag in MAIN or "main" in symbol.split(" ")[1:]
-            self.open.append((tag, main, tag in NEVER or bool(words & NEVER_WORDS) or not main and (tag in PAGE_ONLY or bool(words & PAGE_ONLY))))
+            self.open.append((tag, main, tag in NEVER or bool(words & NEVER_WORDS) or not main and (tag in PAGE_ONLY or bool(words & PAGE_ONLY)), symbol))
+
+    @property
+    def key(self) -> int:
+        """The slot of the wrapper that a text here stands in: the open elements with their class words."""
+        return xxhash.xxh3_64_intdigest(">".join([o[3] for o in self.open]).encode("utf-8", "surrogatepass")) - 2**63
 
     @property
     def main(self) -> bool:
@@ -183,22 +193,25 @@ def _flat(nodes: list) -> Iterator[str]:
             yield from _flat(x[1])
 
 
-def places(symbols: list[str]) -> list[tuple[bool, bool]]:
-    """For each text slot in order, whether it stands in an article, and in something that is never main text."""
+def places(symbols: list[str]) -> list[tuple[bool, bool, int]]:
+    """For each text slot in order, whether it stands in an article, whether in something that is never main text, and its
+    key."""
     place, found = Place(), []
     for s in symbols:
         if s == TEXT:
-            found.append((place.main, place.never))
+            found.append((place.main, place.never, place.key))
         else:
             place.see(s)
     return found
 
 
-def slots(symbols: list[str]) -> list[bool]:
-    """For each text slot in order, whether it is main text: what an article holds, or else all that no rule excludes."""
-    found = places(symbols)
-    some = any(m and not n for m, n in found)
-    return [not n and (m or not some) for m, n in found]
+def chosen(found: list[tuple[bool, bool, int]], sizes: list[int], article: bool, fixed: frozenset[int]) -> list[int]:
+    """Which of a page's text slots (with the lengths of their texts) are main text: what an article holds (or, without one,
+    all) that no rule excludes and that isn't the host's template. Pages that are mostly copies of each other share their
+    content too: where the shared texts are more than half, they stay."""
+    likely = [i for i, (main, never, _) in enumerate(found) if not never and (main or not article)]
+    own = [i for i in likely if found[i][2] not in fixed]
+    return own if 2 * sum(sizes[i] for i in own) >= sum(sizes[i] for i in likely) else likely
 
 
 class Automaton:
@@ -267,18 +280,19 @@ def matcher(wrapper: str) -> tuple[Automaton, bool]:
     return Automaton(nodes), any(tag_of(s) in MAIN or "main" in s.split(" ")[1:] for s in _flat(nodes))
 
 
-def main_text(page: str | None, wrapper: str | None) -> str:
+def main_text(page: str | None, wrapper: str | None, fixed: frozenset[int] = frozenset()) -> str:
+    """fixed: keys of the wrapper's slots that hold one text on all pages of the host: its template, not its content."""
     toks = tokens(page or "")
-    seen = [(s, t) for s, t in toks if s]
-    symbols = [s for s, _ in seen]
+    symbols = [s for s, _ in toks if s]
     at = [i for i, s in enumerate(symbols) if s == TEXT]
-    marked: set[int] = set()
+    found, picked, sizes = places(symbols), [], [len(t) for s, t in toks if s == TEXT]
     if wrapper:
         automaton, article = matcher(wrapper)
         if automaton.matches(symbols):
-            marked = {i for i, (main, never) in zip(at, places(symbols), strict=True) if not never and (main or not article)}
-    if not marked:
-        marked = {i for i, x in zip(at, slots(symbols), strict=True) if x}
+            picked = chosen(found, sizes, article, fixed)
+    if not picked:
+        picked = chosen(found, sizes, any(m and not n for m, n, _ in found), fixed)
+    marked = {at[i] for i in picked}
     blocks, block, i = [], [], -1
     for s, t in toks:
         i += bool(s)
@@ -298,18 +312,34 @@ def host_of(url) -> F.Column:
 
 
 def infer(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """One wrapper per host: ``(host, wrapper)``. pages: ``url``, ``html``."""
+    """One wrapper per host: ``(host, wrapper, fixed)``, the last being the keys of its slots that hold one text on all pages,
+    FIXED_PAGES of them at least. pages: ``url``, ``html``."""
     scratch = scratch or Scratch(spark, "wrappers")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = batch.column(0).to_pylist(), []
-            for page in batch.column(1).to_pylist():
-                found.append(json.dumps(fold([s for s, _ in tokens(page or "") if s])))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string())], names=["host", "wrapper"])
-
-    streams = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, "host string, wrapper string")
-    level = scratch.write(streams.groupBy("host", "wrapper").agg(F.count("*").alias("n")))
+            streams: dict[tuple, int] = {}
+            slots: dict[tuple, tuple[int, int, int]] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                toks = [(s, t) for s, t in tokens(page or "") if s]
+                shape = host, json.dumps(fold([s for s, _ in toks]))
+                streams[shape] = streams.get(shape, 0) + 1
+                own: dict[int, tuple[int, int]] = {}
+                for (_, _, key), text in zip(places([s for s, _ in toks]), [t for s, t in toks if s == TEXT], strict=True):
+                    mark = xxhash.xxh3_64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass")) - 2**63
+                    low, high = own.get(key, (mark, mark))
+                    own[key] = min(low, mark), max(high, mark)
+                for key, (low, high) in own.items():
+                    n, was, most = slots.get((host, key), (0, low, high))
+                    slots[host, key] = n + 1, min(was, low), max(most, high)
+            rows = [(h, w, None, n, None, None) for (h, w), n in streams.items()] + [(h, None, k, n, low, high) for (h, k), (n, low, high) in slots.items()]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "wrapper", "slot", "n", "low", "high"])
+
+    told = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, "host string, wrapper string, slot long, n long, low long, high long")
+    told = scratch.write(told.groupBy("host", "wrapper", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    level = told.where("wrapper IS NOT NULL").select("host", "wrapper", "n")
+    fixed = told.where(f"slot IS NOT NULL AND low = high AND n >= {FIXED_PAGES}").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("fixed"))
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "wrapper"], ascending=[False, True])
@@ -322,7 +352,7 @@ def infer(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None)
         sizes = level.groupBy("host").agg(F.count("*").alias("of"))
         most = sizes.agg(F.max("of")).first()[0] or 0
         if most <= 1:
-            return level.select("host", "wrapper")
+            return level.select("host", "wrapper").join(fixed, "host", "left")
         dealt = level.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("of") / (ALIGNED_AT_ONCE / 2)).cast("long")))
         level = scratch.write(dealt.groupBy("host", "part").applyInPandas(merged, "host string, wrapper string, n long"))
 
@@ -331,12 +361,12 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every page."""
     pages = pages.select("page_id", "url", "html")
     wrappers = infer(spark, pages)
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
+    joined = pages.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "fixed")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(p, w) for p, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [main_text(p, w, frozenset(f or ())) for p, w, f in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
