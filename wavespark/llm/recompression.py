@@ -201,12 +201,13 @@ def repeats(spark: SparkSession, scratch: Scratch, docs: DataFrame, window: int
     met = scratch.write(rows.join(shared, "key").where("unlike OR id > low").select("id", "mark", "key", "seg", "p", "m", "unlike"))
     scratch.drop(known, shared)
     some = met.where("unlike")
-    lows = some.groupBy("key", "seg").agg(F.min("id").alias("first"))
+    # Sums are written before they are joined: a join right on top of them couldn't be split where one key is common.
+    lows = scratch.write(some.groupBy("key", "seg").agg(F.min("id").alias("first")))
     told = scratch.write(some.join(lows, ["key", "seg"]).select("id", "mark", "key", "p", "m", (F.col("id") > F.col("first")).alias("gone")))
     edges = told.where("NOT gone").groupBy("id", "mark").agg(F.collect_list(F.struct("key", "p", "m")).alias("parts"))
     texts = docs.select("id", "mark", "text").join(edges.hint("shuffle_hash"), ["id", "mark"])
     wins = scratch.write(_windows(texts.select("id", "mark", "text", "parts"), window))
-    best = wins.groupBy("key", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    best = scratch.write(wins.groupBy("key", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"))
     late = wins.join(best, ["key", "win"]).where("id > first").select("id", "mark", "p", F.lit(1).alias("m"))
     return met.where("NOT unlike").select("id", "mark", "p", "m").unionByName(told.where("gone").select("id", "mark", "p", "m")).unionByName(late)
 
