@@ -407,7 +407,8 @@ def near_duplicates(
     classes = scratch.write(known.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("rep")))
     spread = known.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("keys").alias("key"))
     # Each bucket's smallest id stands against all its others; the signatures tell which of these pairs are worth an alignment.
-    buckets = spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last")
+    # Sums are written before they are joined: a join right on top of them couldn't be split where one key is common.
+    buckets = scratch.write(spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").drop("last"))
     met = scratch.write(spread.join(buckets, "key").where("id > a").select("a", F.col("id").alias("b")).distinct())
     bags = known.select("id", "n", "bag")
     close = scratch.write(_possible(met, bags, share))
@@ -415,7 +416,7 @@ def near_duplicates(
     near = scratch.write(components(scratch, links))
     # Members of one bucket that aren't one component yet meet too.
     members = met.select("a", F.col("b").alias("id")).join(near, "id", "left").withColumn("root", F.coalesce("root", "id")).join(bags, "id")
-    groups = members.groupBy("a").agg(F.count("*").alias("of"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("a", "of")
+    groups = scratch.write(members.groupBy("a").agg(F.count("*").alias("of"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("a", "of"))
     members = scratch.write(members.join(groups, "a").select("a", "id", "root", "n", "bag", "of"))
     rest = _within_groups(members.where(F.col("of") <= most_in_block), share)
     crowds = members.where(F.col("of") > most_in_block)
@@ -425,7 +426,7 @@ def near_duplicates(
     close = scratch.write(rest.distinct())
     if not close.isEmpty():
         near = scratch.write(components(scratch, links.unionByName(_checked(scratch, close, texts, share))))
-    scratch.drop(met, members, close)
+    scratch.drop(buckets, groups, met, members, close)
     classed = known.join(classes, ["c1", "c2"], "left").select("id", F.coalesce("rep", "id").alias("rep"))
     classed = classed.join(near.select(F.col("id").alias("rep"), "root"), "rep", "left").select(F.col("id").alias("of"), F.coalesce("root", "rep").alias("class_id"))
     out = whole.select(F.col("id").alias("doc_id")).join(classed, F.col("doc_id") == F.col("of"), "left")
