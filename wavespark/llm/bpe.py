@@ -15,7 +15,7 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -110,12 +110,24 @@ def library_differences() -> tuple[Pairs, Pairs]:
     return tuple(lower), tuple(kinds)
 
 
+def ranges(points: Iterable[int]) -> list[tuple[int, int]]:
+    """The runs of neighbours among numbers, first and last of each."""
+    out: list[tuple[int, int]] = []
+    for c in sorted(points):
+        if out and out[-1][1] == c - 1:
+            out[-1] = out[-1][0], c
+        else:
+            out.append((c, c))
+    return out
+
+
 class WordBpe:
     """The vocabulary in a file: ``encode`` to ids, ``decode`` to text, ``word`` for one word without white space."""
 
     def __init__(self, path: str, differences: tuple[Pairs, Pairs] = ((), ()), most_words: int = 250_000):
         self.lower, self.kinds = map(dict, differences)
-        odd = "".join(re.escape(chr(c)) for c in sorted(self.lower.keys() | self.kinds.keys()))
+        # Ranges, as a class of single code points is walked one by one; ASCII texts don't come to it.
+        odd = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges(self.lower.keys() | self.kinds.keys()))
         self.odd = re.compile(f"[{odd}]").search if odd else lambda text: None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -179,7 +191,8 @@ class WordBpe:
 
     def plain(self, text: str) -> list[int]:
         """Ids of text that holds no special token."""
-        out: list[int] = []
+        if text.isascii():
+            return self.joined(self.pieces(text.lower()))
         text = unicodedata.normalize("NFC", text)
         if self.odd(text):
             text = "".join([self.lower[ord(c)] if ord(c) in self.lower else c.replace("Σ", "σ").lower() for c in text])
@@ -187,6 +200,10 @@ class WordBpe:
             pieces = [text[m.start() : m.end()] for m in self.split(text.translate(self.kinds))]
         else:
             pieces = self.pieces(text.replace("Σ", "σ").lower())
+        return self.joined(pieces)
+
+    def joined(self, pieces: list[str]) -> list[int]:
+        out: list[int] = []
         for piece in pieces:
             out += self.piece[piece] if len(piece) <= LONGEST_KEPT else self.encode_piece(piece)
         return out
@@ -233,13 +250,13 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: s
     read, encoded and written by one task, and lost tasks are simply run again.
     """
     spark.sparkContext.addFile(vocabulary)
-    name, differences = vocabulary.rsplit("/", 1)[-1], library_differences()
+    name, shared = vocabulary.rsplit("/", 1)[-1], spark.sparkContext.broadcast(library_differences())  # as many as Unicode has
     added = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     added += [("ids", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("decoded", T.StringType(), pa.string())] * keep_ids
     rest = docs.drop(*[n for n, _, _ in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(SparkFiles.get(name), differences)
+        bpe = loaded(SparkFiles.get(name), shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
