@@ -18,7 +18,9 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, normalizers
 
+from .words import gather, portions, word_table
+
 #: Unicode white space as the vocabulary's own patterns have it (without the separators U+001C to U+001F).
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -124,7 +128,7 @@ def ranges(points: Iterable[int]) -> list[tuple[int, int]]:
 class WordBpe:
     """The vocabulary in a file: ``encode`` to ids, ``decode`` to text, ``word`` for one word without white space."""
 
-    def __init__(self, path: str, differences: tuple[Pairs, Pairs] = ((), ()), most_words: int = 250_000):
+    def __init__(self, path: str, differences: tuple[Pairs, Pairs] = ((), ()), most_words: int = 450_000):
         self.lower, self.kinds = map(dict, differences)
         # Ranges, as a class of single code points is walked one by one; ASCII texts don't come to it.
         odd = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in ranges(self.lower.keys() | self.kinds.keys()))
@@ -134,9 +138,14 @@ class WordBpe:
         model = spec["model"]
         self.ids, self.end = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.begin = {t[0] for t in self.special}
         self.text = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.letters = byte_letters()
+        # Symbols are ids: a pair is one number, and each rank has the id that its merge makes.
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        self.ranks = {self.ids[a] << 32 | self.ids[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[a + b] for a, b in pairs]
+        self.inner = [self.ids[x] for x in byte_letters()]
+        self.last = [self.ids[x + self.end] for x in byte_letters()]
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = regex.compile(split.replace(r"\s", SPACE))
         self.pieces, self.split = pattern.findall, pattern.finditer
@@ -145,49 +154,50 @@ class WordBpe:
         self.known = Recent(self.word, most_words)
         self.piece = Recent(self.encode_piece, most_words)
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merge until no pair has a rank: the root of the tree says which. The tree is ``PairTree``, with its updates
-        written out here, as they are most of the work."""
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Merge until no pair has a rank: the root of the tree says which. The tree is that of ``PairTree``, written
+        out here, as it is most of the work."""
         n = len(symbols)
         if n < 2:
             return symbols
-        rank, none = self.ranks.get, len(self.ranks) * n + n
-        tree = PairTree([none if (r := rank(pair)) is None else r * n + i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False))], none)
-        node, width = tree.node, tree.width
+        rank, made, none = self.ranks.get, self.made, len(self.made) * n + n
+        width = 1 << (n - 2).bit_length()
+        level = [none if (r := rank(a << 32 | b)) is None else r * n + i for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False))]
+        node = level = level + [none] * (width - n + 1)
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            node = level + node
+        node.insert(0, none)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while (top := node[1]) < none:
-            i = top % n
+            r, i = divmod(top, n)
             j = after[i]
-            symbols[i] += symbols[j]
-            symbols[j] = ""
+            symbols[i] = one = made[r]
+            symbols[j] = -1
             after[i] = k = after[j]
-            h = before[i]
-            changed = []
+            changes = []
             if j < n - 1:
-                changed.append((j, none))
+                changes.append((width + j, none))
             if k < n:
                 before[k] = i
-                r = rank((symbols[i], symbols[k]))
-                changed.append((i, none if r is None else r * n + i))
+                r = rank(one << 32 | symbols[k])
+                changes.append((width + i, none if r is None else r * n + i))
             else:
-                changed.append((i, none))
-            if h >= 0:
-                r = rank((symbols[h], symbols[i]))
-                changed.append((h, none if r is None else r * n + h))
-            for place, key in changed:
-                at = width + place
-                if node[at] == key:
-                    continue
-                node[at] = key
-                while at > 1:
-                    other = node[at ^ 1]
-                    at >>= 1
-                    if key > other:
-                        key = other
-                    if node[at] == key:
-                        break
+                changes.append((width + i, none))
+            if (h := before[i]) >= 0:
+                r = rank(symbols[h] << 32 | one)
+                changes.append((width + h, none if r is None else r * n + h))
+            for at, key in changes:
+                if node[at] != key:
                     node[at] = key
-        return [s for s in symbols if s]
+                    while at > 1:
+                        if key > (other := node[at ^ 1]):
+                            key = other
+                        at >>= 1
+                        if node[at] == key:
+                            break
+                        node[at] = key
+        return [s for s in symbols if s >= 0]
 
     def plain(self, text: str) -> list[int]:
         """Ids of text that holds no special token."""
@@ -209,11 +219,14 @@ class WordBpe:
         return out
 
     def encode_piece(self, piece: str) -> list[int]:
-        symbols = [self.letters[b] for b in piece.encode("utf-8", "surrogatepass")]
-        symbols[-1] += self.end
-        return [self.ids[s] for s in self.merge(symbols)]
+        data = piece.encode("utf-8", "surrogatepass")
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.last[data[-1]]
+        return self.merge(symbols)
 
     def encode_word(self, word: str) -> list[int]:
+        if not any(c in word for c in self.begin):
+            return self.plain(word)
         out: list[int] = []
         for part in self.at_special(word):
             out += [self.special[part]] if part in self.special else self.plain(part) if part else []
@@ -236,6 +249,20 @@ class WordBpe:
         found = [known[w] if len(w) <= LONGEST_KEPT else self.word(w) for w in self.words(text or "")]
         return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
 
+    def texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Buffer]]:
+        """Ids and decoded text in UTF-8 of each text; words that the texts share are looked up once."""
+        bounds, which, words = word_table(texts)
+        known = self.known
+        found = [known[w] if len(w) <= LONGEST_KEPT else self.word(w) for w in words]
+        ids, ends = gather([f[0] for f in found], which, bounds, np.dtype("<u4"))
+        said = pa.array([f[1] or None for f in found], pa.string()).take(pa.array(which))
+        if said.null_count:  # words without a token
+            bounds = np.concatenate(([0], np.cumsum(said.is_valid().to_numpy(zero_copy_only=False))))[bounds]
+            said = said.drop_null()
+        decoded = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), said), " ").cast(pa.binary())
+        for a, b, one in zip(ends[:-1].tolist(), ends[1:].tolist(), decoded, strict=True):
+            yield ids[a:b], one.as_buffer()
+
 
 @lru_cache(maxsize=1)
 def loaded(path: str, differences: tuple[Pairs, Pairs]) -> WordBpe:
@@ -258,13 +285,11 @@ def encode_decode(spark: SparkSession, docs: DataFrame, vocabulary: str, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(SparkFiles.get(name), shared.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in portions(whole, text):
                 cols: list[list] = [[] for _ in added]
-                for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                    ids, decoded = bpe.both(t)
-                    row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()]
-                    row += [array("I", ids).tolist(), decoded] * keep_ids
+                for ids, decoded in bpe.texts(batch.column(batch.schema.get_field_index(text))):
+                    row = [len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                    row += [ids, str(decoded, "utf-8")] * keep_ids
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, (_, _, t) in zip(cols, added, strict=True)]], names=[*batch.schema.names, *[n for n, _, _ in added]])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, maxscore, mixing, order_minhash, quality, recompression, vectors, wrappers
+from . import bpe, chat, fim, licenses, maxscore, mixing, order_minhash, quality, recompression, token_files, vectors, wrappers
+from .common import shared_dir
 
 #: The vocabulary of op4; a parameter, never copied.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +71,17 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.fill_in_middle(docs, keep_output=False).drop("text", "output")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    token_files.write_token_files(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, folder, end_id=2)
+    return token_files.read_token_files(spark, folder)
+
+
 QUERIES = {
     "op1_site_quality": op1_site_quality,
     "op2_order_minhash": op2_order_minhash,
@@ -79,6 +93,8 @@ QUERIES = {
     "op8_wrapper_text": op8_wrapper_text,
     "op9_rotated_codes": op9_rotated_codes,
     "op10_chat_format": op10_chat_format,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_token_files": op13_token_files,
 }
 
 #: DuckDB SQL of the same rows, where SQL can say it.
@@ -161,3 +177,14 @@ SELECT conv_id, count(*) AS n_turns,
     AND (following IS NOT NULL OR role = 'assistant')) AS valid
 FROM e GROUP BY conv_id
 """
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+k AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS y, CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
