@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, licenses, maxscore, mixing, order_minhash, quality, recompression, token_files, vectors, wrappers
+from . import bpe, chat, divergence, fim, licenses, maxscore, mixing, order_minhash, quality, recompression, token_files, vectors, wrappers
 from .common import shared_dir
 
 #: The vocabulary of op4; a parameter, never copied.
@@ -76,6 +76,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(docs, keep_output=False).drop("text", "output")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, folder, end_id=2)
@@ -94,6 +98,7 @@ QUERIES = {
     "op9_rotated_codes": op9_rotated_codes,
     "op10_chat_format": op10_chat_format,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_audit": op12_source_audit,
     "op13_token_files": op13_token_files,
 }
 
@@ -188,3 +193,19 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CA
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(t) AS restored_sha256 FROM p
 """
+
+ORACLES["op12_source_audit"] = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS t, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS BIGINT) AS ln FROM w GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+c AS (SELECT lang, source, term, CAST(count(*) AS BIGINT) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v, CAST(sum(ln) AS BIGINT) AS total FROM k GROUP BY 1),
+g AS (SELECT d.lang, d.source, coalesce(CAST(any_value(s.n) AS BIGINT), 0) AS total FROM d LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) s USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.total + 2 * v.v) AS p, 1 + (1000000000 * (k.ln + 2)) // (v.total + 2 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // (p + q) AS BIGINT) FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM f)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
