@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
 from tokenizers import Tokenizer
@@ -99,6 +100,19 @@ def test_codec_round_trips():
         rans.Tables(rans.frequencies([1, 0])).encode([np.array([1])])
 
 
+def test_words_are_encoded_as_in_their_texts(monkeypatch):
+    """Words taken apart at their end, looked up in tables that are full at once, against the library on whole texts."""
+    monkeypatch.setattr(token_files, "KNOWN", 50)
+    own, library, rng = token_files.Words(PATH), Tokenizer.from_file(PATH), random.Random(1)
+    parts = ["a", "B", "É", "é", "'s", "'", "...", "*", ",", "<|endoftext|>", "<|", "1", "²", "Ⅷ", "字", "\u0301", "ſ", "İ", "ﬁ", "^^", "&", "%.", "_", "-", " ", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        ids, sizes = own.encode(pa.array(some))
+        for t, end, n in zip(some, np.cumsum(sizes), sizes, strict=True):
+            assert ids[end - n : end].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_damage_is_noticed():
     tables = rans.Tables(rans.frequencies([5, 3, 2]))
     data = token_files.pack(tables.encode([np.array([0, 1, 2, 0, 0])])[0], [1, None], [2, 3])

@@ -40,7 +40,7 @@ from .common import Scratch
 from .words import gather, portions, word_table
 
 #: Tokens in a block, at least (the last document is whole), and in the blocks that are coded side by side.
-BLOCK, TOGETHER = 65_536, 1_000_000
+BLOCK, TOGETHER = 65_536, 4_000_000
 #: Tokens that a reading task takes, about.
 READ = 1 << 26
 MAGIC = b"tokblok1"
@@ -49,7 +49,21 @@ BLOCKS = "part long, block long, doc_ids array<long>, lengths array<long>, ids b
 MANIFEST = "part long, block long, path string, offset long, length long, tokens long, documents long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
-KNOWN, LONGEST = 500_000, 64
+KNOWN, LONGEST = 300_000, 64
+#: Marks that a word is taken apart at when it ends in them.
+MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`"
+
+
+def _parts(word: str) -> tuple[str, ...]:
+    """A word in parts that are encoded apart: its stem, in small letters, and the marks at its end. The vocabularies' patterns never
+    join a letter or digit to what is none; an apostrophe or what a special token is written with leaves a word whole."""
+    if "<" in word or "|" in word:
+        return (word,)
+    stem = word.rstrip(MARKS)
+    if not stem or stem[-1] > "\u00ff" or not stem[-1].isalnum():
+        return (word,)
+    small = stem.lower() if stem.isascii() else stem
+    return (small,) if len(stem) == len(word) else (small, word[len(stem) :])
 
 
 class Words:
@@ -67,22 +81,34 @@ class Words:
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_cores: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
 
     def of(self, words: list[str]) -> list[bytes]:
         """The ids of different words."""
-        young = self.young
+        young, old = self.young, self.old
         found = list(map(young.get, words))
         missing = [i for i, f in enumerate(found) if f is None]
-        new = [i for i in missing if words[i] not in self.old]
+        parts = {i: _parts(words[i]) for i in missing if words[i] not in old}
+        cores = self.cores([c for c in dict.fromkeys(p for some in parts.values() for p in some)])
         for i in missing:
-            found[i] = self.old.get(words[i])
-        for i, e in zip(new, self.library.encode_batch_fast([words[i] for i in new], add_special_tokens=False) if new else [], strict=True):
-            found[i] = np.array(e.ids, self.type).tobytes()
+            found[i] = b"".join([cores[p] for p in parts[i]]) if i in parts else old[words[i]]
         young.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST)
         if len(young) >= KNOWN:
             self.old, self.young = young, {}
         return found
 
+    def cores(self, parts: list[str]) -> dict[str, bytes]:
+        young, old = self.young_cores, self.old_cores
+        out = {p: f if (f := young.get(p)) is not None else old.get(p) for p in parts}
+        new = [p for p, f in out.items() if f is None]
+        if new:
+            out.update((p, np.array(e.ids, self.type).tobytes()) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
+        young.update((p, f) for p, f in out.items() if len(p) <= LONGEST)
+        if len(young) >= KNOWN:
+            self.old_cores, self.young_cores = young, {}
+        return out
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's."""
         bounds, which, words = word_table(texts)
