@@ -49,7 +49,9 @@ BLOCKS = "part long, block long, doc_ids array<long>, lengths array<long>, ids b
 MANIFEST = "part long, block long, path string, offset long, length long, tokens long, documents long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
-KNOWN, LONGEST = 300_000, 64
+KNOWN, LONGEST = 250_000, 64
+#: Documents whose words are looked up together.
+ROWS = 3072
 #: Marks that a word is taken apart at when it ends in them.
 MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`"
 
@@ -138,7 +140,7 @@ def token_blocks(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
         words, block = _words(SparkFiles.get(name)), 0
         part, doc_ids, lengths, kept, held = None, [], [], [], 0
         for whole in batches:
-            for batch in portions(whole, "text"):
+            for batch in portions(whole, "text", ROWS):
                 part = batch.column(0)[0].as_py() if part is None else part
                 ids, sizes = words.encode(batch.column(2))
                 ends = np.cumsum(sizes)
