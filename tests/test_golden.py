@@ -1,10 +1,12 @@
 """Small captures with known answers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from wavespark.functions import times, values
-from wavespark.operators import axis, grids, intervals, joins, measure, runs, spi, spi_state
+from wavespark.operators import axis, grids, intervals, joins, measure, runs, spi, spi_decode
 from wavespark.plans.conditions import S, literal
 from wavespark.sources import csvfile, vcdfile
 
@@ -230,7 +232,7 @@ def test_spi_lanes_and_polarity(spark):
         plan = spi.planned(moved, spi.command_table(spark))
         found = spi.fields(moved, plan, lines)
         rows = {r.frame: r for r in spi.transactions(found, plan, framed).collect()}
-        assert (rows[0].name, rows[0].data_bytes, rows[1].name, rows[1].data_bytes) == ("Read Id", 2, None, 1)
+        assert (rows[0].name, rows[0].data_bytes, rows[1].name, rows[1].data_bytes) == ("READ ID", 2, None, 1)
         text = lambda lane=None: {r.frame: r.text for r in spi.export_frames(found, lane=lane).collect()}
         assert text() == {0: "EF 40", 1: "11"} and text("in") == {0: "EF 40", 1: "22"}
         hits = lambda *b, **how: sorted(r.frame for r in spi.find_bytes(found, list(b), **how).collect())
@@ -249,10 +251,9 @@ def test_spi_modes(spark):
     frames = [one("02123456AA"), one("B7"), one("0212345678AA"), one("35"), four("0212345678AA"), four("E9"), four("02123456AA"), four("F5"), one("02123456AA"), one("B7"), one("66"), one("99"), one("02123456AA"), one("B7"), one("66"), one("05"), one("99"), one("0212345678AA")]
     data = spi_wave(spark, frames, *lines)
     framed = spi.frames(data)
-    moved = spi.transfers(data, framed, lines=lines)
     for size in (1 << 10, 3, 2):
-        plan = spi_state.planned_by_mode(moved, spi.command_table(spark), lines, size)
-        told = {r.frame: r.address for r in spi.transactions(spi.fields(moved, plan, lines), plan, framed).where("opcode = 2").collect()}
+        table, _ = spi_decode.decode(data, framed, lines=lines, before_edge=False, bucket=size)
+        told = {r.frame: r.address for r in table.where("opcode = 2").collect()}
         assert told == {0: 0x123456, 2: 0x12345678, 4: 0x12345678, 6: 0x123456, 8: 0x123456, 12: 0x123456, 17: 0x12345678}, size
 
 
@@ -336,8 +337,52 @@ def test_wide_values_have_one_form(spark):
     assert keys[0] == keys[1] == f"w:{2**70 + 5:b}" and keys[2] == keys[3] == f"i:{2**63 - 1}" and keys[4] == f"w:-{2**64:b}"
 
 
-def test_command_codes_are_unique():
-    assert len({c[0] for c in spi.COMMANDS}) == len(spi.COMMANDS) == 69
+def test_frequency_texts_round_the_exact_value(spark):
+    hertz = [1500905.0, 1e15, 0.00001234, 999999.7, 999.9999, 1000.0, 0.0, 1234567.5, 2.5e9, 0.5]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(hertz)], "i int, h double").select("i", times.frequency_text(F.col("h")).alias("t")).orderBy("i").collect()
+    want = ["1.5009 MHz", "1e+06 GHz", "1.234e-05 Hz", "1000 kHz", "1000 Hz", "1 kHz", "0 Hz", "1.23457 MHz", "2.5 GHz", "0.5 Hz"]
+    assert [r.t for r in got] == want
+
+
+def test_cells_that_are_values_and_cells_that_are_none(spark):
+    cases = [("1X", "UNSIGNED", None), ("X?", "SIGNED", "X?"), ("-5", "HEX", -5), ("+5", "BINARY", None), ("+101", "BINARY", 5), ("-0x1F", "HEX", None), ("0x1F", "HEX", 31), ("0xX1", "HEX", "X1"), ("-12", "SIGNED", -12), ("+12", "UNSIGNED", 12), ("7X", "OCTAL", "7X"), ("8X", "OCTAL", None), ("", "HEX", None), ("-", "HEX", None), ("1_000", "UNSIGNED", 1000)]
+    for text, radix, want in cases:
+        r = spark.range(1).select(values.parse_value(F.lit(text), radix).alias("v")).first().v
+        assert (r.num if r.num is not None else r.txt) == want, (text, radix)
+
+
+def test_sequences_over_sparse_buckets(spark):
+    rng = random.Random(4)
+    at = sorted(rng.sample(range(4000), 60))
+    kinds = [rng.choice("ab") for _ in at]
+    df = spark.createDataFrame([(0, a, a + 1, k) for a, k in zip(at, kinds, strict=True)], "capture_id long, start long, end long, k string")
+    stages = [F.col("k") == "a", F.col("k") == "b", F.col("k") == "a"]
+    want = spans(intervals.sequence(df, stages))
+    assert want and all(spans(intervals.bucketed_sequence(df, stages, size=n)) == want for n in (1, 4, 7, 100, 10_000))
+
+
+def test_bytes_are_written_in_order_or_not_at_all(spark, tmp_path):
+    frames = [[(b, 0) for b in bits("DE")], [(b, 0) for b in bits("ADBE")], [(b, 0) for b in bits("EF")]]
+    data = spi_wave(spark, frames, "io0", "io1")
+    found = spi.fields(spi.transfers(data, spi.frames(data)), spi.raw_plan(spi.frames(data)))
+    path = f"file://{tmp_path}/out"
+    read = lambda: b"".join(p.read_bytes() for p in sorted((tmp_path / "out").iterdir()))
+    parts = spi.export_binary(found.repartition(3), path)
+    assert read() == bytes.fromhex("DEADBEEF") and parts.agg(F.sum("bytes")).first()[0] == 4
+    with pytest.raises(ValueError, match="unknown"):
+        spi.export_binary(found.withColumn("unknown", F.col("value") == 0xEF), path)
+    assert read() == bytes.fromhex("DEADBEEF")
+    spi.export_binary(found.where("value <> 190"), path)
+    assert read() == bytes.fromhex("DEADEF") and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_an_opcode_with_an_unknown_bit_asks_for_nothing(spark):
+    wave = [[(b, 0) for b in bits("9FC2")]]
+    data = spi_wave(spark, wave, "io0", "io1")
+    framed = spi.frames(data)
+    moved = spi.transfers(data, framed, lines=("io0", "io1")).withColumn("io0", F.when(F.col("ordinal") == 3, -1).otherwise(F.col("io0")))
+    found = spi.fields(moved, spi.planned(moved, spi.command_table(spark)), ("io0", "io1"))
+    assert [(r.kind, r.unknown) for r in found.collect()] == [("CMD", True)]
 
 
 def test_empty_inputs(spark):

@@ -1,4 +1,4 @@
-"""Every query of the wave operators against its DuckDB SQL."""
+"""Every query of the wave operators against its DuckDB SQL; those of scalar functions over more rows."""
 
 import duckdb
 import pytest
@@ -6,10 +6,13 @@ import pytest
 from wavespark.plans.queries import ORACLES, QUERIES
 
 TABLES = ("events",)
+#: Queries that compare each row by itself: more rows hold more cases.
+SCALAR = {"frequency_texts", "format_radices", "bit_select_pack", "bit_reverse", "parse_cells"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_oracle(spark, docs_dir, name):
+    docs_dir = docs_dir.replace("sf0.001", "sf0.01") if name in SCALAR else docs_dir
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{docs_dir}/{t}.parquet'")

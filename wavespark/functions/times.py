@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from decimal import Decimal, InvalidOperation
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,21 +78,23 @@ def ruler_text(seconds: Column, step: float) -> Column:
 
 
 def six_digits(number: Column) -> Column:
-    """A number of 1 and more (or 0) with six significant digits, without zeros at the end."""
-    whole = F.length(F.floor(number).cast("string"))
-    out = F.format_string("%.0f", number)
-    for d in range(1, 6):
-        out = F.when(whole == 6 - d, F.regexp_replace(F.format_string(f"%.{d}f", number), r"\.?0+$", "")).otherwise(out)
-    return out
+    """A number with six significant digits of its exact binary value, without zeros at the end; Spark's own formats round the
+    shortest decimal instead, so batches go to pandas."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if pd.isna(v) else f"{v:.6g}")
+
+    return run(number)
 
 
 def frequency_text(hertz: Column) -> Column:
     """GHz, MHz, kHz or Hz with six significant digits."""
-    out = F.concat(six_digits(hertz), F.lit(" Hz"))
-    for unit, name in (("khz", "kHz"), ("mhz", "MHz"), ("ghz", "GHz")):
-        size = 10.0 ** HERTZ[unit]
-        out = F.when(hertz >= size, F.concat(six_digits(hertz / F.lit(size)), F.lit(f" {name}"))).otherwise(out)
-    return out
+    number, unit = hertz.cast("double"), F.lit("Hz")
+    for key, name in (("khz", "kHz"), ("mhz", "MHz"), ("ghz", "GHz")):
+        size = 10.0 ** HERTZ[key]
+        number, unit = F.when(hertz >= size, hertz / F.lit(size)).otherwise(number), F.when(hertz >= size, F.lit(name)).otherwise(unit)
+    return F.concat(six_digits(number), F.lit(" "), unit)
 
 
 def between(tick: Column, low: Column, high: Column, sample: Column) -> Column:

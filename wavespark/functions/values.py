@@ -33,8 +33,9 @@ def parse_value(text: Column, radix: str) -> Column:
     t = F.upper(F.regexp_replace(F.trim(text), "_", ""))
     if bits in (1, 4):
         t = F.regexp_replace(t, "^0X" if bits == 4 else "^0B", "")
-    sign = "-?" if bits == 0 else ""
-    known, unknown = t.rlike(f"^{sign}[{digits}]+$"), t.rlike(f"^[{digits}XZ?]+$")
+    sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    known, unknown = t.rlike(f"^[+-]?[{digits}]+$"), t.rlike("^[XZ?]+$" if bits == 0 else f"^[{digits}XZ?]+$")
+    t = F.when(known, F.concat(sign if bits == 0 else F.lit(""), F.regexp_replace(t, "^[+-]", ""))).otherwise(t)
     short = F.length(F.regexp_replace(t, "^-", "")) <= most
     none_long, none_text = F.lit(None).cast("long"), F.lit(None).cast("string")
     num = t.cast("long") if bits == 0 else F.conv(t, 1 << bits, 10).cast("long")
@@ -43,7 +44,8 @@ def parse_value(text: Column, radix: str) -> Column:
         each = F.transform(F.split(t, ""), lambda d: F.lpad(F.conv(d, 1 << bits, 2), bits, "0"))
         joined = F.regexp_replace(F.array_join(each, ""), "^0+(?=.)", "")
         num = F.when(short, num).otherwise(F.when(F.length(joined) <= 63, F.conv(joined, 2, 10).cast("long")))
-        wide = F.when(known & ~short & (F.length(joined) > 63), joined)
+        num = F.when(sign == "-", -num).otherwise(num)
+        wide = F.when(known & ~short & (F.length(joined) > 63), F.concat(sign, joined))
     else:
         # Longer decimals become numbers or binary digits too, so that a value has one form whatever its radix.
         n = F.regexp_replace(t, "^-", "").try_cast("decimal(38,0)")
@@ -54,7 +56,6 @@ def parse_value(text: Column, radix: str) -> Column:
         digits = F.regexp_replace(digits, "^0+(?=.)", "")
         fits = known & ~short & (F.length(F.regexp_replace(t, "^-?0*", "")) <= WIDEST_DECIMAL)
         num = F.when(short, num).otherwise(F.when(fits, t.try_cast("long")))
-        sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
         wide = F.when(fits & t.try_cast("long").isNull(), F.concat(sign, digits)).otherwise(F.when(known & ~short & ~fits, t))
     return F.struct(F.when(known, num).otherwise(none_long).alias("num"), F.when(known, wide).otherwise(none_text).alias("wide"), F.when(~known & unknown, t).otherwise(none_text).alias("txt"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .axis import BUCKET, merge_touching
+from .axis import BUCKET, bucket_of, merge_touching, number_rows
 
 
 def highlight(points: DataFrame, condition: Column, lower: Column | int = 0, upper: Column | int | None = None, keys: Sequence[str] = ("capture_id",), size: int | None = None) -> DataFrame:
@@ -61,18 +61,17 @@ def sequence(points: DataFrame, stages: Sequence[Column], keys: Sequence[str] =
 
 
 def bucketed_sequence(points: DataFrame, stages: Sequence[Column], keys: Sequence[str] = ("capture_id",), size: int = BUCKET) -> DataFrame:
-    """The same for one long axis: each bucket also gets the first k - 1 points of those after it, so that a match never
-    needs a window over the whole axis. Points must be dense enough that a bucket holds k - 1 of them."""
-    from .axis import bucket_of
-
+    """The same for one long axis. Points are numbered first, and buckets are of their numbers, so each but the last holds as many
+    however sparse the points are, and the first k - 1 of the next one complete every match; no window goes over the whole axis."""
     k = len(stages)
-    own = points.withColumn("_b", bucket_of(F.col("start"), size)).withColumn("_own", F.lit(True))
-    head = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("start")) < k
-    more = own.withColumn("_head", head).where("_head").drop("_head").withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
-    w = Window.partitionBy(*keys, "_b").orderBy("start")
-    told = own.unionByName(more).withColumns({f"_s{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(stages)})
+    size = max(size, k)
+    told = points.withColumns({f"_s{i}": F.coalesce(c, F.lit(False)) for i, c in enumerate(stages)})
+    told = number_rows(told.select(*keys, "start", "end", *[f"_s{i}" for i in range(k)]), "start", keys, "_n", size)
+    own = told.withColumn("_b", bucket_of(F.col("_n"), size)).withColumn("_own", F.lit(True))
+    more = own.where((F.col("_n") % size < k - 1) & (F.col("_b") > 0)).withColumn("_b", F.col("_b") - 1).withColumn("_own", F.lit(False))
+    w = Window.partitionBy(*keys, "_b").orderBy("_n")
     all_ = F.col("_s0") & F.col("_own")
     for i in range(1, k):
         all_ = all_ & F.coalesce(F.lead(f"_s{i}", i).over(w), F.lit(False))
-    found = told.withColumn("_end", F.lead("end", k - 1).over(w) if k > 1 else F.col("end")).withColumn("_all", all_).where("_all")
+    found = own.unionByName(more).withColumn("_end", F.lead("end", k - 1).over(w) if k > 1 else F.col("end")).withColumn("_all", all_).where("_all")
     return merge_touching(found.select(*keys, "start", F.col("_end").alias("end")), keys, size)

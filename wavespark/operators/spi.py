@@ -14,87 +14,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import level
+from ..sources.files import write_bytes
 from .axis import fill_forward, neighbour, number_rows
+from .flash import Command, common
 
 FRAME = ["capture_id", "frame"]
-#: code, name, address bytes, address lines, dummy clocks, data lines, direction: serial-flash commands, as they are after a
-#: reset (one command line). The five DTR reads are left out, as both-edge transfers are not built.
-COMMANDS = [
-    (0x66, "Reset Enable", 0, 1, 0, 0, ""),
-    (0x99, "Reset Memory", 0, 1, 0, 0, ""),
-    (0x9E, "Read Id", 0, 1, 0, 1, "read"),
-    (0x9F, "Read Id", 0, 1, 0, 1, "read"),
-    (0xAF, "Multiple I/O Read Id", 0, 1, 0, 1, "read"),
-    (0x5A, "Read SFDP", 3, 1, 8, 1, "read"),
-    (0x03, "Read", 3, 1, 0, 1, "read"),
-    (0x0B, "Fast Read", 3, 1, 8, 1, "read"),
-    (0x3B, "Dual Output Fast Read", 3, 1, 8, 2, "read"),
-    (0xBB, "Dual I/O Fast Read", 3, 2, 8, 2, "read"),
-    (0x6B, "Quad Output Fast Read", 3, 1, 8, 4, "read"),
-    (0xEB, "Quad I/O Fast Read", 3, 4, 10, 4, "read"),
-    (0xE7, "Quad I/O Word Read", 3, 4, 4, 4, "read"),
-    (0x13, "4-Byte Read", 4, 1, 0, 1, "read"),
-    (0x0C, "4-Byte Fast Read", 4, 1, 8, 1, "read"),
-    (0x6C, "4-Byte Quad Output Fast Read", 4, 1, 8, 4, "read"),
-    (0xEC, "4-Byte Quad I/O Fast Read", 4, 4, 10, 4, "read"),
-    (0x06, "Write Enable", 0, 1, 0, 0, ""),
-    (0x04, "Write Disable", 0, 1, 0, 0, ""),
-    (0x05, "Read Status", 0, 1, 0, 1, "read"),
-    (0x70, "Read Flag Status", 0, 1, 0, 1, "read"),
-    (0xB5, "Read Nonvolatile Configuration", 0, 1, 0, 1, "read"),
-    (0x85, "Read Volatile Configuration", 0, 1, 0, 1, "read"),
-    (0x65, "Read Enhanced Volatile Configuration", 0, 1, 0, 1, "read"),
-    (0x96, "Read General Purpose Read Register", 0, 1, 8, 1, "read"),
-    (0x01, "Write Status", 0, 1, 0, 1, "write"),
-    (0xB1, "Write Nonvolatile Configuration", 0, 1, 0, 1, "write"),
-    (0x81, "Write Volatile Configuration", 0, 1, 0, 1, "write"),
-    (0x61, "Write Enhanced Volatile Configuration", 0, 1, 0, 1, "write"),
-    (0x50, "Clear Flag Status", 0, 1, 0, 0, ""),
-    (0x02, "Page Program", 3, 1, 0, 1, "write"),
-    (0xA2, "Dual Input Fast Program", 3, 1, 0, 2, "write"),
-    (0xD2, "Extended Dual Input Fast Program", 3, 2, 0, 2, "write"),
-    (0x32, "Quad Input Fast Program", 3, 1, 0, 4, "write"),
-    (0x38, "Extended Quad Input Fast Program", 3, 4, 0, 4, "write"),
-    (0x12, "4-Byte Page Program", 4, 1, 0, 1, "write"),
-    (0x34, "4-Byte Quad Input Fast Program", 4, 1, 0, 4, "write"),
-    (0x3E, "4-Byte Quad Input Extended Fast Program", 4, 4, 0, 4, "write"),
-    (0x52, "32KB Subsector Erase", 3, 1, 0, 0, ""),
-    (0x20, "4KB Subsector Erase", 3, 1, 0, 0, ""),
-    (0xD8, "Sector Erase", 3, 1, 0, 0, ""),
-    (0x21, "4-Byte 4KB Subsector Erase", 4, 1, 0, 0, ""),
-    (0x5C, "4-Byte 32KB Subsector Erase", 4, 1, 0, 0, ""),
-    (0xDC, "4-Byte Sector Erase", 4, 1, 0, 0, ""),
-    (0xC7, "Bulk Erase", 0, 1, 0, 0, ""),
-    (0x60, "Bulk Erase", 0, 1, 0, 0, ""),
-    (0x75, "Program/Erase Suspend", 0, 1, 0, 0, ""),
-    (0x7A, "Program/Erase Resume", 0, 1, 0, 0, ""),
-    (0x4B, "Read OTP Array", 3, 1, 8, 1, "read"),
-    (0x42, "Program OTP Array", 3, 1, 0, 1, "write"),
-    (0x35, "Enter Quad I/O Mode", 0, 1, 0, 0, ""),
-    (0xF5, "Reset Quad I/O Mode", 0, 1, 0, 0, ""),
-    (0xB7, "Enter 4-Byte Address Mode", 0, 1, 0, 0, ""),
-    (0xE9, "Exit 4-Byte Address Mode", 0, 1, 0, 0, ""),
-    (0xB9, "Enter Deep Power-Down", 0, 1, 0, 0, ""),
-    (0xAB, "Release From Deep Power-Down", 0, 1, 0, 0, ""),
-    (0x2D, "Read Sector Protection", 0, 1, 0, 1, "read"),
-    (0x2C, "Program Sector Protection", 0, 1, 0, 1, "write"),
-    (0xE8, "Read Volatile Lock Bits", 3, 1, 0, 1, "read"),
-    (0xE5, "Write Volatile Lock Bits", 3, 1, 0, 1, "write"),
-    (0xE2, "Read Nonvolatile Lock Bits", 4, 1, 0, 1, "read"),
-    (0xE3, "Write Nonvolatile Lock Bits", 4, 1, 0, 0, ""),
-    (0xE4, "Erase Nonvolatile Lock Bits", 0, 1, 0, 0, ""),
-    (0xA7, "Read Global Freeze Bit", 0, 1, 0, 1, "read"),
-    (0xA6, "Write Global Freeze Bit", 0, 1, 0, 0, ""),
-    (0x27, "Read Password", 0, 1, 0, 1, "read"),
-    (0x28, "Write Password", 0, 1, 0, 1, "write"),
-    (0x29, "Unlock Password", 0, 1, 0, 1, "write"),
-    (0x9B, "Interface Activation / CRC", 0, 1, 0, 1, "write"),
-]
-
-
-def command_table(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    """Commands as a table; its size is that of the list in the code."""
-    return spark.createDataFrame(rows or COMMANDS, "opcode int, name string, address_bytes int, address_lines int, dummy int, data_lines int, direction string")
+
+
+def command_table(spark: SparkSession, commands: tuple[Command, ...] | None = None, lines: int = 1) -> DataFrame:
+    """Commands without both-edge transfers as a table, as they look in the protocol of so many lines; its size is that of the set."""
+    rows = []
+    for c in commands or common():
+        if not c.dtr:
+            _, address, data = c.lines(lines)
+            rows.append((c.code, c.name, c.address, max(address, 1), c.clocks(lines), data if c.data != "none" else 0, c.data if c.data != "none" else ""))
+    return spark.createDataFrame(rows, "opcode int, name string, address_bytes int, address_lines int, dummy int, data_lines int, direction string")
 
 
 def frames(runs: DataFrame, select: str = "cs", active: int = 0, size: int | None = None) -> DataFrame:
@@ -116,12 +50,11 @@ def whole_capture(runs: DataFrame) -> DataFrame:
     return runs.groupBy("capture_id").agg(F.lit(0).cast("long").alias("frame"), F.min("start").alias("start"), F.max("end").alias("end")).withColumn("truncated", F.lit(True))
 
 
-def transfers(runs: DataFrame, framed: DataFrame, clock: str = "sck", lines: tuple[str, ...] = ("io0",), before_edge: bool = False, falling: bool = False, both_edges: bool = False, size: int | None = None) -> DataFrame:
-    """Sampling edges inside frames with their ordinal and the level of each line (-1: unknown).
+def clock_edges(runs: DataFrame, framed: DataFrame, clock: str = "sck", lines: tuple[str, ...] = ("io0",), before_edge: bool = False, falling: bool = False, size: int | None = None) -> DataFrame:
+    """All edges of the clock inside frames, with ``own`` (a sampling one) and the level of each line (-1: unknown).
 
     The changes of the clock and of all lines and the ends of the frames are one stream per capture, in which levels are
-    carried forward: one shuffle. before_edge: lines are read a sample before the edge; falling: the clock samples as it
-    falls; both_edges: every edge samples, from the first sampling one of a frame on.
+    carried forward: one shuffle. before_edge: lines are read a sample before the edge; falling: the clock samples as it falls.
     """
     moved = runs.where(F.col("signal").isin(clock, *lines)).select("capture_id", F.col("start").alias("pos"), "signal", level(F.col("num")).alias("level"), F.lit(None).cast("long").alias("frame"))
     ends = F.array(F.struct(F.col("start").alias("pos"), F.col("frame").cast("long").alias("frame")), F.struct(F.col("end").alias("pos"), F.lit(-1).cast("long").alias("frame")))
@@ -134,14 +67,21 @@ def transfers(runs: DataFrame, framed: DataFrame, clock: str = "sck", lines: tup
     held = [*wires.values(), "_frame"]
     filled = neighbour(fill_forward(at, [F.col("pos")], "pos", held, ["capture_id"], size), "pos", held, ["capture_id"], size, "_was")
     rose, fell = (F.col("_was._clock") == 0) & (F.col("_clock") == 1), (F.col("_was._clock") == 1) & (F.col("_clock") == 0)
-    own = (fell if falling else rose).alias("_own")
     levels = [F.coalesce(F.col(f"_was.{c}") if before_edge else F.col(c), F.lit(-1)).alias(n) for n, c in wires.items() if n != clock]
-    inside = filled.where((F.col("_frame") >= 0) & ((rose | fell) if both_edges else (fell if falling else rose)))
-    found = inside.select("capture_id", F.col("_frame").alias("frame"), F.col("pos").alias("edge"), own, *levels)
+    inside = filled.where((F.col("_frame") >= 0) & (rose | fell))
+    return inside.select("capture_id", F.col("_frame").alias("frame"), F.col("pos").alias("edge"), (fell if falling else rose).alias("own"), *levels)
+
+
+def transfers(runs: DataFrame, framed: DataFrame, clock: str = "sck", lines: tuple[str, ...] = ("io0",), before_edge: bool = False, falling: bool = False, both_edges: bool = False, size: int | None = None) -> DataFrame:
+    """Sampling edges inside frames (``clock_edges``) with their ordinal. both_edges: every edge samples, from the first
+    sampling one of a frame on."""
+    found = clock_edges(runs, framed, clock, lines, before_edge, falling, size)
     w = Window.partitionBy(*FRAME).orderBy("edge")
     if both_edges:
-        found = found.withColumn("_begun", F.max("_own").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_begun").drop("_begun")
-    return found.withColumn("ordinal", F.row_number().over(w) - 1).drop("_own")
+        found = found.withColumn("_begun", F.max("own").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_begun").drop("_begun")
+    else:
+        found = found.where("own")
+    return found.withColumn("ordinal", F.row_number().over(w) - 1).drop("own")
 
 
 def _level(names: tuple[str, ...], k: int) -> Column:
@@ -171,10 +111,11 @@ def opcodes(moved: DataFrame, line: str = "io0") -> DataFrame:
 
 
 def planned(moved: DataFrame, commands: DataFrame) -> DataFrame:
-    """Each frame's plan, by its opcode; unknown opcodes are data on one line, either way."""
+    """Each frame's plan, by its opcode; opcodes that the table lacks are data on one line, either way. A frame whose opcode has an
+    unknown bit, or isn't whole, asks for nothing: what follows has no plan."""
     plan = opcodes(moved).join(F.broadcast(commands), "opcode", "left")
-    none = {"address_bytes": 0, "address_lines": 1, "dummy": 0, "data_lines": 1, "direction": "both"}
-    return plan.select(*FRAME, "opcode", "name", F.lit(1).alias("command_lines"), *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
+    none = {"address_bytes": 0, "address_lines": 1, "dummy": 0, "data_lines": F.when(F.col("opcode").isNull(), 0).otherwise(1), "direction": F.when(F.col("opcode").isNull(), "none").otherwise("both")}
+    return plan.select(*FRAME, "opcode", "name", F.lit(1).alias("command_lines"), *[F.coalesce(c, v if isinstance(v, Column) else F.lit(v)).alias(c) for c, v in none.items()])
 
 
 def fields(moved: DataFrame, plan: DataFrame, names: tuple[str, ...] = ("io0",), lowest_first: bool = False) -> DataFrame:
@@ -186,7 +127,7 @@ def fields(moved: DataFrame, plan: DataFrame, names: tuple[str, ...] = ("io0",),
     """
     c = F.col
     size = lambda bits, lines: F.when(lines > 0, F.ceil(bits / F.greatest(lines, F.lit(1)))).otherwise(F.lit(0)).cast("long")
-    own = moved.join(plan, FRAME).withColumn("_c", size(F.lit(8), c("command_lines"))).withColumn("_a", size(c("address_bytes") * 8, c("address_lines")))
+    own = moved.join(plan, FRAME).where((c("direction") != "none") | (c("ordinal") * c("command_lines") < 8)).withColumn("_c", size(F.lit(8), c("command_lines"))).withColumn("_a", size(c("address_bytes") * 8, c("address_lines")))
     own = own.withColumn("_from_a", c("_c")).withColumn("_from_d", c("_c") + c("_a")).withColumn("_from_x", c("_c") + c("_a") + c("dummy"))
     o = c("ordinal")
     kind = F.when(o < c("_from_a"), "CMD").when(o < c("_from_d"), "ADDR").when(o < c("_from_x"), "DUMMY").otherwise("DATA")
@@ -283,7 +224,11 @@ def export_frames(found: DataFrame, separator: str = " ", lane: str | None = Non
     return data.groupBy(*FRAME).agg(F.array_join(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["t"]), separator).alias("text"))
 
 
-def export_binary(found: DataFrame) -> DataFrame:
-    """Data bytes of each frame as bytes; an unknown byte is 0."""
-    data = found.where("kind = 'DATA' AND NOT partial AND main").select(*FRAME, F.struct("unit", F.lpad(F.hex(F.when(F.col("unknown"), F.lit(0).cast("long")).otherwise(F.col("value"))), 2, "0").alias("t")).alias("one"))
-    return data.groupBy(*FRAME).agg(F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list("one")), lambda x: x["t"]), "")).alias("bytes"))
+def export_binary(found: DataFrame, path: str) -> DataFrame:
+    """Writes the data bytes of all captures' main lanes, in order, as a folder of parts (``sources.files.write_bytes``), one byte a field.
+    An unknown byte is an error that names its place, found before anything is written: what lay at the path stays. Returns the parts."""
+    data = found.where("kind NOT IN ('CMD', 'ADDR', 'DUMMY', 'RESET') AND NOT partial").where(F.col("main") if "main" in found.columns else F.col("lane") == 0)
+    bad = data.where("unknown").agg(F.min(F.struct(*FRAME, "start"))).first()[0]
+    if bad is not None:
+        raise ValueError(f"capture {bad.capture_id}, frame {bad.frame}: the byte at {bad.start} is unknown")
+    return write_bytes(data.select("capture_id", "start", F.unhex(F.lpad(F.hex("value"), 2, "0")).alias("value")), ["capture_id", "start"], path)

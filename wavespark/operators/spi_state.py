@@ -1,90 +1,35 @@
-"""SPI modes that one command leaves for the frames after it: lines of the protocol, address bytes, an enabled reset.
+"""Modes that one frame leaves for those after it, composed over long buses.
 
-What a frame means depends on the mode it finds, so a bus seems to be one sequential task. But a frame's effect is a small
-map from the mode before it to the mode after it, and maps compose: frames are cut into buckets, each bucket's maps are
-composed in order, and the buckets' own maps are scanned the same way, level by level. No task sees more than ``BUCKET``
-frames, whatever the length of the bus.
+What a frame means depends on the mode it finds, so a bus seems to be one sequential task. But what frames do is a map from
+the mode before them to the mode after them, and maps compose: the maps of a bucket are composed in order, and the
+buckets' own maps are scanned the same way, level by level. No task sees more than ``BUCKET`` of them, whatever the length of the bus.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .spi import FRAME, _bits
+from ..sources.files import settled
 
-#: Modes: lines of the protocol, address bytes, whether the last frame enabled a reset.
-MODES = [(lines, size, armed) for lines in (1, 2, 4) for size in (3, 4) for armed in (False, True)]
-INITIAL = MODES.index((1, 3, False))
-#: Serial-flash commands that set the lines of the protocol, and the address bytes.
-SETS_LINES, SETS_ADDRESS = {0x35: 4, 0xF5: 1}, {0xB7: 4, 0xE9: 3}
-RESET_ENABLE, RESET = 0x66, 0x99
 BUCKET = 128
 
 
-def opcodes_by_lines(moved: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Each frame's first byte as it reads on 1, 2 and 4 lines (null if there are fewer transfers or lines, or unknown bits)."""
-    out = []
-    for lines in (1, 2, 4):
-        if lines > len(names):
-            out.append(F.lit(None).cast("int").alias(f"op{lines}"))
-            continue
-        n = 8 // lines
-        value, unknown = _bits(F.lit(lines), F.lit("out"), names)
-        mine = F.col("ordinal") < n
-        shifted = F.call_function("shiftleft", value, ((n - 1 - F.col("ordinal")) * lines).cast("int"))
-        whole = (F.count_if(mine) == n) & (F.count_if(mine & unknown) == 0)
-        out.append(F.when(whole, F.sum(F.when(mine, shifted))).cast("int").alias(f"op{lines}"))
-    return moved.groupBy(*FRAME).agg(*out)
-
-
-def effect() -> Column:
-    """The mode after a frame for every mode before it, as an array of their numbers; from the columns ``op1``, ``op2``, ``op4``."""
-    out = []
-    for lines, size, armed in MODES:
-        op = F.col(f"op{lines}")
-        after = F.lit(MODES.index((lines, size, False)))
-        for code, new in SETS_LINES.items():
-            after = F.when(op == code, F.lit(MODES.index((new, size, False)))).otherwise(after)
-        for code, new in SETS_ADDRESS.items():
-            after = F.when(op == code, F.lit(MODES.index((lines, new, False)))).otherwise(after)
-        after = F.when(op == RESET_ENABLE, F.lit(MODES.index((lines, size, True)))).otherwise(after)
-        out.append(F.when((op == RESET) & F.lit(armed), F.lit(INITIAL)).otherwise(after))
-    return F.array(*out)
-
-
-def before_each(maps: DataFrame, keys: list[str], place: str, value: str, size: int = BUCKET) -> DataFrame:
-    """maps: keys, a place (from 0, one row each) and an array that maps numbers to numbers. Adds ``before``, the composition
-    of all maps before each place."""
-    same = F.array(*[F.lit(i) for i in range(len(MODES))])
+def before_each(maps: DataFrame, keys: list[str], place: str, value: str, size: int = BUCKET, modes: int = 1) -> DataFrame:
+    """maps: keys, a place (from 0, one row each) and an array that maps numbers below ``modes`` to numbers. Adds ``before``, the composition
+    of all maps before each place. Each level is written once, as the next one and its own rows are made of it."""
+    same = F.array(*[F.lit(i) for i in range(modes)])
+    size = max(2, size)
     chained = lambda first, then: F.transform(first, lambda s: F.get(then, s))
     listed = maps.select(*keys, F.floor(F.col(place) / size).cast("long").alias("_bucket"), F.struct(F.col(place).alias("p"), F.col(value).alias("m")).alias("_one"))
     grouped = listed.groupBy(*keys, "_bucket").agg(F.sort_array(F.collect_list("_one")).alias("_all"))
     upto = F.aggregate("_all", F.array(same), lambda acc, x: F.concat(acc, F.array(chained(F.element_at(acc, -1), x["m"]))))
-    grouped = grouped.withColumn("_upto", upto)
+    grouped = settled(grouped.withColumn("_upto", upto), "maps")
     if grouped.where("_bucket > 0").isEmpty():
         carried = grouped.withColumn("_carry", same)
     else:
         totals = grouped.select(*keys, "_bucket", F.element_at("_upto", -1).alias("_total"))
-        above = before_each(totals, keys, "_bucket", "_total", size).select(*keys, "_bucket", F.col("before").alias("_carry"))
+        above = before_each(totals, keys, "_bucket", "_total", size, modes).select(*keys, "_bucket", F.col("before").alias("_carry"))
         carried = grouped.join(above, [*keys, "_bucket"])
     each = carried.select(*keys, "_carry", F.explode(F.arrays_zip(F.transform("_all", lambda x: x["p"]).alias("p"), F.slice("_upto", F.lit(1), F.size("_all")).alias("m"))).alias("_x"))
     return each.select(*keys, F.col("_x.p").alias(place), chained(F.col("_carry"), F.col("_x.m")).alias("before"))
-
-
-def planned_by_mode(moved: DataFrame, commands: DataFrame, names: tuple[str, ...], size: int = BUCKET) -> DataFrame:
-    """Each frame's plan by its opcode in the mode that the frames before it left. On several lines all fields take them;
-    addresses of three bytes take as many as the mode says. Frames without a transfer are not among the rows."""
-    told = opcodes_by_lines(moved, names)
-    # Frames without transfers leave gaps in the numbers; an effect is missing there, which the scan doesn't mind.
-    modes = before_each(told.withColumn("effect", effect()), ["capture_id"], "frame", "effect", size)
-    mode = F.get("before", F.lit(INITIAL))
-    lines, address = (F.get(F.array(*[F.lit(m[i]) for m in MODES]), mode) for i in (0, 1))
-    own = told.join(modes, FRAME).select(*FRAME, "op1", "op2", "op4", lines.alias("command_lines"), address.alias("_address"))
-    opcode = F.when(F.col("command_lines") == 4, F.col("op4")).when(F.col("command_lines") == 2, F.col("op2")).otherwise(F.col("op1"))
-    found = own.withColumn("opcode", opcode).join(F.broadcast(commands), "opcode", "left")
-    wide = F.col("command_lines") > 1
-    none = {"address_bytes": 0, "address_lines": 1, "dummy": 0, "data_lines": 1, "direction": "both"}
-    filled = found.select(*FRAME, "opcode", "name", "command_lines", "_address", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in none.items()])
-    on = lambda c: F.when(wide & (F.col(c) > 0), F.col("command_lines")).otherwise(F.col(c))
-    return filled.withColumns({"address_bytes": F.when(F.col("address_bytes") == 3, F.col("_address")).otherwise(F.col("address_bytes")), "address_lines": on("address_lines"), "data_lines": on("data_lines")}).drop("_address")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import times as tm
 from ..functions import values as v
-from ..operators import axis, grids, intervals, joins, measure, runs, spi, spi_state
+from ..operators import axis, grids, intervals, joins, measure, runs, spi, spi_decode
 from ..sources import csvfile, vcdfile
 from ..sources.files import shared_folder, write_in_order
 from . import captures as cap
@@ -338,15 +338,15 @@ def export_unique(spark, sf):
     return measure.export_unique(rows, v.format_value(F.col("etype"), "UNSIGNED", 3))
 
 
-@query(f"WITH {U} SELECT capture_id, string_agg(lpad(to_binary(etype), 3, '0'), ' ' ORDER BY sample) AS text FROM u WHERE sample % 2 = 0 GROUP BY 1")
+@query(f"WITH {U} SELECT capture_id, string_agg(lpad(to_binary(etype), 3, '0'), ' ' ORDER BY sample) AS text FROM u GROUP BY 1")
 def export_text(spark, sf):
-    rows = cap.by_user(spark, sf).where("sample % 2 = 0").withColumnRenamed("sample", "at")
+    rows = cap.by_user(spark, sf).withColumnRenamed("sample", "at")
     return measure.export_text(rows, v.format_value(F.col("etype"), "BINARY", 3))
 
 
-@query(f"WITH {U}, {rle('clk')}, l AS (SELECT *, lag(num) OVER (PARTITION BY capture_id ORDER BY start) AS was FROM r), m AS (SELECT capture_id, start, start > 1 AND start <= 50 AND was = 0 AND num = 1 AS rise, start > 1 AND start <= 50 AND was = 1 AND num = 0 AS fall FROM l) SELECT capture_id, count(*) FILTER (rise) AS rising, count(*) FILTER (fall) AS falling, min(start) FILTER (rise) AS first_rise, max(start) FILTER (rise) AS last_rise, CASE WHEN count(*) FILTER (rise) > 1 THEN CAST(max(start) FILTER (rise) - min(start) FILTER (rise) AS DOUBLE) / (count(*) FILTER (rise) - 1) END AS period FROM m GROUP BY 1")
+@query(f"WITH {U}, {rle('clk')}, l AS (SELECT *, lag(num) OVER (PARTITION BY capture_id ORDER BY start) AS was FROM r), m AS (SELECT capture_id, start, start > 0 AND was = 0 AND num = 1 AS rise, start > 0 AND was = 1 AND num = 0 AS fall FROM l) SELECT capture_id, count(*) FILTER (rise) AS rising, count(*) FILTER (fall) AS falling, min(start) FILTER (rise) AS first_rise, max(start) FILTER (rise) AS last_rise, CASE WHEN count(*) FILTER (rise) > 1 THEN CAST(max(start) FILTER (rise) - min(start) FILTER (rise) AS DOUBLE) / (count(*) FILTER (rise) - 1) END AS period FROM m GROUP BY 1")
 def edge_measure(spark, sf):
-    return measure.measure_edges(cap.runs(cap.by_user(spark, sf), "clk"), 1, 50).drop("signal")
+    return measure.measure_edges(cap.runs(cap.by_user(spark, sf), "clk"), 0, 1 << 62).drop("signal")
 
 
 @query(f"WITH {U}, {rle('etype', 'r1')}, {rle('err', 'r2')}, a AS (SELECT capture_id, count(*) - 1 AS c FROM r1 GROUP BY 1 UNION ALL SELECT capture_id, count(*) - 1 FROM r2 GROUP BY 1) SELECT capture_id, any_value(count) AS rows, count(*) AS signals, CAST(sum(c) AS BIGINT) AS changes FROM a JOIN n USING (capture_id) GROUP BY 1")
@@ -374,11 +374,11 @@ def interval_overlap_join(spark, sf):
     return joins.overlapping(left, right, 8, ["capture_id"])
 
 
-@query(f"WITH {U}, {rle('etype')} SELECT u.capture_id, u.sample, r.start, r.\"end\" FROM u JOIN r ON u.capture_id = r.capture_id AND u.sample >= r.start AND u.sample < r.\"end\" WHERE r.num = 4 AND u.clk = 1")
+@query(f"WITH {U}, {rle('etype')} SELECT u.capture_id, u.sample, r.start, r.\"end\" FROM u JOIN r ON u.capture_id = r.capture_id AND u.sample >= r.start AND u.sample < r.\"end\" WHERE r.num = 4")
 def point_in_interval(spark, sf):
     rows = cap.by_user(spark, sf)
     spans = cap.runs(rows, "etype").where("num = 4").select("capture_id", "start", "end")
-    return joins.points_in(rows.where("clk = 1").select("capture_id", "sample"), spans, "sample").select("capture_id", "sample", "start", "end")
+    return joins.points_in(rows.select("capture_id", "sample"), spans, "sample").select("capture_id", "sample", "start", "end")
 
 
 @query(f"WITH {U} SELECT capture_id FROM u WHERE sample = 10 AND etype <> CASE WHEN clk = 1 THEN etype ELSE 4 END")
@@ -465,7 +465,7 @@ def _commands(spark, sf):
     return framed, moved, spi.planned(moved, spi.command_table(spark))
 
 
-@query(f"""WITH {U} SELECT capture_id, sample AS frame, CAST({OPCODE} AS INT) AS opcode, ['Read Id', NULL, 'Fast Read', 'Write Enable', 'Read'][etype + 1] AS name,
+@query(f"""WITH {U} SELECT capture_id, sample AS frame, CAST({OPCODE} AS INT) AS opcode, ['READ ID', NULL, 'FAST READ', 'WRITE ENABLE', 'READ'][etype + 1] AS name,
   CASE WHEN etype IN (2, 4) THEN event_id & 16777215 END AS address, CASE WHEN etype = 3 THEN 0 ELSE 1 END AS data_bytes, CASE WHEN etype <> 3 THEN lpad(upper(to_hex(uid & 255)), 2, '0') END AS text FROM u""")
 def spi_command_roundtrip(spark, sf):
     framed, moved, plan = _commands(spark, sf)
@@ -495,10 +495,7 @@ def spi_modes(spark, sf):
     data = F.when(F.col("k").isin(0, 2), F.lit("")).otherwise(_bits(F.col("uid"), 8))
     sent = F.concat(_bits(code, 8), address, data)
     wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), F.repeat(F.lit("1"), F.length(sent)).alias("back")), {"io0": "bits", "io1": "back"})
-    framed = spi.frames(wave)
-    moved = spi.transfers(wave, framed, lines=LINES)
-    plan = spi_state.planned_by_mode(moved, spi.command_table(spark), LINES)
-    out = spi.transactions(spi.fields(moved, plan, LINES), plan, framed)
+    out, _ = spi_decode.decode(wave, spi.frames(wave), lines=LINES, before_edge=False)
     return out.select("capture_id", "frame", "opcode", "address", F.col("data_bytes").cast("int").alias("data_bytes"))
 
 
@@ -569,3 +566,6 @@ def vcd_layouts(spark, sf):
 def frequency_texts(spark, sf):
     hertz = (F.col("event_id").cast("double") + 1) * (F.col("user_id") + 1) * F.lit(37.0) / 3
     return cap.table(spark, sf, "events").select("event_id", tm.frequency_text(hertz).alias("text"))
+
+
+from . import flash_queries as _flash  # noqa: E402, F401 - registers its queries

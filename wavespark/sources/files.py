@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +60,46 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 def write_in_order(rows: DataFrame, order: list[str], path: str) -> None:
     """Column ``value`` as text files whose names are in the order of the columns ``order``, which are written side by side."""
     rows.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
+
+
+def write_bytes(rows: DataFrame, order: list[str], path: str) -> DataFrame:
+    """Column ``value`` (binary) in the order of the columns ``order`` as a folder of parts whose names are in that order; returns ``part, path,
+    bytes`` of each.
+
+    Parts are written side by side into a folder beside the path, and tasks that run twice write two files; those that the manifest (written
+    by Spark, so of one attempt a task) names are kept. Only then does the folder take the place of what lay at the path before.
+    """
+    made = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(made)
+        fs.create_dir(root, recursive=True)
+        name, size, part = f"{uuid.uuid4().hex}.bin", 0, None
+        with fs.open_output_stream(f"{root}/{name}") as out:
+            for batch in batches:
+                part = batch.column(0)[0].as_py() if part is None and batch.num_rows else part
+                data = b"".join(batch.column(1).to_pylist())
+                out.write(data)
+                size += len(data)
+        yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "bytes": size}] if part is not None else [], pa.schema([("part", pa.int64()), ("path", pa.string()), ("bytes", pa.int64())]))
+
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(F.spark_partition_id().cast("long").alias("part"), "value")
+    spark = rows.sparkSession
+    parts = settled(dealt.mapInArrow(run, "part long, path string, bytes long"), "bytes").orderBy("part").collect()  # a row for each task
+    fs, root = pafs.FileSystem.from_uri(made)
+    fs.create_dir(root, recursive=True)
+    kept = [(i, f"part-{i:08d}.bin", r.bytes) for i, r in enumerate(parts)]
+    for r, (_, name, _) in zip(parts, kept, strict=True):
+        fs.move(f"{root}/{r.path}", f"{root}/{name}")
+    for info in fs.get_file_info(pafs.FileSelector(root)):
+        if info.base_name not in {n for _, n, _ in kept}:
+            fs.delete_file(info.path)
+    last = pafs.FileSystem.from_uri(path.rstrip("/"))[1]
+    if fs.get_file_info(last).type != pafs.FileType.NotFound:
+        old = f"{last}.{uuid.uuid4().hex}.old"
+        fs.move(last, old)
+        fs.move(root, last)
+        fs.delete_dir(old) if fs.get_file_info(old).type == pafs.FileType.Directory else fs.delete_file(old)
+    else:
+        fs.move(root, last)
+    return spark.createDataFrame(kept, "part long, path string, bytes long")
