@@ -337,6 +337,33 @@ def test_wide_values_have_one_form(spark):
     assert keys[0] == keys[1] == f"w:{2**70 + 5:b}" and keys[2] == keys[3] == f"i:{2**63 - 1}" and keys[4] == f"w:-{2**64:b}"
 
 
+@pytest.mark.parametrize("split", ["128m", "40b"])
+def test_cells_over_several_lines(spark, tmp_path, split):
+    """Records with line ends in quotes, read in one split and in many; errors name the last line of their record."""
+    head = "Sample in Buffer,note[7:0],u\nRadix - UNSIGNED,HEX,HEX\n"
+    body = "".join(f'{i},"{i % 7:X}\n",{i // 5:X}\n' if i % 3 == 0 else f'{i},"{i % 7:X}","{i // 5:X}"\n' if i % 3 == 1 else f'{i},"\n{i % 7:X} ",{i // 5:X}\n' for i in range(40))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = write(tmp_path / "m.csv", head + body + "\n,,\n")
+        got, _ = csvfile.read_csv_capture(spark, path)
+        rows = {(r.signal, r.start): r.num for r in got.collect()}
+        assert [rows["note[7:0]", i] for i in range(40)] == [i % 7 for i in range(40)] and {k[1]: v for k, v in rows.items() if k[0] == "u"} == {5 * k: k for k in range(8)}
+        with pytest.raises(ValueError, match="line 6 "):
+            csvfile.read_csv_capture(spark, write(tmp_path / "n.csv", head + '0,1,1\n1,"2\n\n",2,3\n'))
+        with pytest.raises(ValueError, match="line 4 .*doesn't end"):
+            csvfile.read_csv_capture(spark, write(tmp_path / "o.csv", head + '0,1,1\n1,"2,2\n2,3,3\n'))
+        plain = write(tmp_path / "p.csv", head + "".join(f"{i},{i % 5 // 2:X},{i // 4:X}\n" for i in range(40)))
+        rows = sorted((r.signal, r.start, r.end, r.num) for r in csvfile.read_csv_capture(spark, plain)[0].collect())
+        assert [r[1:] for r in rows if r[0] == "u"] == [(4 * k, 4 * k + 4, k) for k in range(10)] and len(rows) == 10 + 24
+        with pytest.raises(ValueError, match="line 31 "):
+            csvfile.read_csv_capture(spark, write(tmp_path / "q.csv", head + "".join(f"{i},1{',' * (i == 28)},2\n" for i in range(40))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_frequency_texts_round_the_exact_value(spark):
     hertz = [1500905.0, 1e15, 0.00001234, 999999.7, 999.9999, 1000.0, 0.0, 1234567.5, 2.5e9, 0.5]
     got = spark.createDataFrame([(i, h) for i, h in enumerate(hertz)], "i int, h double").select("i", times.frequency_text(F.col("h")).alias("t")).orderBy("i").collect()

@@ -8,7 +8,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_name() -> Column:
+    """The file and the first byte of the split that a row is read in; in order they are the order of the text."""
+    return F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``value`` with ``block`` (the split it is in) and ``line`` (its place in the split) of a text file, or of the files
     of a folder in the order of their names.
@@ -38,8 +43,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     Splits are known by their file and first byte, so the order is that of the text whatever the order in which splits
     are read.
     """
-    block = F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
-    raw = spark.read.text(path).select(block.alias("block"), "value", F.monotonically_increasing_id().alias("_id"))
+    raw = spark.read.text(path).select(split_name().alias("block"), "value", F.monotonically_increasing_id().alias("_id"))
     return raw.withColumn("line", F.row_number().over(Window.partitionBy("block").orderBy("_id")) - 1).drop("_id")
 
 
