@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .axis import BUCKET, bucket_of, fill_forward
+from .axis import BUCKET, bucket_of, fill_forward, number_rows
 
 
 def as_of(points: DataFrame, runs: DataFrame, at: str, values: Sequence[str], keys: Sequence[str] = ("capture_id",), start: str = "start", size: int | None = None) -> DataFrame:
@@ -28,6 +28,40 @@ def as_of(points: DataFrame, runs: DataFrame, at: str, values: Sequence[str], ke
     return filled.where("_is = 1").select(*keys, "_p.*", *[F.col(f"_run.{h}").alias(v) for v, h in zip(values, held, strict=True)], F.col("_run._found").alias("run_start"))
 
 
+def nearest(points: DataFrame, marks: DataFrame, at: str, values: Sequence[str] = (), keys: Sequence[str] = ("capture_id",), start: str = "start", forward: bool = True, strict: bool = True, size: int | None = None) -> DataFrame:
+    """points with the nearest mark after (before) each, or at its own place if not ``strict``: its values and ``found``, its place; null
+    where there is none. Forward is the same stream with its axis turned round."""
+    turn = -1 if forward else 1
+    named = marks.select(*keys, (F.col(start) * turn).alias("_m"), F.col(start).alias("_place"), *values)
+    asked = points.withColumn("_q", F.col(at).cast("long") * turn - int(strict))
+    out = as_of(asked, named, "_q", ["_place", *values], keys, "_m", size)
+    return out.withColumnRenamed("_place", "found").drop("_q", "run_start")
+
+
+def search_positions(points: DataFrame, axis: DataFrame, at: str, side: str = "left", keys: Sequence[str] = ("capture_id",), by: str = "start", size: int | None = None) -> DataFrame:
+    """points with ``position``: how many places of an axis of distinct integers lie before (``left``), or at or before (``right``) any real number.
+
+    An integer is at most a real number if it is at most its floor, and less if it is less than its ceiling, so numbers are never made
+    doubles. Beyond 64 bits all or none lie before; NaN is behind all, null has no position.
+    """
+    key = F.col(at)
+    counts = axis.groupBy(*keys).agg(F.count("*").alias("_all"))
+    real = F.floor(key) if side == "right" else F.ceil(key)
+    inside = (key >= F.lit(-(2.0**63))) & (key < F.lit(2.0**63)) & ~F.isnan(key.cast("double"))
+    whole = F.when(inside, real.try_cast("long"))
+    asked = points.withColumn("_q", whole - F.lit(int(side == "left")))
+    if keys:
+        numbered = number_rows(axis.select(*keys, by), by, keys, "_n", size or BUCKET)
+    else:
+        numbered = number_rows(axis.select(by), by, (), "_n", size or BUCKET)
+    here = as_of(asked.where(F.col("_q").isNotNull()), numbered, "_q", ["_n"], keys, by, size).withColumn("position", F.coalesce(F.col("_n") + 1, F.lit(0)).cast("long")).drop("_n", "run_start")
+    out = asked.where(F.col("_q").isNull())
+    out = out.join(counts, list(keys), "left") if keys else out.crossJoin(counts)  # counts is one row
+    behind = F.isnan(key.cast("double")) | (key > 0)
+    beyond = out.withColumn("position", F.when(key.isNotNull(), F.when(behind, F.coalesce("_all", F.lit(0))).otherwise(F.lit(0))).cast("long")).drop("_all")
+    return here.unionByName(beyond).drop("_q")
+
+
 def points_in(points: DataFrame, intervals: DataFrame, at: str, keys: Sequence[str] = ("capture_id",), size: int | None = None) -> DataFrame:
     """points that lie in one of the disjoint intervals, with its ``start`` and ``end``."""
     found = as_of(points, intervals.withColumn("_end", F.col("end")), at, ["_end"], keys, size=size)

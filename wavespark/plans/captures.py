@@ -56,9 +56,3 @@ def every_point(samples: DataFrame) -> DataFrame:
     """The grid of period 1."""
     s = F.col("sample")
     return samples.select("capture_id", s.alias("at"), F.when(s > 0, s - 1).alias("previous_at"), s.alias("start"), (s + 1).alias("end"))
-
-
-def periodic(samples: DataFrame, period: int, phase: int = 0) -> DataFrame:
-    """The grid of a period in each capture; the last span may reach beyond the capture."""
-    grid = counts(samples).where(F.col("count") > phase % period).select("capture_id", F.explode(F.sequence(F.lit(phase % period).cast("long"), F.col("count") - 1, F.lit(period).cast("long"))).alias("at"))
-    return grid.select("capture_id", "at", F.when(F.col("at") >= period, F.col("at") - period).alias("previous_at"), F.col("at").alias("start"), (F.col("at") + period).alias("end"))

@@ -1,16 +1,18 @@
 """Queries over the decoder of flash memories' buses, and their SQL: each event is a frame whose layout depends on what the
-frames of its user before it have set."""
+frames of its user before it have set. And queries over axes of time, real numbers and exports in order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import flash, spi, spi_decode
+from ..operators import flash, grids, joins, measure, spi, spi_decode, track
 from ..operators.axis import neighbour
 from ..operators.runs import KEYS, merge_seams
 from . import captures as cap
-from .queries import U, query
+from ..functions import values as v
+from ..sources.files import lines, numbered, shared_folder
+from .queries import EDGES, U, query, rle
 
 #: A device whose registers set the dummy clocks and the protocol.
 DEVICE = flash.parse(
@@ -108,3 +110,94 @@ def spi_field_extents(spark, sf):
     """Where every field begins and ends, on one edge and on both."""
     data = _bus(_device(spark, sf))
     return spi_decode.decode(data, spi.frames(data), spi_decode.Decoding(commands=DEVICE))[1].select("capture_id", "frame", "kind", "start", "end", "value")
+
+
+NAMED = "['81 CONFIGURE', '0B FAST', '35 QUAD', 'F5 SINGLE', '0D BOTH EDGES'][etype + 1]"
+
+
+@query(f"""{DEVICE_SQL}, t AS (SELECT *, CASE WHEN held < 15 THEN held END AS was, CASE WHEN etype = 0 THEN CASE WHEN event_id % 12 < 11 THEN 4 + event_id % 12 END ELSE CASE WHEN held < 15 THEN held END END AS now, CASE etype WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE lines END AS left_lines FROM o)
+SELECT capture_id, sample AS frame, CAST(base AS BIGINT) AS start, CAST(size AS BIGINT) AS duration, {NAMED} AS command,
+  lines || '-' || CASE WHEN na > 0 THEN lines ELSE 0 END || '-' || CASE WHEN nx > 0 THEN lines ELSE 0 END || CASE WHEN etype = 4 THEN ' DTR' ELSE '' END AS format, CASE WHEN na > 0 THEN lpad(upper(to_hex(event_id & 16777215)), 6, '0') END AS address, CAST(dummy AS INT) AS dummy,
+  CAST(CASE WHEN nx > 0 THEN 1 ELSE 0 END AS BIGINT) AS data_bytes, CASE WHEN nx > 0 THEN lpad(upper(to_hex(byte)), 2, '0') ELSE '' END AS preview,
+  CASE WHEN was IS DISTINCT FROM now OR lines <> left_lines THEN '-> ' || CASE left_lines WHEN 1 THEN 'Extended' ELSE 'Quad 4-4-4' END || coalesce(', dummy ' || now, '') ELSE '' END AS flags FROM t""")
+def spi_transactions(spark, sf):
+    """One row per frame, with its first data bytes and the mode it leaves."""
+    data = _bus(_device(spark, sf))
+    return track.transaction_table(*spi_decode.decode(data, spi.frames(data), spi_decode.Decoding(commands=DEVICE)))
+
+
+@query(f"""{DEVICE_SQL}, r AS (
+  SELECT capture_id, sample AS frame, pc + 2 AS start, pc + 2 + 4 * (nc - 1) + 2 AS stop FROM o
+  UNION ALL SELECT capture_id, sample, pa + 2, pa + 2 + step * (na - 1) + step // 2 FROM o WHERE na > 0
+  UNION ALL SELECT capture_id, sample, pd + 2, pd + 2 + 4 * (dummy - 1) + 2 FROM o WHERE dummy > 0
+  UNION ALL SELECT capture_id, sample, px + 2, px + 2 + step * (nx - 1) + step // 2 FROM o WHERE nx > 0),
+b AS (SELECT DISTINCT capture_id, place FROM (SELECT capture_id, start AS place FROM r UNION ALL SELECT capture_id, max(stop) FROM r GROUP BY capture_id, frame)),
+a AS (SELECT capture_id, base + 7 * (sample % 9) AS spot FROM o),
+x AS (SELECT a.capture_id, a.spot, b.place AS after_it FROM a ASOF LEFT JOIN b ON a.capture_id = b.capture_id AND a.spot < b.place),
+y AS (SELECT x.*, b.place AS before_it FROM x ASOF LEFT JOIN b ON x.capture_id = b.capture_id AND x.spot > b.place),
+z AS (SELECT y.*, o.sample AS inside, o.base + o.size AS stop FROM y ASOF LEFT JOIN o ON y.capture_id = o.capture_id AND y.spot >= o.base)
+SELECT capture_id, CAST(spot AS BIGINT) AS at, CAST(after_it AS BIGINT) AS following, CAST(before_it AS BIGINT) AS prior, CASE WHEN spot < stop THEN inside END AS frame FROM z""")
+def spi_navigation(spark, sf):
+    """For a cursor per frame the field boundaries after and before it, and the frame it lies in."""
+    data = _bus(_device(spark, sf))
+    table, found = spi_decode.decode(data, spi.frames(data), spi_decode.Decoding(commands=DEVICE))
+    cursors = table.select("capture_id", (F.col("start") + 7 * (F.col("frame") % 9)).alias("at"))
+    told = track.step(cursors, found).withColumnRenamed("found", "following")
+    told = track.step(told, found, forward=False).withColumnRenamed("found", "prior")
+    return track.at_places(told, table.select("capture_id", "frame", "start", "end"), ["frame"]).select("capture_id", "at", "following", "prior", "frame")
+
+
+TICKS = f"""{EDGES}, g AS (SELECT e.capture_id, e.edge, u.tick, lag(e.edge) OVER w AS prior, lead(e.edge) OVER w AS following, tick - lag(tick) OVER w AS gap, row_number() OVER w AS k FROM e JOIN u ON e.capture_id = u.capture_id AND e.edge = u.sample WHERE rising WINDOW w AS (PARTITION BY e.capture_id ORDER BY e.edge)),
+c AS (SELECT capture_id, CAST(floor(median(gap)) AS BIGINT) AS cap FROM g WHERE k <= 65536 AND gap > 0 GROUP BY 1)"""
+
+
+@query(f"""{TICKS}, t AS (SELECT g.*, cap, tick - coalesce(cap, 0) AS low FROM g LEFT JOIN c USING (capture_id)), z AS (SELECT t.*, u.sample AS near FROM t ASOF LEFT JOIN u ON t.capture_id = u.capture_id AND t.low <= u.tick)
+SELECT capture_id, edge, edge - 1 AS at, prior - 1 AS previous_at, greatest(0, least(greatest(coalesce(prior, 0), CASE WHEN cap IS NOT NULL THEN near ELSE 0 END), edge - 1)) AS start, edge AS "end" FROM z""")
+def grid_time_spans_before(spark, sf):
+    """Spans that reach back a typical period of time at most."""
+    rows = cap.by_user(spark, sf)
+    return grids.edge_grid_by_time(grids.edges(cap.runs(rows, "clk")), rows.select("capture_id", "sample", "tick")).drop("signal")
+
+
+@query(f"""{TICKS}, t AS (SELECT g.*, cap, tick + coalesce(cap, 0) AS high FROM g LEFT JOIN c USING (capture_id)), z AS (SELECT t.*, u.sample AS near FROM t ASOF LEFT JOIN u ON t.capture_id = u.capture_id AND t.high <= u.tick)
+SELECT capture_id, edge, edge AS at, prior AS previous_at, edge AS start, greatest(edge + 1, least(coalesce(following, count), CASE WHEN cap IS NOT NULL THEN coalesce(near, count) ELSE count END)) AS "end" FROM z JOIN n USING (capture_id)""")
+def grid_time_spans_at(spark, sf):
+    rows = cap.by_user(spark, sf)
+    return grids.edge_grid_by_time(grids.edges(cap.runs(rows, "clk")), rows.select("capture_id", "sample", "tick"), before=False).drop("signal")
+
+
+@query(f"""WITH {U}, {rle('etype')}, q AS (SELECT capture_id, sample, CASE sample % 7 WHEN 0 THEN 'nan'::DOUBLE WHEN 1 THEN 'inf'::DOUBLE WHEN 2 THEN -1e300 ELSE sample / 3.0::DOUBLE - 1 END AS key FROM u)
+SELECT capture_id, sample, (SELECT count(*) FROM r WHERE r.capture_id = q.capture_id AND CAST(r.start AS DOUBLE) < q.key) AS before, (SELECT count(*) FROM r WHERE r.capture_id = q.capture_id AND CAST(r.start AS DOUBLE) <= q.key) AS upto FROM q""")
+def search_real_keys(spark, sf):
+    """How many runs begin before, and at or before, real numbers, NaN and infinities."""
+    rows = cap.by_user(spark, sf)
+    k = F.col("sample") % 7
+    key = F.when(k == 0, F.lit(float("nan"))).when(k == 1, F.lit(float("inf"))).when(k == 2, F.lit(-1e300)).otherwise(F.col("sample") / 3.0 - 1)
+    axis = cap.runs(rows, "etype").select("capture_id", "start")
+    left = joins.search_positions(rows.select("capture_id", "sample", key.alias("key")), axis, "key").withColumnRenamed("position", "before")
+    return joins.search_positions(left, axis, "key", "right").select("capture_id", "sample", "before", F.col("position").alias("upto"))
+
+
+@query(f"""WITH {U}, f AS (SELECT capture_id, val, min(sample) AS first FROM u GROUP BY 1, 2) SELECT capture_id, CAST(val AS VARCHAR) AS value, row_number() OVER (PARTITION BY capture_id ORDER BY val DESC, first) - 1 AS place FROM f""")
+def export_unique_sorted(spark, sf):
+    rows = cap.by_user(spark, sf).withColumnRenamed("sample", "at")
+    unique = measure.export_unique(rows, v.format_value(F.col("val"), "UNSIGNED", 16)).withColumn("num", F.col("value").cast("long"))
+    return measure.sorted_unique(unique, "UNSIGNED", descending=True).select("capture_id", "value", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {U} SELECT row_number() OVER (ORDER BY capture_id, sample) - 1 AS row, lpad(to_binary(etype), 3, '0') || ' ' || lpad(upper(to_hex(val)), 4, '0') AS value FROM u""")
+def export_two_channels(spark, sf):
+    """Two channels of all captures as lines of one text in order, read back."""
+    rows = cap.by_user(spark, sf).withColumnRenamed("sample", "at")
+    path = shared_folder(spark, "export")
+    measure.export_channels(rows, {"etype": v.format_value(F.col("etype"), "BINARY", 3), "val": v.format_value(F.col("val"), "HEX", 16)}, path)
+    return numbered(lines(spark, path), "row").select("row", "value")
+
+
+@query(f"""WITH {U}, {rle('etype')}, w AS (SELECT capture_id, greatest(start, 0) AS start, least("end", 64) AS "end", num FROM r WHERE start < 64), k AS (SELECT capture_id, count(*) AS n FROM w GROUP BY 1)
+SELECT capture_id, n <= 32 AS exact, CASE WHEN n <= 32 THEN count(*) END AS rows, CASE WHEN n <= 32 THEN CAST(sum(num * ("end" - start)) AS BIGINT) END AS total FROM w JOIN k USING (capture_id) GROUP BY 1, n""")
+def viewport_detail(spark, sf):
+    """Signals with few runs in a window are shown run by run; of the others the rows are bounded by the columns."""
+    got = measure.viewport_detail(cap.runs(cap.by_user(spark, sf), "etype"), 0, 64, 16)
+    own = F.col("exact")
+    return got.groupBy("capture_id", "exact").agg(F.when(own, F.count("*")).alias("rows"), F.when(own, F.sum(F.col("num") * (F.col("last") - F.col("first") + 1))).alias("total"))

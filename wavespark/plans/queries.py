@@ -218,7 +218,7 @@ def condition_signed(spark, sf):
 
 @query(f"WITH {U} SELECT capture_id, sample AS at, CASE WHEN sample >= 3 THEN sample - 3 END AS previous_at, sample AS start, sample + 3 AS \"end\" FROM u WHERE sample % 3 = 2")
 def grid_periodic(spark, sf):
-    return cap.periodic(cap.by_user(spark, sf), 3, 5)
+    return grids.periodic_grid(cap.counts(cap.by_user(spark, sf)), 3, 5)
 
 
 EDGES = f"WITH {U}, {rle('clk')}, e AS (SELECT capture_id, start AS edge, num = 1 AS rising FROM r WHERE start > 0)"

@@ -61,8 +61,10 @@ def changes_of(body: DataFrame, size: int = BUCKET) -> DataFrame:
     takes = F.lower(F.substring("token", 1, 1)).isin("b", "r", "s")
     placed = fill_forward(plain.withColumn("takes", takes).withColumn("other", F.when(~takes, F.col("n"))), [F.col("n")], "n", ["other"], size=size)
     placed = placed.select("n", "token", (F.col("takes") & ((F.col("n") - F.coalesce("other", F.lit(-1).cast("long"))) % 2 == 1)).alias("taking"))
-    prior = placed.where("taking").select((F.col("n") + 1).alias("n"), F.col("token").alias("taker"))
-    met = placed.join(prior, "n", "full")
+    met = neighbour(placed, "n", ["token", "taking"], (), size).withColumn("taker", F.when(F.col("_prior.taking"), F.col("_prior.token"))).drop("_prior")
+    # A taker at the very end takes nothing.
+    end = placed.agg(F.max_by(F.struct("n", "token", "taking"), "n").alias("e")).where("e.taking").select((F.col("e.n") + 1).alias("n"), F.lit(None).cast("string").alias("token"), F.lit(False).alias("taking"), F.col("e.token").alias("taker"))
+    met = met.unionByName(end)
     first = F.substring("token", 1, 1)
     kind = (
         F.when(F.col("taker").isNotNull() & F.col("token").isNull(), "bad")
@@ -94,7 +96,12 @@ def _check(timed: DataFrame, size: int) -> None:
 
 
 def read_vcd_capture(spark: SparkSession, path: str, capture_id: int = 0, size: int = BUCKET) -> tuple[DataFrame, DataFrame, str]:
-    """Runs, times (``sample``, ``tick``) and the time scale, of a file or of a folder of parts.
+    """Runs, times (``sample``, ``tick``) and the time scale, of a file or of a folder of parts (``read_vcd``)."""
+    return read_vcd(spark, path, capture_id, size)[:3]
+
+
+def read_vcd(spark: SparkSession, path: str, capture_id: int = 0, size: int = BUCKET) -> tuple[DataFrame, DataFrame, str, list[tuple[str, str, int]]]:
+    """Runs, times (``sample``, ``tick``), the time scale, and the variables (name, identifier, width).
 
     Changes before the first time belong to time 0; the last change of a variable at a time counts; variables that are
     not dumped at the first time start as x. A time without changes is a sample all the same. size: words and samples in a
@@ -127,7 +134,7 @@ def read_vcd_capture(spark: SparkSession, path: str, capture_id: int = 0, size:
     runs = ended.crossJoin(F.broadcast(count)).select(
         "capture_id", "signal", "start", F.coalesce("_next.start", "count").alias("end"), num.alias("num"), F.when(num.isNull(), F.when(known, digits).otherwise(padded)).alias("txt")
     )
-    return merge_seams(runs, size), times, scale
+    return merge_seams(runs, size), times, scale, variables
 
 
 def padded_digits(raw: Column, width: Column) -> Column:
