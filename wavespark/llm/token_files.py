@@ -51,7 +51,7 @@ READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
 KNOWN, LONGEST = 250_000, 64
 #: Documents whose words are looked up together.
-ROWS = 3072
+ROWS = 2048
 #: Marks that a word is taken apart at when it ends in them.
 MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`"
 
