@@ -277,6 +277,27 @@ def test_what_all_pages_share_is_template(spark):
     assert wrappers.main_text(pages[0][2], None) == "Welcome to our house Story 0 goes on for some words."
 
 
+def test_slots_are_judged_over_all_pages_of_their_host(spark):
+    """Where tags and words say nothing the wrapper alone tells template from text, however long what repeats is; what a part of the pages
+    share stays, and a page that its wrapper can't read is read by its own places."""
+    row = lambda k: "".join(f"<td><b>{k} {j}</b></td><td>x{j}{k}</td>" for j in range(9))  # noqa: E731 - a group of 18 tokens and more
+    body = lambda i: f"<div class=q>Our house</div><table>{''.join(f'<tr>{row(f'{i}{k}')}</tr>' for k in range(i % 4 + 1))}</table><div class=z>Bye now</div>"
+    pages = [(i, "http://a.org/x", body(i)) for i in range(20)]
+    lead = "<p class=lead>The same lead on some.</p>"
+    pages += [(100 + i, "http://b.org/x", f"<article>{lead if i < 8 else ''}<p>Story {i} is told here at length.</p></article>") for i in range(100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS slot", "'h' AS host", "2 AS wrapper")
+    got = {r.page_id: r.text for r in wrappers.extract(spark, df).collect()}
+    plain = lambda i: " ".join(f"{i}{k} {j} x{j}{i}{k}" for k in range(i % 4 + 1) for j in range(9))
+    assert all(got[i] == plain(i) for i in range(20))
+    assert all(wrappers.main_text(h, None) == f"Our house {plain(i)} Bye now" for i, _, h in pages[:20])  # without its wrapper a page keeps both
+    assert all(got[100 + i] == ("The same lead on some. " if i < 8 else "") + f"Story {i} is told here at length." for i in range(100))
+    shapes = [wrappers.fold([s for s, _ in wrappers.tokens(h) if s]) for _, _, h in pages[1:4]]
+    assert shapes[0] == shapes[1] == shapes[2]  # rows fold to one group, whatever their length
+    assert wrappers.fold(["a"] * 3) == [["+", ["a"]]] and len(wrappers.fold([f"<x{i}" for i in range(30_000)])) == 30_000
+    long_page = "<p>word</p>" * 30_000
+    assert wrappers.extract(spark, spark.createDataFrame([(1, "http://c.org", long_page), (1, "http://c.org", long_page)], df.select("page_id", "url", "html").schema)).first().n_chars == 5 * 30_000 - 1
+
+
 def test_classes_that_stand_in_for_each_other():
     """An advert on one page where another has its body, a notice against a promo before the article: neither hides the rest."""
     page = lambda one, two, n: f"<html><body><div class='{one}'><p>{one} {n}</p></div><article><div class='{two}'><p>first {n}</p></div><p>last {n}</p></article></body></html>"

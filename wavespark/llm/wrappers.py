@@ -4,15 +4,16 @@
 2. Distinct folded streams per host are counted by Spark, then aligned one after another, in groups of bounded size and
    as many rounds as that takes: what only some pages have becomes optional, what repeats becomes a repeated group, and
    all text becomes slots. The result is one wrapper per host.
-3. Each page is matched against its host's wrapper, which tells the way that the page takes through it.
-4. The slots on that way are told apart by the elements open there (an article or not; menus, footers, adverts,
-   comments ...): of elements that stand in for each other a page has only its own. A slot that holds one text on all
-   pages of the host (FIXED_PAGES at least) is part of its template, wherever it stands. The text at the other main slots
-   is the page's main text; where the shared ones are most of it, pages are copies of each other, and all stays.
+3. Each page is read by its host's wrapper, which tells the slot that every text of it fills. Over all pages of the host each
+   slot is judged once: left out are slots that always stand in menus, footers, adverts, comments ..., where an article is there those
+   outside of it, and those that hold one text on every page of the host (eight at least): that is its template. Where such texts are
+   the larger part of all, the pages are copies, and they are content. Tags and class words only say where a slot stands; where one
+   page has a slot in an advert and another in its article, each page's own place decides.
+4. A page's main text is what fills the slots that are left.
 
 Defined cases: a null or empty page has the empty text; a page whose url is null or has no host belongs to the host
 ``''``; repeated rows are pages of their own; a page that its wrapper doesn't match (none of those it was made from), or
-that matches without any main slot, is read by the rule of step 3 alone; an empty table gives an empty table; other columns are not looked at.
+that fills no such slot, is read by where its own texts stand alone; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -49,10 +51,10 @@ NEVER_WORDS = frozenset(
 )
 PAGE_ONLY = frozenset(("header", "banner", "masthead"))
 TEXT = "#"
-#: Pages from which on a text that all of them share in one slot is the host's and not theirs.
-FIXED_PAGES = 8
-#: Longest repeated group that is looked for, in tokens after folding, and streams aligned by one task at once.
-LONGEST_GROUP, ALIGNED_AT_ONCE = 12, 32
+#: Pages of a host from which on texts that all of them share tell its template.
+TEMPLATE_PAGES = 8
+#: Streams aligned by one task at once, and tokens of a page up to which repeats are folded (each needs a character).
+ALIGNED_AT_ONCE, MOST_FOLDED = 32, 400_000
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -78,6 +80,8 @@ def tag_of(symbol: str) -> str:
 
 def fold(symbols: list[str]) -> list:
     """Repeats become groups ``["+", [...]]``, the inner ones first."""
+    if len(symbols) > MOST_FOLDED:
+        return list(symbols)
     code: dict[str, str] = {}
     nodes: list = []
 
@@ -97,13 +101,23 @@ def fold(symbols: list[str]) -> list:
         return char("+" + m[1], ["+", body])
 
     size = 1
-    while size <= min(LONGEST_GROUP, len(text) // 2):
+    while size <= len(text) // 2:
+        if not _repeated(text, size):
+            size += 1
+            continue
         folded = _repeats(size).sub(group, text)
         size, text = (size + 1 if folded == text else 1), folded
     return [by_char(c) for c in text]
 
 
-@lru_cache(maxsize=None)
+def _repeated(text: str, size: int) -> bool:
+    """Whether so many characters stand twice, one behind the other."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    unlike = np.flatnonzero(codes[size:] != codes[:-size])
+    return bool((np.diff(unlike, prepend=-1, append=len(codes) - size) > size).any())
+
+
+@lru_cache(maxsize=1024)
 def _repeats(size: int) -> re.Pattern:
     return re.compile(r"(.{%d})\1+" % size, re.S)
 
@@ -148,7 +162,7 @@ class Place:
     """Where a slot stands: the open elements, kept through tags that were never closed."""
 
     def __init__(self) -> None:
-        self.open: list[tuple[str, bool, bool, str]] = []  # tag, main, never, symbol
+        self.open: list[tuple[str, bool, bool]] = []  # tag, main, never
 
     def see(self, symbol: str) -> None:
         tag = tag_of(symbol)
@@ -169,12 +183,7 @@ class Place:
                         break
             words = {w for part in symbol.split(" ")[1:] for w in re.split(r"[^a-z]+", part)}
             main = any(o[1] for o in self.open) or tag in MAIN or "main" in symbol.split(" ")[1:]
-            self.open.append((tag, main, tag in NEVER or bool(words & NEVER_WORDS) or not main and (tag in PAGE_ONLY or bool(words & PAGE_ONLY)), symbol))
-
-    @property
-    def key(self) -> int:
-        """The slot of the wrapper that a text here stands in: the open elements with their class words."""
-        return xxhash.xxh3_64_intdigest(">".join([o[3] for o in self.open]).encode("utf-8", "surrogatepass")) - 2**63
+            self.open.append((tag, main, tag in NEVER or bool(words & NEVER_WORDS) or not main and (tag in PAGE_ONLY or bool(words & PAGE_ONLY))))
 
     @property
     def main(self) -> bool:
@@ -193,27 +202,17 @@ def _flat(nodes: list) -> Iterator[str]:
             yield from _flat(x[1])
 
 
-def places(symbols: list[str]) -> list[tuple[bool, bool, int]]:
-    """For each text slot in order, whether it stands in an article, whether in something that is never main text, and its
-    key."""
+def places(symbols: list[str]) -> list[tuple[bool, bool]]:
+    """For each text slot in order, whether it stands in an article, and whether in something that is never main text."""
     place, found = Place(), []
     for s in symbols:
         if s == TEXT:
-            found.append((place.main, place.never, place.key))
+            found.append((place.main, place.never))
         else:
             place.see(s)
     return found
 
 
-def chosen(found: list[tuple[bool, bool, int]], sizes: list[int], article: bool, fixed: frozenset[int]) -> list[int]:
-    """Which of a page's text slots (with the lengths of their texts) are main text: what an article holds (or, without one,
-    all) that no rule excludes and that isn't the host's template. Pages that are mostly copies of each other share their
-    content too: where the shared texts are more than half, they stay."""
-    likely = [i for i, (main, never, _) in enumerate(found) if not never and (main or not article)]
-    own = [i for i in likely if found[i][2] not in fixed]
-    return own if 2 * sum(sizes[i] for i in own) >= sum(sizes[i] for i in likely) else likely
-
-
 class Automaton:
     """The wrapper as an automaton: sets of positions are bits of a number, and followed only once (a page takes time in
     proportion to its length, whatever the wrapper)."""
@@ -222,6 +221,10 @@ class Automaton:
         self.at: dict[str, int] = {}
         self.follow: list[int] = []
         self.first, self.last, self.empty = self._add(nodes)
+        self.before = [0] * len(self.follow)
+        for p, to in enumerate(self.follow):
+            for q in _ones(to):
+                self.before[q] |= 1 << p
         self.after: dict[int, int] = {}
 
     def _add(self, seq: list) -> tuple[int, int, bool]:
@@ -247,14 +250,17 @@ class Automaton:
         for p in _ones(start):
             self.follow[p] |= to
 
-    def matches(self, symbols: list[str]) -> bool:
+    def path(self, symbols: list[str]) -> list[int] | None:
+        """The positions of the wrapper that the symbols take, one way through it (the earliest positions from the end on); None if
+        there is no way."""
         if not symbols:
-            return self.empty
-        here, now = 0, self.first
+            return [] if self.empty else None
+        now, sets = self.first, []
         for s in symbols:
             here = now & self.at.get(s, 0)
             if not here:
-                return False
+                return None
+            sets.append(here)
             if here not in self.after:
                 if len(self.after) >= 10_000:
                     self.after.clear()
@@ -263,7 +269,18 @@ class Automaton:
                     to |= self.follow[p]
                 self.after[here] = to
             now = self.after[here]
-        return bool(here & self.last)
+        here = sets[-1] & self.last
+        out = []
+        for k in range(len(sets) - 1, -1, -1):
+            if not here:
+                return None
+            p = (here & -here).bit_length() - 1
+            out.append(p)
+            here = sets[k - 1] & self.before[p] if k else 0
+        return out[::-1]
+
+    def matches(self, symbols: list[str]) -> bool:
+        return self.path(symbols) is not None
 
 
 def _ones(bits: int) -> Iterator[int]:
@@ -274,24 +291,31 @@ def _ones(bits: int) -> Iterator[int]:
 
 
 @lru_cache(maxsize=512)
-def matcher(wrapper: str) -> tuple[Automaton, bool]:
-    """The wrapper as an automaton, and whether it has an article."""
-    nodes = json.loads(wrapper)
-    return Automaton(nodes), any(tag_of(s) in MAIN or "main" in s.split(" ")[1:] for s in _flat(nodes))
+def matcher(wrapper: str) -> Automaton:
+    return Automaton(json.loads(wrapper))
 
 
-def main_text(page: str | None, wrapper: str | None, fixed: frozenset[int] = frozenset()) -> str:
-    """fixed: keys of the wrapper's slots that hold one text on all pages of the host: its template, not its content."""
+def slots(symbols: list[str], wrapper: str | None) -> list[int] | None:
+    """The slot of the wrapper that each text of a page fills; None for a page that it doesn't match."""
+    way = matcher(wrapper).path(symbols) if wrapper else None
+    return None if way is None else [p for s, p in zip(symbols, way, strict=True) if s == TEXT]
+
+
+def main_text(page: str | None, wrapper: str | None, kept: dict[int, int] | None = None) -> str:
+    """kept: slots of the wrapper that hold main text, with 0, or, where the page's own place decides, 1 (and 2: only within an article). A page
+    that fills none of them is read by where its texts stand."""
     toks = tokens(page or "")
     symbols = [s for s, _ in toks if s]
     at = [i for i, s in enumerate(symbols) if s == TEXT]
-    found, picked, sizes = places(symbols), [], [len(t) for s, t in toks if s == TEXT]
-    if wrapper:
-        automaton, article = matcher(wrapper)
-        if automaton.matches(symbols):
-            picked = chosen(found, sizes, article, fixed)
+    filled = slots(symbols, wrapper)
+    found = places(symbols)
+    picked = []
+    if filled and kept:
+        how = [kept.get(slot) for slot in filled]
+        picked = [i for i, (h, (main, never)) in enumerate(zip(how, found, strict=True)) if h == 0 or h and not never and (main or h == 1)]
     if not picked:
-        picked = chosen(found, sizes, any(m and not n for m, n, _ in found), fixed)
+        article = any(m and not n for m, n in found)
+        picked = [i for i, (main, never) in enumerate(found) if not never and (main or not article)]
     marked = {at[i] for i in picked}
     blocks, block, i = [], [], -1
     for s, t in toks:
@@ -312,34 +336,19 @@ def host_of(url) -> F.Column:
 
 
 def infer(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """One wrapper per host: ``(host, wrapper, fixed)``, the last being the keys of its slots that hold one text on all pages,
-    FIXED_PAGES of them at least. pages: ``url``, ``html``."""
+    """One wrapper per host: ``(host, wrapper)``. pages: ``url``, ``html``."""
     scratch = scratch or Scratch(spark, "wrappers")
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             streams: dict[tuple, int] = {}
-            slots: dict[tuple, tuple[int, int, int]] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                toks = [(s, t) for s, t in tokens(page or "") if s]
-                shape = host, json.dumps(fold([s for s, _ in toks]))
+                shape = host, json.dumps(fold([s for s, _ in tokens(page or "") if s]))
                 streams[shape] = streams.get(shape, 0) + 1
-                own: dict[int, tuple[int, int]] = {}
-                for (_, _, key), text in zip(places([s for s, _ in toks]), [t for s, t in toks if s == TEXT], strict=True):
-                    mark = xxhash.xxh3_64_intdigest(" ".join(text.split()).encode("utf-8", "surrogatepass")) - 2**63
-                    low, high = own.get(key, (mark, mark))
-                    own[key] = min(low, mark), max(high, mark)
-                for key, (low, high) in own.items():
-                    n, was, most = slots.get((host, key), (0, low, high))
-                    slots[host, key] = n + 1, min(was, low), max(most, high)
-            rows = [(h, w, None, n, None, None) for (h, w), n in streams.items()] + [(h, None, k, n, low, high) for (h, k), (n, low, high) in slots.items()]
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["host", "wrapper", "slot", "n", "low", "high"])
-
-    told = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, "host string, wrapper string, slot long, n long, low long, high long")
-    told = scratch.write(told.groupBy("host", "wrapper", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
-    level = told.where("wrapper IS NOT NULL").select("host", "wrapper", "n")
-    fixed = told.where(f"slot IS NOT NULL AND low = high AND n >= {FIXED_PAGES}").groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("fixed"))
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in streams], pa.string()), pa.array([w for _, w in streams], pa.string()), pa.array(list(streams.values()), pa.int64())], names=["host", "wrapper", "n"])
+
+    told = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(shapes, "host string, wrapper string, n long")
+    level = scratch.write(told.groupBy("host", "wrapper").agg(F.sum("n").alias("n")))
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["n", "wrapper"], ascending=[False, True])
@@ -352,21 +361,65 @@ def infer(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None)
         sizes = level.groupBy("host").agg(F.count("*").alias("of"))
         most = sizes.agg(F.max("of")).first()[0] or 0
         if most <= 1:
-            return level.select("host", "wrapper").join(fixed, "host", "left")
+            return level.select("host", "wrapper")
         dealt = level.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("of") / (ALIGNED_AT_ONCE / 2)).cast("long")))
         level = scratch.write(dealt.groupBy("host", "part").applyInPandas(merged, "host string, wrapper string, n long"))
 
 
+def judged(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(host, kept, how)``: the slots of each host's wrapper that hold main text, and how (``main_text``). pages: ``host``, ``html``, ``wrapper``."""
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = lambda text: xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+        for batch in batches:
+            # Of each slot: pages, texts, those in an article, those never main text, characters, least and largest hash. Slot -1: the pages themselves.
+            sums: dict[tuple[str, int], list[int]] = {}
+            for host, page, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                toks = [(s, t) for s, t in tokens(page or "") if s]
+                symbols = [s for s, _ in toks]
+                filled = slots(symbols, wrapper)
+                if filled is None:
+                    continue
+                texts = [" ".join(t.split()) for s, t in toks if s == TEXT]
+                own: dict[int, list[int]] = {-1: [1, 0, 0, 0, 0, 0, 0]}
+                for slot, (main, never), text in zip(filled, places(symbols), texts, strict=True):
+                    h = mark(text)
+                    had = own.setdefault(slot, [1, 0, 0, 0, 0, h, h])
+                    own[slot] = [1, had[1] + 1, had[2] + main, had[3] + never, had[4] + len(text), min(had[5], h), max(had[6], h)]
+                for slot, new in own.items():
+                    had = sums.setdefault((host, slot), [0, 0, 0, 0, 0, new[5], new[6]])
+                    sums[host, slot] = [*[a + b for a, b in zip(had[:5], new[:5], strict=True)], min(had[5], new[5]), max(had[6], new[6])]
+            rows = [(h, s, *v) for (h, s), v in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i else pa.string()) for i in range(9)], names=["host", "slot", "pages", "texts", "main", "never", "chars", "low", "high"])
+
+    c = F.col
+    parts = pages.select("host", "html", "wrapper").mapInArrow(told, "host string, slot long, pages long, texts long, main long, never long, chars long, low long, high long")
+    sums = scratch.write(parts.groupBy("host", "slot").agg(*[F.sum(n).alias(n) for n in ("pages", "texts", "main", "never", "chars")], F.min("low").alias("low"), F.max("high").alias("high")))
+    hosts = sums.where("slot = -1").select("host", c("pages").alias("_all"))
+    shared = (c("_all") >= TEMPLATE_PAGES) & (c("pages") == c("_all")) & (c("low") == c("high"))
+    rated = sums.where("slot >= 0 AND never < texts").join(hosts, "host").withColumn("_shared", shared)
+    has = rated.groupBy("host").agg(F.max(2 * c("main") > c("texts")).alias("_has"))
+    inside = rated.join(has, "host").where((c("main") > 0) | ~c("_has"))
+    parts_of = inside.groupBy("host").agg((F.sum(F.when(c("_shared"), c("chars")).otherwise(0)) > F.sum(F.when(c("_shared"), 0).otherwise(c("chars")))).alias("_copies"))
+    mixed = (c("never") > 0) | c("_has") & (c("main") < c("texts"))
+    how = F.when(~mixed, 0).when(c("_has"), 2).otherwise(1)
+    left = inside.join(parts_of, "host").where(~c("_shared") | c("_copies"))
+    listed = F.sort_array(F.collect_list(F.struct("slot", how.alias("how"))))  # as many as a wrapper has slots
+    told_ = left.groupBy("host").agg(listed.alias("k"))
+    return scratch.write(told_.select("host", F.transform("k", lambda x: x["slot"]).alias("kept"), F.transform("k", lambda x: x["how"]).alias("how")))
+
+
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` of every page."""
+    scratch = Scratch(spark, "wrappers")
     pages = pages.select("page_id", "url", "html")
-    wrappers = infer(spark, pages)
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper", "fixed")
+    joined = pages.withColumn("host", host_of(F.col("url"))).join(infer(spark, pages, scratch), "host", "left")
+    joined = joined.join(judged(joined, scratch), "host", "left").select("page_id", "url", "html", "wrapper", "kept", "how")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [main_text(p, w, frozenset(f or ())) for p, w, f in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True)]
+            found = [main_text(p, w, dict(zip(k or (), h or (), strict=True))) for p, w, k, h in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
