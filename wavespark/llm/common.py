@@ -91,13 +91,14 @@ def components(scratch: Scratch, links: DataFrame, most_rounds: int = 60) -> Dat
         if turn == most_rounds:
             raise RuntimeError(f"components did not settle in {most_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(one).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        # Sums are written before they are joined: joined right on top of them, a hub's links would all be one task's.
+        low = scratch.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = scratch.write(both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(one).distinct())
+        least = scratch.write(large.groupBy("a").agg(F.min("b").alias("m")))
+        joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where(one).distinct()
         after = scratch.write(small)
-        scratch.drop(edges)
+        scratch.drop(edges, low, large, least)
         edges = after
         # Edges only ever move to smaller ends; equal sums of both ends mean that nothing moved.
         now = edges.agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)")), F.countDistinct("a")).first()
