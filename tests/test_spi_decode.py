@@ -78,7 +78,7 @@ def test_quad_protocol_has_dummy_clocks_of_its_own(spark):
     assert [r.command_lines for r in rows] == [1, 1] and not any(r.changed for r in rows)
 
 
-@pytest.mark.parametrize("bucket", [1, 2, 7, 128])
+@pytest.mark.parametrize("bucket", [1, 7])
 def test_registers_set_dummy_clocks_and_frames_without_commands(spark, bucket):
     frames = [
         [(1, [0x06])], [(1, [0x81, 0x87])], [(1, [0xEB]), (4, [0x12, 0x34, 0x56]), (1, [0x00]), (4, [0xA1, 0xA2])], [(4, [0, 1, 0]), (1, [0]), (4, [0xB1])], [(4, [0, 2, 0]), (1, [0x80]), (4, [0xC1])],
@@ -120,12 +120,13 @@ def test_frames_of_ones_are_resets(spark):
     assert rows[2].reset and rows[2].changed and rows[3].address == 1  # back from quad
 
 
-@pytest.mark.parametrize("code,address,dummy,lines", [(0x0D, 1, 6, 1), (0x3D, 1, 6, 2), (0xBD, 2, 6, 2), (0x6D, 1, 6, 4), (0xED, 4, 8, 4)])
-def test_both_edges_carry_address_and_data_of_the_dtr_reads(spark, code, address, dummy, lines):
-    frame = [(1, [code]), ("dtr", address, [0x12, 0x34, 0x56]), ("dummy", dummy), ("dtr", READ if lines == 1 else lines, [0xDE, 0xAD, 0xBE])]
-    rows, labels, _, _ = told(spark, [frame, [(1, [0x9F]), (READ, [0xC2])], frame])
-    assert [x.split()[1] for x in labels[0] if not x.startswith("dummy")] == [f"{code:02X}", "123456", "DE", "AD", "BE"]
-    assert rows[0].format == f"1-{address}-{lines} DTR" and rows[1].format == "1-0-1" and labels[1] == ["CMD 9F READ ID", "RD C2"] and labels[2] == labels[0]
+def test_both_edges_carry_address_and_data_of_the_dtr_reads(spark):
+    reads = [(0x0D, 1, 6, 1), (0x3D, 1, 6, 2), (0xBD, 2, 6, 2), (0x6D, 1, 6, 4), (0xED, 4, 8, 4)]
+    frames = [f for code, address, dummy, lines in reads for f in ([(1, [code]), ("dtr", address, [0x12, 0x34, 0x56]), ("dummy", dummy), ("dtr", READ if lines == 1 else lines, [0xDE, 0xAD, 0xBE])], [(1, [0x9F]), (READ, [0xC2])])]
+    rows, labels, _, _ = told(spark, frames)
+    for i, (code, address, _, lines) in enumerate(reads):
+        assert [x.split()[1] for x in labels[2 * i] if not x.startswith("dummy")] == [f"{code:02X}", "123456", "DE", "AD", "BE"]
+        assert rows[2 * i].format == f"1-{address}-{lines} DTR" and rows[2 * i + 1].format == "1-0-1" and labels[2 * i + 1] == ["CMD 9F READ ID", "RD C2"]
 
 
 def test_fixed_and_raw_frames_on_both_edges(spark):
@@ -177,7 +178,7 @@ def plain(frames, how):
     return out
 
 
-@pytest.mark.parametrize("bucket", [1, 3, 16, 128])
+@pytest.mark.parametrize("bucket", [1, 16])
 def test_random_modes_are_those_of_one_frame_after_the_other(spark, bucket):
     rng = random.Random(5)
     menu = [[(1, [0x35])], [(4, [0xF5])], [(1, [0x81, 0x87])], [(4, [0x81, 0x5F])], [(1, [0x61, 0x7F])], [(4, [0x61, 0xFF])], [(1, [0x66])], [(1, [0x99])], [(4, [0x66])], [(4, [0x99])], [("io", [15] * 16)], [(1, [0xEB]), (4, [0, 0, 7]), (1, [0]), (4, [1])], [(4, [0, 0, 9]), (1, [0x80]), (4, [2])], [(1, [0x03, 0, 0, 1]), (READ, [5])], [(1, [0xB7])], [(1, [0x61, 0xDF])], [("dtr", 1, [0x61, 0xFF])]]

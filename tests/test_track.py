@@ -158,3 +158,31 @@ def test_small_pieces_that_had_no_test(spark):
     _, _, _, found = told(spark, [[(1, [0x9F]), (READ, [1])]])
     r = spi.frames_span(found.withColumn("kind", F.when(F.col("kind") == "RD", "DATA").otherwise(F.col("kind")))).first()
     assert (r.start, r.end) == (7, 69)
+
+
+def test_fields_are_exported_and_searched(spark, monkeypatch):
+    _, _, table, found = told(spark, [[(1, [0x03, 0, 0x12, 9]), (READ, [0xDE, 5])], [(1, [0xAA, 0x11])], [(1, [0x06])], [(1, [0x02, 0, 0, 1, 0xBE, 0xEF]), ("io", [1, 0, 1])]])
+    texts = lambda *a, **k: [r.text for r in track.export_text(table, found, *a, **k).orderBy("frame").collect()]
+    assert texts() == ["DE 05", "11", "BE EF 5"] and texts("read", "DEC") == ["222 5"] and texts("write", "BIN", prefix=True)[0] == "0b10111110 0b11101111 0b101"
+    assert texts("miso") == ["00"] and texts("all", separator="", header=True)[:3] == ["#1 03 @001209: 03001209DE05", "#2 AA: AA11", "#3 06: 06"]
+    first = found.where("frame = 1 AND kind = 'MOSI'").first().start
+    assert texts(start=first) == ["11", "BE EF 5"] and texts(end=first) == ["DE 05"]
+    unknown = found.withColumn("unknown", F.col("value") == 0xDE)
+    assert track.export_text(table, unknown).where("frame = 0").first().text == "XX 05"
+    asked = track.as_queried(found)
+    hits = lambda *b, **how: sorted(r.frame for r in spi.find_bytes(asked, list(b), **how).collect())
+    assert hits(0x03, 0x00, 0x12) == [0] and hits(0x09, 0xDE, 0x05) == [0] and hits(0xBE, 0xEF) == [3] and hits(0xAA, 0x00) == [1] and hits(0x03, data_only=True) == []
+    assert [r.frame for r in spi.find_values(asked, "ADDR", 0x1000, 0x1FFF).collect()] == [0] and [r.frame for r in spi.find_values(asked, "CMD", 6).collect()] == [2]
+    monkeypatch.setattr(track, "MOST_CHARACTERS", 5)
+    with pytest.raises(ValueError, match="characters"):
+        track.export_text(table, found)
+
+
+def test_periods_in_seconds(spark):
+    data = capture(spark, clk=[0, 1, 0, 1, 0, 1], still=[0, 0, 0, 0, 1, 1])
+    measured = measure.measure_edges(data, 0, 5)
+    rows = {r.signal: r for r in measure.measured_period(measured, 5e-9).collect()}
+    assert rows["clk"].period_ticks == 2 and rows["clk"].period_seconds == pytest.approx(1e-8) and rows["clk"].hertz == pytest.approx(1e8) and rows["still"].hertz is None
+    axis = spark.createDataFrame([(0, i, t) for i, t in enumerate([0, 10, 25, 30, 45, 70])], "capture_id long, sample long, tick long")
+    rows = {r.signal: r for r in measure.measured_period(measured, 1e-9, axis).collect()}
+    assert rows["clk"].period_ticks == 30 and rows["clk"].hertz == pytest.approx(1 / 30e-9)

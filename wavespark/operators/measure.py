@@ -29,6 +29,21 @@ def measure_edges(runs: DataFrame, start: int, end: Column | int, size: int | No
     return out.withColumn("period", F.when(F.col("rising") > 1, (F.col("last_rise") - F.col("first_rise")) / (F.col("rising") - 1)))
 
 
+def measured_period(measured: DataFrame, seconds: float, times: DataFrame | None = None) -> DataFrame:
+    """measured (``measure_edges``) with ``period_ticks``, ``period_seconds`` and ``hertz``: between the first and the last rise, in rows of so many ``seconds``, or, with
+    ``times`` (``capture_id``, ``sample``, ``tick``), in ticks of so many; null with fewer than two rises."""
+    c = F.col
+    told = measured.withColumn("_steps", F.when(c("rising") > 1, c("rising") - 1))
+    if times is None:
+        ticks = c("last_rise") - c("first_rise")
+    else:
+        at = lambda n: times.select("capture_id", c("sample").alias(f"{n}_rise"), c("tick").alias(f"_{n}"))
+        told = told.join(at("first"), ["capture_id", "first_rise"], "left").join(at("last"), ["capture_id", "last_rise"], "left")
+        ticks = c("_last") - c("_first")
+    told = told.withColumn("period_ticks", ticks / c("_steps")).withColumn("period_seconds", c("period_ticks") * F.lit(float(seconds)))
+    return told.withColumn("hertz", F.when(c("period_seconds") > 0, 1 / c("period_seconds"))).drop("_steps", "_first", "_last")
+
+
 def summary(runs: DataFrame) -> DataFrame:
     """Per capture its rows, signals and changes."""
     each = runs.groupBy(*KEYS).agg(F.max("end").alias("rows"), (F.count("*") - 1).alias("changes"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import as_of, nearest
+from .measure import MOST_CHARACTERS
 from .spi import FRAME
 from .spi_decode import format_text
 
@@ -105,3 +106,47 @@ def matching(frames: DataFrame, wanted: DataFrame | None = None, problems: bool
     if problems:
         out = out.where(c("unknown") | c("partial") | c("unknown_command") | c("truncated"))
     return out if resets is None else out.where(c("reset") == resets)
+
+
+#: What an export holds: lane and kinds.
+CONTENTS = {
+    "data": (0, ("RD", "WR", "MOSI", "DATA")),
+    "read": (0, ("RD",)),
+    "write": (0, ("WR",)),
+    "miso": (1, ("MISO",)),
+    "all": (0, ("CMD", "ADDR", "RD", "WR", "MOSI", "DATA")),
+}
+
+
+def export_text(frames: DataFrame, fields: DataFrame, content: str = "data", radix: str = "HEX", separator: str = " ", prefix: bool = False, header: bool = False, start: int = 0, end: int | None = None) -> DataFrame:
+    """``text`` of each frame that has such fields (``CONTENTS``) starting in [start, end): values in ``HEX``, ``BIN`` or ``DEC`` (with 0x or 0b before them if
+    ``prefix``), unknown ones as X. With a ``header`` the frame's number from 1, opcode and address stand before them. The size of the whole is summed
+    before any text is made; a text of all frames is these in order (``files.write_in_order``)."""
+    c = F.col
+    lane, kinds = CONTENTS[content]
+    own = fields.where((c("lane") == lane) & c("kind").isin(*kinds) & (c("start") >= start))
+    own = own if end is None else own.where(c("start") < end)
+    if radix == "DEC":
+        text = F.when(c("unknown"), F.lit("X")).otherwise(c("value").cast("string"))
+    elif radix == "BIN":
+        text = F.concat(F.lit("0b" * prefix), F.when(c("unknown"), F.lit("XXXXXXXX")).otherwise(F.lpad(F.bin("value"), c("bits"), F.lit("0"))))
+    else:
+        text = F.concat(F.lit("0x" * prefix), F.when(c("unknown"), F.lit("XX")).otherwise(F.lpad(F.hex("value"), F.greatest(F.lit(1), F.ceil(c("bits") / 4)).cast("int"), F.lit("0"))))
+    told = own.select(*FRAME, "start", text.alias("t"))
+    total = told.agg(F.coalesce(F.sum(F.length("t") + len(separator)), F.lit(0))).first()[0]
+    if total > MOST_CHARACTERS:
+        raise ValueError(f"the export would have {total} characters; at most {MOST_CHARACTERS} are allowed")
+    texts = told.groupBy(*FRAME).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "t"))), lambda x: x["t"]), separator).alias("text"))
+    if not header:
+        return texts
+    address = F.when(c("address").isNotNull(), F.concat(F.lit("@"), F.lpad(F.hex("address"), F.greatest(F.lit(1), c("address_bytes")) * 2, F.lit("0"))))
+    head = F.concat_ws(" ", F.concat(F.lit("#"), (c("frame") + 1).cast("string")), F.when(c("opcode").isNotNull(), F.lpad(F.hex("opcode"), 2, "0")), address)
+    return texts.join(frames.select(*FRAME, head.alias("_head")), FRAME).select(*FRAME, F.concat("_head", F.lit(": "), "text").alias("text"))
+
+
+def as_queried(fields: DataFrame) -> DataFrame:
+    """Fields as ``spi.find_values``, ``spi.find_bytes`` and ``spi.frames_span`` take them."""
+    c = F.col
+    kind = F.when(c("kind").isin(*DATA), F.lit("DATA")).otherwise(c("kind"))
+    lane = F.when((c("lane") == 1) | (c("kind") == "RD") & (c("lines") == 1), F.lit("in")).otherwise(F.lit("out"))
+    return fields.where("kind <> 'RESET'").select(*FRAME, kind.alias("kind"), lane.alias("lane"), (c("lane") == 0).alias("main"), "unit", "start", "end", "value", F.greatest(F.lit(1), F.ceil(c("bits") / 8)).cast("int").alias("bytes"), "partial", "unknown")

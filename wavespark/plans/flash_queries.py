@@ -201,3 +201,12 @@ def viewport_detail(spark, sf):
     got = measure.viewport_detail(cap.runs(cap.by_user(spark, sf), "etype"), 0, 64, 16)
     own = F.col("exact")
     return got.groupBy("capture_id", "exact").agg(F.when(own, F.count("*")).alias("rows"), F.when(own, F.sum(F.col("num") * (F.col("last") - F.col("first") + 1))).alias("total"))
+
+
+@query(f"""{DEVICE_SQL} SELECT capture_id, sample AS frame, '#' || (sample + 1) || ' ' || lpad(upper(to_hex(code)), 2, '0') || CASE WHEN na > 0 THEN ' @' || lpad(upper(to_hex(event_id & 16777215)), 6, '0') ELSE '' END || ': 0x' || lpad(upper(to_hex(code)), 2, '0') ||
+  CASE WHEN na > 0 THEN ',0x' || lpad(upper(to_hex(event_id & 16777215)), 6, '0') ELSE '' END || CASE WHEN nx > 0 THEN ',0x' || lpad(upper(to_hex(byte)), 2, '0') ELSE '' END AS text FROM o""")
+def spi_export_lines(spark, sf):
+    """All fields of each frame as a line with its number, opcode and address."""
+    data = _bus(_device(spark, sf))
+    table, found = spi_decode.decode(data, spi.frames(data), spi_decode.Decoding(commands=DEVICE))
+    return track.export_text(table, found, "all", separator=",", prefix=True, header=True)
