@@ -190,7 +190,7 @@ def test_address_widths_and_erases(spark):
     plan = spi.planned(moved, spi.command_table(spark))
     found = spi.fields(moved, plan, ("io0", "io1"))
     rows = sorted((r.frame, r.name, r.address, r.data_bytes) for r in spi.transactions(found, plan, framed).collect())
-    assert rows == [(0, "4-Byte Read", 0x12345678, 1), (1, "4KB Subsector Erase", 0x1000, 0), (2, "4-Byte Sector Erase", 0x01020304, 0)]
+    assert rows == [(0, "4-BYTE READ", 0x12345678, 1), (1, "4KB SUBSECTOR ERASE", 0x1000, 0), (2, "4-BYTE SECTOR ERASE", 0x01020304, 0)]
     hits = lambda found, *wanted: sorted(r.frame for r in spi.find_bytes(found, list(wanted)).collect())
     assert hits(found, 0x13, 0x12, 0x34) == [0] and hits(found, 0x78, 0xAB) == [0]
     narrow = spi.fields(moved, spi.fixed_plan(framed, 1, 1, 1, 0, 1))
