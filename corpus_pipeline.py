@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and are the next stage's documents."""
+"""The corpus pipeline: each stage's rows are written as Parquet and are the next stage's documents.
+
+Defined cases, in all stages: a null text is empty; null sources and languages are sources and languages of their own; rows that share an id are one
+document for the near-duplicate stage, which keeps one of them, and rows with a null id take no part there and are kept; what ties
+is decided by the smallest id; columns of any other name pass through all stages but the last; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
