@@ -48,10 +48,10 @@ HEAD, CRC = struct.Struct("<8s4Q"), struct.Struct("<I")
 BLOCKS = "part long, block long, doc_ids array<long>, lengths array<long>, ids binary"
 MANIFEST = "part long, block long, path string, offset long, length long, tokens long, documents long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
-KNOWN, LONGEST = 250_000, 64
+#: Words and parts of words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
+KNOWN, KNOWN_PARTS, LONGEST = 150_000, 500_000, 64
 #: Documents whose words are looked up together.
-ROWS = 2048
+ROWS = 1024
 #: Marks that a word is taken apart at when it ends in them.
 MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`"
 
@@ -107,7 +107,7 @@ class Words:
         if new:
             out.update((p, np.array(e.ids, self.type).tobytes()) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
         young.update((p, f) for p, f in out.items() if len(p) <= LONGEST)
-        if len(young) >= KNOWN:
+        if len(young) >= KNOWN_PARTS:
             self.old_cores, self.young_cores = young, {}
         return out
 
