@@ -72,14 +72,16 @@ def sorted_unique(unique: DataFrame, radix: str, descending: bool = False, keys:
     return unique.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "first")) - 1)
 
 
-def export_channels(points: DataFrame, labels: dict[str, Column], path: str, separator: str = " ", by: Sequence[str] = ("capture_id", "at")) -> DataFrame:
+def export_channels(points: DataFrame, labels: dict[str, Column], path: str, separator: str = " ", by: Sequence[str] = ("capture_id", "at"), bounded: bool = True) -> DataFrame:
     """Writes points in order as lines, a label of each channel in a line, as a folder of parts written side by side; returns ``part``, ``lines``,
-    ``characters`` and ``offset`` (of its first character in the whole text). The size is summed before anything is written."""
+    ``characters`` and ``offset`` (of its first character in the whole text). bounded: the size is summed before anything is written, and more than
+    ``MOST_CHARACTERS`` are an error, for texts that one program takes whole; the folder itself may be of any size."""
     line = F.concat_ws(separator, *labels.values())
     rows = points.select(*by, line.alias("value"))
-    total = rows.agg(F.coalesce(F.sum(F.length("value") + 1), F.lit(0))).first()[0]
-    if total > MOST_CHARACTERS:
-        raise ValueError(f"the export would have {total} characters; at most {MOST_CHARACTERS} are allowed")
+    if bounded:
+        total = rows.agg(F.coalesce(F.sum(F.length("value") + 1), F.lit(0))).first()[0]
+        if total > MOST_CHARACTERS:
+            raise ValueError(f"the export would have {total} characters; at most {MOST_CHARACTERS} are allowed")
     dealt = settled(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "export")
     write_in_order(dealt, list(by), path)
     sums = dealt.groupBy(F.col("_part").alias("part")).agg(F.min(F.struct(*by)).alias("_first"), F.count("*").alias("lines"), F.sum(F.length("value") + 1).alias("characters"))

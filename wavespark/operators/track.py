@@ -118,10 +118,11 @@ CONTENTS = {
 }
 
 
-def export_text(frames: DataFrame, fields: DataFrame, content: str = "data", radix: str = "HEX", separator: str = " ", prefix: bool = False, header: bool = False, start: int = 0, end: int | None = None) -> DataFrame:
+def export_text(frames: DataFrame, fields: DataFrame, content: str = "data", radix: str = "HEX", separator: str = " ", prefix: bool = False, header: bool = False, start: int = 0, end: int | None = None, bounded: bool = True) -> DataFrame:
     """``text`` of each frame that has such fields (``CONTENTS``) starting in [start, end): values in ``HEX``, ``BIN`` or ``DEC`` (with 0x or 0b before them if
-    ``prefix``), unknown ones as X. With a ``header`` the frame's number from 1, opcode and address stand before them. The size of the whole is summed
-    before any text is made; a text of all frames is these in order (``files.write_in_order``)."""
+    ``prefix``), unknown ones as X. With a ``header`` the frame's number from 1, opcode and address stand before them. A text of all
+    frames is these in order (``files.write_in_order``). bounded: the size of the whole is summed before any text is made, and more than
+    ``MOST_CHARACTERS`` are an error, for texts that one program takes whole."""
     c = F.col
     lane, kinds = CONTENTS[content]
     own = fields.where((c("lane") == lane) & c("kind").isin(*kinds) & (c("start") >= start))
@@ -133,9 +134,10 @@ def export_text(frames: DataFrame, fields: DataFrame, content: str = "data", rad
     else:
         text = F.concat(F.lit("0x" * prefix), F.when(c("unknown"), F.lit("XX")).otherwise(F.lpad(F.hex("value"), F.greatest(F.lit(1), F.ceil(c("bits") / 4)).cast("int"), F.lit("0"))))
     told = own.select(*FRAME, "start", text.alias("t"))
-    total = told.agg(F.coalesce(F.sum(F.length("t") + len(separator)), F.lit(0))).first()[0]
-    if total > MOST_CHARACTERS:
-        raise ValueError(f"the export would have {total} characters; at most {MOST_CHARACTERS} are allowed")
+    if bounded:
+        total = told.agg(F.coalesce(F.sum(F.length("t") + len(separator)), F.lit(0))).first()[0]
+        if total > MOST_CHARACTERS:
+            raise ValueError(f"the export would have {total} characters; at most {MOST_CHARACTERS} are allowed")
     texts = told.groupBy(*FRAME).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "t"))), lambda x: x["t"]), separator).alias("text"))
     if not header:
         return texts

@@ -190,7 +190,7 @@ def export_two_channels(spark, sf):
     """Two channels of all captures as lines of one text in order, read back."""
     rows = cap.by_user(spark, sf).withColumnRenamed("sample", "at")
     path = shared_folder(spark, "export")
-    measure.export_channels(rows, {"etype": v.format_value(F.col("etype"), "BINARY", 3), "val": v.format_value(F.col("val"), "HEX", 16)}, path)
+    measure.export_channels(rows, {"etype": v.format_value(F.col("etype"), "BINARY", 3), "val": v.format_value(F.col("val"), "HEX", 16)}, path, bounded=False)
     return numbered(lines(spark, path), "row").select("row", "value")
 
 
@@ -209,4 +209,4 @@ def spi_export_lines(spark, sf):
     """All fields of each frame as a line with its number, opcode and address."""
     data = _bus(_device(spark, sf))
     table, found = spi_decode.decode(data, spi.frames(data), spi_decode.Decoding(commands=DEVICE))
-    return track.export_text(table, found, "all", separator=",", prefix=True, header=True)
+    return track.export_text(table, found, "all", separator=",", prefix=True, header=True, bounded=False)
