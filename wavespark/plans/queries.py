@@ -545,9 +545,10 @@ def csv_signed(spark, sf):
 
 @query(f"WITH {U}, g AS (SELECT CAST(0 AS BIGINT) AS capture_id, row_number() OVER (ORDER BY event_id) - 1 AS sample, etype, err FROM u), {rle('etype', 'r1', 'g')}, {rle('err', 'r2', 'g')} SELECT 'top/etype[2:0]' AS signal, start, \"end\", num FROM r1 UNION ALL SELECT 'top/err', start, \"end\", num FROM r2")
 def vcd_layouts(spark, sf):
-    """A dump in changing layouts: identifiers on the next line, comments that look like changes, several changes a line."""
+    """A dump in changing layouts: identifiers on the next line, comments that look like changes, several changes a line. Its time
+    is the number of the event: events of one time are samples of their own, which a dump by ``tick`` would make one."""
     rows = cap.whole(spark, sf)
-    vector, scalar, time = F.concat(F.lit("b"), F.bin("etype")), F.concat(F.col("err").cast("string"), F.lit('"')), F.format_string("#%d", "tick")
+    vector, scalar, time = F.concat(F.lit("b"), F.bin("etype")), F.concat(F.col("err").cast("string"), F.lit('"')), F.format_string("#%d", "sample")
     layouts = [
         F.array(time, vector, F.lit("b!"), scalar),
         F.array(F.concat(time, F.lit(" $comment 1! b101 b! #5 $end "), vector, F.lit(" b! "), scalar)),
