@@ -23,7 +23,7 @@ def differs(spark, folder, name: str, events: list[tuple]) -> bool:
     return sorted(repr(tuple(r[c] for c in cols)) for r in got.collect()) != sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["vcd_layouts"])
+@pytest.mark.parametrize("name", ["vcd_roundtrip", "vcd_layouts"])
 def test_events_of_one_time_are_samples_of_their_own(spark, tmp_path, name):
     types = ["click", "error", "view", "signup", "purchase", "click", "error", "error", "view"]
     assert not differs(spark, tmp_path, name, [(i, t, i % 2, types[i], i) for i, t in enumerate([0, 1, 1, 1, 2, 3, 3, 2, 5])])

@@ -526,9 +526,10 @@ def csv_roundtrip(spark, sf):
 
 @query(f"WITH {U}, g AS (SELECT CAST(0 AS BIGINT) AS capture_id, row_number() OVER (ORDER BY event_id) - 1 AS sample, etype, err FROM u), {rle('etype', 'r1', 'g')}, {rle('err', 'r2', 'g')} SELECT 'top/etype[2:0]' AS signal, start, \"end\", num FROM r1 UNION ALL SELECT 'top/err', start, \"end\", num FROM r2")
 def vcd_roundtrip(spark, sf):
+    """The dump's time is the number of the event, as in ``vcd_layouts``."""
     rows = cap.whole(spark, sf)
     path = shared_folder(spark, "vcd")
-    changes = rows.select("tick", F.explode(F.array(F.struct(F.lit("etype[2:0]").alias("signal"), F.col("etype").alias("num")), F.struct(F.lit("err").alias("signal"), F.col("err").alias("num")))).alias("s")).select("tick", "s.*")
+    changes = rows.select(F.col("sample").alias("tick"), F.explode(F.array(F.struct(F.lit("etype[2:0]").alias("signal"), F.col("etype").alias("num")), F.struct(F.lit("err").alias("signal"), F.col("err").alias("num")))).alias("s")).select("tick", "s.*")
     vcdfile.write_vcd_capture(changes, {"etype[2:0]": 3, "err": 1}, path, "1us")
     return vcdfile.read_vcd_capture(spark, path)[0].select("signal", "start", "end", "num")
 
