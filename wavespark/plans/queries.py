@@ -11,7 +11,7 @@ from ..functions import times as tm
 from ..functions import values as v
 from ..operators import axis, grids, intervals, joins, measure, runs, spi, spi_decode
 from ..sources import csvfile, vcdfile
-from ..sources.files import shared_folder, write_in_order
+from ..sources.files import settled, shared_folder, write_in_order
 from . import captures as cap
 from .conditions import S
 
@@ -410,22 +410,9 @@ def viewport_runs(spark, sf):
 def _wave(frames: DataFrame, lines: dict[str, str] = {"io0": "bits"}) -> DataFrame:
     """Runs of cs, sck and lines that carry each frame's bits; frames: capture_id, frame, and a column of bits per line, of
     one length."""
-    w = Window.partitionBy("capture_id").orderBy("frame")
-    size = F.length("bits")
-    placed = frames.withColumn("at", F.sum(2 * size + 4).over(w) - size * 2 - 2).withColumn("stop", F.col("at") + 2 * size)
-    first = F.col("frame") == 0
-    none = F.lit(None).cast("string")
-    row = lambda signal, start, end, num: F.struct(F.lit(signal).alias("signal"), start.cast("long").alias("start"), end.cast("long").alias("end"), num.cast("long").alias("num"))
-    at, stop = F.col("at"), F.col("stop")
-    rest = [("cs", 1), ("sck", 0), *[(n, 0) for n in lines]]
-    idle = F.array(*[row(s, F.when(first, F.lit(0)).otherwise(at - 4), at, F.lit(x)) for s, x in rest], row("cs", at, stop, F.lit(0)))
-    clock = lambda k: [row("sck", at + 2 * k, at + 2 * k + 1, F.lit(0)), row("sck", at + 2 * k + 1, at + 2 * k + 2, F.lit(1))]
-    wires = lambda k: [row(n, at + 2 * k, at + 2 * k + 2, F.substring(c, k + 1, 1)) for n, c in lines.items()]
-    each = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.array(*clock(k), *wires(k))))
-    last = placed.groupBy("capture_id").agg(F.max("stop").alias("stop"))
-    tail = last.select("capture_id", F.explode(F.array(*[row(s, F.col("stop"), F.col("stop") + 2, F.lit(x)) for s, x in rest])).alias("r"))
-    body = placed.select("capture_id", F.explode(F.concat(idle, each)).alias("r"))
-    return runs.merge_seams(body.unionByName(tail).select("capture_id", "r.*", none.alias("txt")))
+    bit = lambda c, j: F.substring(F.col(c), F.call_function("shiftright", j, F.lit(1)) + 1, F.lit(1)).cast("int")
+    each = lambda j: sum((bit(c, j) * (1 << i) for i, c in enumerate(lines.values())), j % 2 * cap.CLOCK + cap.SELECTED)
+    return cap.bus_runs(frames, F.transform(F.sequence(F.lit(0), 2 * F.length("bits") - 1), each), {n: 1 << i for i, n in enumerate(lines)})
 
 
 def _bits(n: F.Column, width: int) -> F.Column:
@@ -460,8 +447,9 @@ def _commands(spark, sf):
     # What is read comes back on the other line, under zeros.
     back = F.when(F.col("etype").isin(0, 2, 4), F.concat(F.repeat(F.lit("0"), F.length(sent) - 8), data)).otherwise(F.repeat(F.lit("0"), F.length(sent)))
     wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), back.alias("back")), {"io0": "bits", "io1": "back"})
-    framed = spi.frames(wave)
-    moved = spi.transfers(wave, framed, lines=LINES)
+    # Opcodes and fields are both made of the transfers.
+    framed = settled(spi.frames(wave), "spi-frames")
+    moved = settled(spi.transfers(wave, framed, lines=LINES), "spi-transfers")
     return framed, moved, spi.planned(moved, spi.command_table(spark))
 
 
@@ -469,7 +457,7 @@ def _commands(spark, sf):
   CASE WHEN etype IN (2, 4) THEN event_id & 16777215 END AS address, CASE WHEN etype = 3 THEN 0 ELSE 1 END AS data_bytes, CASE WHEN etype <> 3 THEN lpad(upper(to_hex(uid & 255)), 2, '0') END AS text FROM u""")
 def spi_command_roundtrip(spark, sf):
     framed, moved, plan = _commands(spark, sf)
-    found = spi.fields(moved, plan, LINES)
+    found = settled(spi.fields(moved, plan, LINES), "spi-fields")
     out = spi.transactions(found, plan, framed).join(spi.export_frames(found), spi.FRAME, "left")
     return out.select("capture_id", F.col("frame").cast("long").alias("frame"), "opcode", "name", "address", F.col("data_bytes").cast("int").alias("data_bytes"), "text")
 
