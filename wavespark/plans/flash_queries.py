@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import flash, grids, joins, measure, spi, spi_decode, track
-from ..operators.axis import neighbour
-from ..operators.runs import KEYS, merge_seams
 from . import captures as cap
 from ..functions import values as v
 from ..sources.files import lines, numbered, shared_folder
@@ -42,43 +40,27 @@ def _device(spark, sf) -> DataFrame:
     return own.withColumn("dummy", dummy.cast("long")).withColumn("byte", F.when(F.col("etype") == 0, F.col("setting") * 16 + 11).otherwise(F.col("uid").bitwiseAND(F.lit(255))))
 
 
-def _transfers(value: Column, bits: int, lines: Column, both: bool, incoming: bool) -> Column:
-    """Of a value's bits the levels of io0 to io3 at each transfer, with ``both`` edges or not."""
-    # On both edges the first, third ... transfer of a phase stands while the clock is low.
-    one = lambda v, i: F.struct(F.lit(both).alias("both"), (v + (i % 2 * 16 if both else 0)).cast("int").alias("v"))
-    single = F.transform(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), lambda k, i: one(F.getbit(value, k) * F.lit(2 if incoming else 1), i))
-    quad = F.transform(F.sequence(F.lit(bits // 4 - 1), F.lit(0), F.lit(-1)), lambda k, i: one(F.call_function("shiftright", value, k * 4).bitwiseAND(F.lit(15)), i))
-    return F.when(lines == 4, quad).otherwise(single)
+def _levels(value: Column, bits: int, lines: Column, both: bool, incoming: bool) -> Column:
+    """Of a value's bits the levels of the clock and of io0 to io3 while the clock is low and high in each transfer; with ``both`` edges each
+    is a transfer: the first, third ... of a phase stands while the clock is low."""
+    mask, line = F.when(lines == 4, 15).otherwise(1), F.when(lines == 4, 1).otherwise(2 if incoming else 1)
+    last = (F.lit(bits) / lines).cast("int") - 1
+    nth = lambda j: last - (j if both else F.call_function("shiftright", j, F.lit(1)))
+    one = lambda j: F.call_function("shiftright", value, (nth(j) * lines).cast("int")).cast("int").bitwiseAND(mask) * line + j % 2 * cap.CLOCK + cap.SELECTED
+    return F.transform(F.sequence(F.lit(0), last if both else 2 * last + 1), one)
 
 
 def _bus(frames: DataFrame) -> DataFrame:
     """Runs of cs, sck and io0 to io3."""
     c = F.col
-    none = F.array().cast("array<struct<both:boolean,v:int>>")
-    clocks = F.transform(F.sequence(F.lit(1), c("dummy").cast("int")), lambda k: F.struct(F.lit(False).alias("both"), F.lit(0).alias("v")))
-    dummy = F.when(c("dummy") > 0, clocks).otherwise(none)
-    command = _transfers(c("code").cast("long"), 8, c("lines"), False, False)
-    address = lambda both: _transfers(c("event_id"), 24, c("lines"), both, False)
-    data = lambda both, incoming: _transfers(c("byte"), 8, c("lines"), both, incoming)
+    none = F.array().cast("array<int>")
+    still = F.array(F.lit(cap.SELECTED))
+    dummy = F.flatten(F.array_repeat(F.array(F.lit(cap.SELECTED), F.lit(cap.SELECTED + cap.CLOCK)), c("dummy").cast("int")))
+    command = _levels(c("code"), 8, c("lines"), False, False)
+    address = lambda both: _levels(c("event_id"), 24, c("lines"), both, False)
+    data = lambda both, incoming: _levels(c("byte"), 8, c("lines"), both, incoming)
     rest = F.when(c("etype") == 0, data(False, False)).when(c("etype") == 1, F.concat(address(False), dummy, data(False, True))).when(c("etype") == 4, F.concat(address(True), dummy, data(True, True))).otherwise(none)
-    edge = lambda x: F.when(x["both"], F.array_repeat(x["v"], HALF)).otherwise(F.concat(F.array_repeat(x["v"], HALF), F.array_repeat(x["v"] + 16, HALF)))
-    samples = F.concat(F.array(F.lit(0)), F.flatten(F.transform(F.concat(command, rest), edge)), F.array_repeat(F.lit(0), HALF))
-    placed = frames.withColumn("s", samples).withColumn("at", F.sum(F.size("s") + GAP).over(Window.partitionBy("capture_id").orderBy("frame")) - F.size("s"))
-    row = lambda signal, start, num: F.struct(F.lit(signal).alias("signal"), start.cast("long").alias("start"), num.cast("long").alias("num"))
-    bits = {"sck": 4, "io0": 0, "io1": 1, "io2": 2, "io3": 3}
-    level = lambda i, b: F.getbit(F.get("s", i).cast("long"), F.lit(b))
-
-    def moved(name: str, b: int) -> Column:
-        at = F.filter(F.sequence(F.lit(1), F.size("s") - 1), lambda i: level(i, b) != level(i - 1, b))
-        return F.transform(at, lambda i: row(name, c("at") + i, level(i, b)))
-
-    moves = [moved(n, b) for n, b in bits.items()]
-    ends = F.array(row("cs", c("at"), F.lit(0)), row("cs", c("at") + F.size("s"), F.lit(1)))
-    first = F.when(c("frame") == 0, F.array(*[row(n, F.lit(0), F.lit(int(n == "cs"))) for n in ("cs", *bits)])).otherwise(F.array().cast("array<struct<signal:string,start:bigint,num:bigint>>"))
-    changes = placed.select("capture_id", F.explode(F.concat(first, ends, *moves)).alias("r")).select("capture_id", "r.*", F.lit(None).cast("string").alias("txt"))
-    stop = placed.groupBy("capture_id").agg((F.max(c("at") + F.size("s")) + GAP).alias("count"))
-    ended = neighbour(changes, "start", ["start"], KEYS, None, "_next", after=True).join(stop, "capture_id")
-    return merge_seams(ended.select(*KEYS, "start", F.coalesce("_next.start", "count").alias("end"), "num", "txt"))
+    return cap.bus_runs(frames, F.concat(still, command, rest, still), {"io0": 1, "io1": 2, "io2": 4, "io3": 8}, HALF, HALF - 1, GAP, GAP, GAP)
 
 
 DEVICE_SQL = f"""WITH {U}, s AS (SELECT *, last_value(CASE WHEN etype = 0 THEN 4 + event_id % 12 END IGNORE NULLS) OVER w AS held, coalesce(last_value(CASE etype WHEN 2 THEN 4 WHEN 3 THEN 1 END IGNORE NULLS) OVER w, 1) AS lines
