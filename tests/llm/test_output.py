@@ -114,6 +114,38 @@ def test_words_are_encoded_as_in_their_texts(monkeypatch):
             assert ids[end - n : end].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_parts_of_words_are_encoded_as_in_their_texts():
+    """Capitals, marks on both sides, letters that compose with what follows, and what looks like a special token, against whole texts."""
+    own, library, rng = token_files.Words(PATH), Tokenizer.from_file(PATH), random.Random(2)
+    parts = ["a", "B", "H", "I", "Ä", "ä", "ß", "×", "÷", "Þ", "'S", "'", "'RE", "...", "(", "=", "<", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "endoftext"]
+    parts += ["1", "²", "\u0301", "\u0304", "\u0307", "\u0331", "\u0338", "\u212a", "Σ", "ᄀ", "ᅡ", "🙂", " ", "\n", "\x85", "\x1c", "\x00"]
+    texts = ["", "<", "(", "É", *("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(20_000))]
+    for some in [[t] for t in texts[:4]] + [texts[at : at + 1000] for at in range(0, len(texts), 1000)]:
+        ids, sizes = own.encode(pa.array([None, *some])[1:])
+        for t, end, n in zip(some, np.cumsum(sizes), sizes, strict=True):
+            assert ids[end - n : end].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_new_words_go_to_the_library_together():
+    """A word in other capitals or between other marks is the same, and many words of small letters are one text for the library."""
+    own, seen = token_files.Words(PATH), []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def encode_batch_fast(self, texts, **more):
+            seen.extend(texts)
+            return self.library.encode_batch_fast(texts, **more)
+
+    for name in ("library", "bare"):
+        if hasattr(own, name):
+            setattr(own, name, Counted(getattr(own, name)))
+    words = [a + b + c for a in "bdfgklm" for b in ("ea", "ou", "ö", "ü") for c in ("nd", "rst", "lt", "ß", "mp")]
+    ids, _ = own.encode(pa.array([" ".join(words), " ".join(w.upper() for w in words if w.isascii()), ", ".join(f"({w.capitalize()})" for w in words)]))
+    assert len(ids) > 3 * len(words) and len(seen) < 12
+
+
 def test_damage_is_noticed():
     tables = rans.Tables(rans.frequencies([5, 3, 2]))
     data = token_files.pack(tables.encode([np.array([0, 1, 2, 0, 0])])[0], [1, None], [2, 3])

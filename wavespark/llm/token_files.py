@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import rans
 from .common import Scratch
-from .words import gather, portions, word_table
+from .words import gather, portions
 
 #: Tokens in a block, at least (the last document is whole), and in the blocks that are coded side by side.
 BLOCK, TOGETHER = 65_536, 4_000_000
@@ -48,72 +49,143 @@ HEAD, CRC = struct.Struct("<8s4Q"), struct.Struct("<I")
 BLOCKS = "part long, block long, doc_ids array<long>, lengths array<long>, ids binary"
 MANIFEST = "part long, block long, path string, offset long, length long, tokens long, documents long"
 READ_BACK = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Words and parts of words that a worker remembers the ids of, in each of two generations; longer ones are encoded anew each time.
+#: Parts of words that a worker remembers the ids of, in each of two generations: KNOWN_PARTS of small letters alone, KNOWN others. Longer
+#: ones are encoded anew each time.
 KNOWN, KNOWN_PARTS, LONGEST = 150_000, 500_000, 64
-#: Documents whose words are looked up together.
-ROWS = 1024
-#: Marks that a word is taken apart at when it ends in them.
-MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`"
+#: Documents whose words are looked up together, and bytes of their texts.
+ROWS, BYTES = 1024, 1 << 23
+#: Parts of small letters that are encoded in one text.
+JOINED = 256
+#: Marks that a word is taken apart at, beside letters and digits.
+MARKS = ".,;:!?*&#%$@()[]{}/\\+-=_~^\"`<>"
+_LETTER, _UPPER, _MARK, _SPACE, _WIDE = 1, 2, 4, 8, 16
+_KINDS = bytes(
+    _WIDE if b > 127 else _LETTER * c.isalnum() | _UPPER * c.isupper() | _MARK * (c in MARKS) | _SPACE * (c in " \t\n\v\f\r") for b, c in enumerate(map(chr, range(256)))
+)
+_small = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def part_table(texts: pa.Array, special: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """As ``word_table``, but of words in parts that are encoded apart, in small letters where that changes no id.
+
+    The vocabularies' patterns never join a letter or digit to what is none, so words are cut between those and marks (an apostrophe is
+    none: it may take letters with it). A capital composes neither with ASCII nor with U+00C0 to U+00FF. Where a special
+    token may stand nothing is cut or changed."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = bytes(memoryview(texts.buffers()[2] or b"")[at[0] : at[-1]])
+    at = at - at[0]
+    chars, kinds = np.frombuffer(data, np.uint8), np.frombuffer(data.translate(_KINDS), np.uint8)
+    letter, upper, mark, space = ((kinds & k) != 0 for k in (_LETTER, _UPPER, _MARK, _SPACE))
+    before = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+    accents = np.flatnonzero(chars == 0xC3) + 1  # letters of two bytes, U+00C0 to U+00FF but for two signs; the first half are capitals
+    last = chars[accents]
+    accents, last = (a[(last != 0x97) & (last != 0xB7)] for a in (accents, last))
+    before[accents[accents < len(before)]] |= mark[1:][accents[accents < len(before)]]
+    upper[accents[last < 0x9F]] = True
+    upper[:-1] &= (kinds[1:] != _WIDE) | (chars[1:] == 0xC3)
+    free = np.ones(len(chars), bool)
+    for token in special:
+        begins = chars == token[0]
+        if len(token) > 1:
+            begins[:-1] &= chars[1:] == token[1]
+        begins = np.flatnonzero(begins)
+        for k in range(len(token) if len(begins) else 0):
+            free[np.minimum(begins + k, len(chars) - 1)] = False
+    upper &= free
+    before &= free[1:]
+    start = np.ones(len(chars), bool)
+    start[1:] = before | space[:-1]
+    start[at[at < len(chars)]] = True
+    kept, there = (chars + (upper.view(np.uint8) << 5))[~space], start[~space]
+    offsets = np.append(np.flatnonzero(there), len(kept))
+    coded = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
+    bounds = np.searchsorted(np.flatnonzero(start & ~space), at)
+    return bounds, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+class Known:
+    """The ids of words, in two generations, which keep those in use."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
+    def find(self, words: list[str]) -> list[bytes | None]:
+        found = list(map(self.young.get, words))
+        for i, f in enumerate(found):
+            if f is None and (f := self.old.get(words[i])) is not None:
+                found[i] = self.young[words[i]] = f
+        return found
 
-def _parts(word: str) -> tuple[str, ...]:
-    """A word in parts that are encoded apart: its stem, in small letters, and the marks at its end. The vocabularies' patterns never
-    join a letter or digit to what is none; an apostrophe or what a special token is written with leaves a word whole."""
-    if "<" in word or "|" in word:
-        return (word,)
-    stem = word.rstrip(MARKS)
-    if not stem or stem[-1] > "\u00ff" or not stem[-1].isalnum():
-        return (word,)
-    small = stem.lower() if stem.isascii() else stem
-    return (small,) if len(stem) == len(word) else (small, word[len(stem) :])
+    def add(self, words: list[str], ids: list[bytes], most: int) -> None:
+        self.young.update((w, f) for w, f in zip(words, ids, strict=True) if len(w) <= LONGEST)
+        if len(self.young) >= most:
+            self.old, self.young = self.young, {}
 
 
 class Words:
-    """Ids of white-space separated words by the library, each new one once: no rule of these vocabularies reaches across
-    white space. A table of two generations keeps the words in use."""
+    """Ids of words by the library, each new part of one once: no rule of these vocabularies reaches across white space.
+
+    Small letters of ASCII and Latin-1 pass the normalizer unchanged and are one piece, so parts of them alone go through the library
+    without its normalizer and pattern, many in one text: the ends of words are marked in the vocabulary."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.library, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for library in (self.library, self.bare):
+            library.no_padding()
+            library.no_truncation()
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.young_cores: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        suffix = self.library.model.end_of_word_suffix
+        if not suffix:
+            raise ValueError(f"{path} doesn't mark the ends of words")
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for w, i in self.library.get_vocab(with_added_tokens=False).items() if w.endswith(suffix)]] = True
+        self.small, self.others = Known(), Known()
 
     def of(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        young, old = self.young, self.old
-        found = list(map(young.get, words))
-        missing = [i for i, f in enumerate(found) if f is None]
-        parts = {i: _parts(words[i]) for i in missing if words[i] not in old}
-        cores = self.cores([c for c in dict.fromkeys(p for some in parts.values() for p in some)])
-        for i in missing:
-            found[i] = b"".join([cores[p] for p in parts[i]]) if i in parts else old[words[i]]
-        young.update((words[i], found[i]) for i in missing if len(words[i]) <= LONGEST)
-        if len(young) >= KNOWN:
-            self.old, self.young = young, {}
+        """The ids of different parts of words."""
+        found = self.small.find(words)
+        small, rest = [], []
+        for i, f in enumerate(found):
+            if f is None:
+                (small if _small(words[i]) else rest).append(i)
+        for i, f in zip(rest, self.others.find([words[i] for i in rest]), strict=True):
+            found[i] = f
+        alone = [i for i in rest if found[i] is None]
+        for known, encode, where, most in ((self.small, self.joined, small, KNOWN_PARTS), (self.others, self.alone, alone, KNOWN)):
+            new = [words[i] for i in where]
+            ids = encode(new)
+            known.add(new, ids, most)
+            for i, f in zip(where, ids, strict=True):
+                found[i] = f
         return found
 
-    def cores(self, parts: list[str]) -> dict[str, bytes]:
-        young, old = self.young_cores, self.old_cores
-        out = {p: f if (f := young.get(p)) is not None else old.get(p) for p in parts}
-        new = [p for p, f in out.items() if f is None]
-        if new:
-            out.update((p, np.array(e.ids, self.type).tobytes()) for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True))
-        young.update((p, f) for p, f in out.items() if len(p) <= LONGEST)
-        if len(young) >= KNOWN_PARTS:
-            self.old_cores, self.young_cores = young, {}
+    def alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), JOINED):
+            ids = np.array(self.bare.encode_batch_fast([" ".join(words[at : at + JOINED])], add_special_tokens=False)[0].ids, self.type)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if len(out) != len(words):
+            raise ValueError("words and the ends of words differ in number")
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of each text's."""
-        bounds, which, words = word_table(texts)
+        bounds, which, words = part_table(texts, self.special)
         ids, ends = gather(self.of(words), which, bounds, self.type)
         return ids, np.diff(ends)
 
@@ -140,7 +212,7 @@ def token_blocks(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id:
         words, block = _words(SparkFiles.get(name)), 0
         part, doc_ids, lengths, kept, held = None, [], [], [], 0
         for whole in batches:
-            for batch in portions(whole, "text", ROWS):
+            for batch in portions(whole, "text", ROWS, BYTES):
                 part = batch.column(0)[0].as_py() if part is None else part
                 ids, sizes = words.encode(batch.column(2))
                 ends = np.cumsum(sizes)
