@@ -420,13 +420,13 @@ def _bits(n: F.Column, width: int) -> F.Column:
 
 
 def _raw_frames(spark, sf):
-    rows = cap.by_user(spark, sf)
+    rows = cap.by_user(spark, sf, frames=True)
     return rows.select("capture_id", F.col("sample").alias("frame"), F.concat(_bits(F.col("event_id"), 8), _bits(F.col("val"), 8)).alias("bits"))
 
 
 @query(f"WITH {U} SELECT capture_id, sample AS frame, b AS unit, CASE WHEN b = 0 THEN event_id & 255 ELSE val & 255 END AS value FROM u, (SELECT unnest([0, 1]) AS b)")
 def spi_raw_roundtrip(spark, sf):
-    wave = _wave(_raw_frames(spark, sf))
+    wave = settled(_wave(_raw_frames(spark, sf)), "bus")
     framed = spi.frames(wave)
     found = spi.fields(spi.transfers(wave, framed), spi.raw_plan(framed))
     return found.select("capture_id", "frame", "unit", "value")
@@ -439,14 +439,14 @@ CODES = (0x9F, 0xAA, 0x0B, 0x06, 0x03)
 
 
 def _commands(spark, sf):
-    rows = cap.by_user(spark, sf)
+    rows = cap.by_user(spark, sf, frames=True)
     code = F.element_at(F.array(*map(F.lit, CODES)), (F.col("etype") + 1).cast("int"))
     data, address, none = _bits(F.col("uid"), 8), _bits(F.col("event_id"), 24), F.lit("0" * 8)
     rest = F.when(F.col("etype") == 0, none).when(F.col("etype") == 1, data).when(F.col("etype") == 2, F.concat(address, none, none)).when(F.col("etype") == 3, F.lit("")).otherwise(F.concat(address, none))
     sent = F.concat(_bits(code.cast("long"), 8), rest)
     # What is read comes back on the other line, under zeros.
     back = F.when(F.col("etype").isin(0, 2, 4), F.concat(F.repeat(F.lit("0"), F.length(sent) - 8), data)).otherwise(F.repeat(F.lit("0"), F.length(sent)))
-    wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), back.alias("back")), {"io0": "bits", "io1": "back"})
+    wave = settled(_wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), back.alias("back")), {"io0": "bits", "io1": "back"}), "bus")
     # Opcodes and fields are both made of the transfers.
     framed = settled(spi.frames(wave), "spi-frames")
     moved = settled(spi.transfers(wave, framed, lines=LINES), "spi-transfers")
@@ -477,13 +477,13 @@ def spi_query_bytes(spark, sf):
   CASE WHEN sample % 6 IN (0, 2) THEN 0 ELSE 1 END AS data_bytes FROM u""")
 def spi_modes(spark, sf):
     """Reads and writes whose addresses are as long as the last change of mode says."""
-    rows = cap.by_user(spark, sf).withColumn("k", (F.col("sample") % 6).cast("int"))
+    rows = cap.by_user(spark, sf, frames=True).withColumn("k", (F.col("sample") % 6).cast("int"))
     code = F.element_at(F.array(*map(F.lit, (0xB7, 0x03, 0xE9, 0x03, 0x02, 0x13))), F.col("k") + 1).cast("long")
     address = F.when(F.col("k").isin(1, 5), _bits(F.col("event_id") + (1 << 24), 32)).when(F.col("k").isin(3, 4), _bits(F.col("event_id"), 24)).otherwise(F.lit(""))
     data = F.when(F.col("k").isin(0, 2), F.lit("")).otherwise(_bits(F.col("uid"), 8))
     sent = F.concat(_bits(code, 8), address, data)
     wave = _wave(rows.select("capture_id", F.col("sample").alias("frame"), sent.alias("bits"), F.repeat(F.lit("1"), F.length(sent)).alias("back")), {"io0": "bits", "io1": "back"})
-    out, _ = spi_decode.decode(wave, spi.frames(wave), lines=LINES, before_edge=False)
+    out, _ = spi_decode.decode(wave, lines=LINES, before_edge=False)
     return out.select("capture_id", "frame", "opcode", "address", F.col("data_bytes").cast("int").alias("data_bytes"))
 
 

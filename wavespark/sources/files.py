@@ -31,6 +31,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of frames in a task where each becomes a hundred rows.
+FRAMES = 16_384
+
+
+def pieces(frames: DataFrame, each: int = FRAMES) -> int:
+    """Tasks for so many frames: not by their size, which says little of the rows that they become."""
+    return max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-frames.count() // each))
+
+
 def split_name() -> Column:
     """The file and the first byte of the split that a row is read in; in order they are the order of the text."""
     return F.concat("_metadata.file_path", F.lit("#"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0"))
