@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_golden import capture
 from test_spi_decode import READ, wave
 from wavespark.operators import spi, spi_decode
+from wavespark.plans import captures, flash_queries
 from wavespark.plans.queries import QUERIES
 
 plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
@@ -27,6 +28,13 @@ def test_frames_are_not_sent_to_the_driver(spark, docs_dir, written):
     assert "Broadcast" not in plan_of(table) and "Broadcast" not in plan_of(written["spi-fields"][0])
 
 
+def test_exported_lines_meet_their_frames_without_the_driver_and_buses_are_dealt_by_frames(spark, docs_dir, monkeypatch):
+    assert "Broadcast" not in plan_of(QUERIES["spi_export_lines"](spark, docs_dir))
+    monkeypatch.setattr(captures, "pieces", lambda frames: 13)
+    data = flash_queries._bus(flash_queries._device(spark, docs_dir))
+    assert plan_of(data).count("Exchange") == 1 and data.rdd.getNumPartitions() == 13
+
+
 @pytest.mark.parametrize("falling", [False, True])
 def test_frames_of_the_select_line_are_those_made_before(spark, falling):
     """Unknown levels, frames at both ends, without edges, edges where a frame begins or ends, captures never selected."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .joins import as_of, nearest
 from .measure import MOST_CHARACTERS
 from .spi import FRAME
-from .spi_decode import format_text
+from .spi_decode import beside, format_text
 
 #: Data bytes that a row shows.
 PREVIEW = 16
@@ -91,7 +91,7 @@ def mode_text(frames: DataFrame) -> Column:
 
 def transaction_table(frames: DataFrame, fields: DataFrame, most: int = PREVIEW) -> DataFrame:
     """One row per frame as a table shows it: ``start``, ``duration``, ``command``, ``format``, ``address``, ``dummy``, ``data_bytes``, ``preview``, ``flags``."""
-    told = frames.join(previews(fields, most), FRAME, "left")
+    told = beside(frames, previews(fields, most), how="left")
     c = told.__getitem__
     command = F.when(c("reset"), F.lit("RESET")).when(c("opcode").isNull(), F.lit("-")).otherwise(F.concat_ws(" ", F.lpad(F.hex("opcode"), 2, "0"), c("name"), F.when(c("xip_frame"), F.lit("(XIP)"))))
     flags = F.concat_ws(", ", *[F.when(c(n), F.lit(t)) for n, t in (("unknown_command", "not in the table"), ("unknown", "X/Z"), ("partial", "partial"), ("truncated", "truncated"))], F.when(c("changed"), F.concat(F.lit("-> "), mode_text(told))))
@@ -143,7 +143,7 @@ def export_text(frames: DataFrame, fields: DataFrame, content: str = "data", rad
         return texts
     address = F.when(c("address").isNotNull(), F.concat(F.lit("@"), F.lpad(F.hex("address"), F.greatest(F.lit(1), c("address_bytes")) * 2, F.lit("0"))))
     head = F.concat_ws(" ", F.concat(F.lit("#"), (c("frame") + 1).cast("string")), F.when(c("opcode").isNotNull(), F.lpad(F.hex("opcode"), 2, "0")), address)
-    return texts.join(frames.select(*FRAME, head.alias("_head")), FRAME).select(*FRAME, F.concat("_head", F.lit(": "), "text").alias("text"))
+    return beside(texts, frames.select(*FRAME, head.alias("_head"))).select(*FRAME, F.concat("_head", F.lit(": "), "text").alias("text"))
 
 
 def as_queried(fields: DataFrame) -> DataFrame:
