@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from test_golden import capture
 from test_spi_decode import READ, wave
-from wavespark.operators import spi, spi_decode
+from wavespark.operators import spi, spi_decode, track
 from wavespark.plans import captures, flash_queries
 from wavespark.plans.queries import QUERIES
 
@@ -35,6 +35,18 @@ def test_exported_lines_meet_their_frames_without_the_driver_and_buses_are_dealt
     assert plan_of(data).count("Exchange") == 1 and data.rdd.getNumPartitions() == 13
 
 
+def test_steps_over_dealt_captures_shuffle_nothing(spark):
+    cursors = spark.createDataFrame([(k, a) for k in (0, 1) for a in range(-1, 14)], "capture_id long, at long").repartition(5, "capture_id")
+    fields = spark.createDataFrame([(0, 0, 1, 4), (0, 0, 4, 9), (0, 1, 9, 12), (0, 1, 10, 11), (1, 0, 2, 3)], "capture_id long, frame long, start long, end long").repartition(5, "capture_id")
+    stops = {0: [1, 4, 9, 10, 12], 1: [2, 3]}
+    for forward in (True, False):
+        told = track.step(cursors, fields, forward=forward)
+        assert plan_of(told).count("Exchange") == 2
+        near = lambda k, a: min([x for x in stops[k] if x > a], default=None) if forward else max([x for x in stops[k] if x < a], default=None)
+        assert {(r.capture_id, r.at): r.found for r in told.collect()} == {(k, a): near(k, a) for k in (0, 1) for a in range(-1, 14)}
+    assert rows(track.boundaries(fields)) == sorted(map(repr, fields.sparkSession.createDataFrame([(k, x) for k, xs in stops.items() for x in xs], "capture_id long, start long").collect()))
+
+
 @pytest.mark.parametrize("falling", [False, True])
 def test_frames_of_the_select_line_are_those_made_before(spark, falling):
     """Unknown levels, frames at both ends, without edges, edges where a frame begins or ends, captures never selected."""

@@ -30,13 +30,19 @@ def at_places(cursors: DataFrame, spans: DataFrame, values: Sequence[str], at: s
 
 def boundaries(fields: DataFrame, keys: Sequence[str] = ("capture_id",)) -> DataFrame:
     """Where steps from field to field stop: each field's start, and the end of a frame's last one. fields: of one lane."""
-    last = fields.groupBy(*keys, "frame").agg(F.max("end").alias("start"))
-    return fields.select(*keys, "start").unionByName(last.select(*keys, "start")).distinct()
+    return _stops(fields, keys).distinct()
+
+
+def _stops(fields: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``boundaries``, some of them twice. One pass over the fields: those that lie in their captures' tasks stay there."""
+    last = F.max("end").over(Window.partitionBy(*keys, "frame"))
+    ends = fields.select(*keys, "frame", "start", "end").withColumn("_last", F.when(F.col("end") == last, F.col("end")))
+    return ends.select(*keys, F.explode(F.array("start", "_last")).alias("start")).where("start IS NOT NULL")
 
 
 def step(cursors: DataFrame, fields: DataFrame, at: str = "at", forward: bool = True, keys: Sequence[str] = ("capture_id",), size: int | None = None) -> DataFrame:
     """cursors with the next (last) boundary of a field as ``found``; null where there is none."""
-    return nearest(cursors, boundaries(fields, keys), at, (), keys, forward=forward, size=size)
+    return nearest(cursors, _stops(fields, keys), at, (), keys, forward=forward, size=size)
 
 
 def search(cursors: DataFrame, hits: DataFrame, at: str = "at", forward: bool = True, wrap: bool = True, keys: Sequence[str] = ("capture_id",), size: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import flash, grids, joins, measure, spi_decode, track
 from . import captures as cap
 from ..functions import values as v
-from ..sources.files import lines, numbered, shared_folder
+from ..sources.files import FRAMES, lines, numbered, pieces, shared_folder
 from .queries import EDGES, U, query, rle
 
 #: A device whose registers set the dummy clocks and the protocol.
@@ -123,10 +123,14 @@ def spi_navigation(spark, sf):
     """For a cursor per frame the field boundaries after and before it, and the frame it lies in."""
     data = _bus(_device(spark, sf))
     table, found = spi_decode.decode(data, how=spi_decode.Decoding(commands=DEVICE))
-    cursors = table.select("capture_id", (F.col("start") + 7 * (F.col("frame") % 9)).alias("at"))
-    told = track.step(cursors, found).withColumnRenamed("found", "following")
-    told = track.step(told, found, forward=False).withColumnRenamed("found", "prior")
-    return track.at_places(told, table.select("capture_id", "frame", "start", "end"), ["frame"]).select("capture_id", "at", "following", "prior", "frame")
+    # Steps and places are asked for along each capture: its frames and fields are dealt to one task once.
+    parts = pieces(found, 4 * FRAMES)
+    frames = table.select("capture_id", "frame", "start", "end").repartition(parts, "capture_id")
+    own = found.select("capture_id", "frame", "start", "end").repartition(parts, "capture_id")
+    cursors = frames.select("capture_id", (F.col("start") + 7 * (F.col("frame") % 9)).alias("at"))
+    told = track.step(cursors, own).withColumnRenamed("found", "following")
+    told = track.step(told, own, forward=False).withColumnRenamed("found", "prior")
+    return track.at_places(told, frames, ["frame"]).select("capture_id", "at", "following", "prior", "frame")
 
 
 TICKS = f"""{EDGES}, g AS (SELECT e.capture_id, e.edge, u.tick, lag(e.edge) OVER w AS prior, lead(e.edge) OVER w AS following, tick - lag(tick) OVER w AS gap, row_number() OVER w AS k FROM e JOIN u ON e.capture_id = u.capture_id AND e.edge = u.sample WHERE rising WINDOW w AS (PARTITION BY e.capture_id ORDER BY e.edge)),
