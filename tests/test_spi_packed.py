@@ -28,6 +28,14 @@ def test_frames_are_not_sent_to_the_driver(spark, docs_dir, written):
     assert "Broadcast" not in plan_of(table) and "Broadcast" not in plan_of(written["spi-fields"][0])
 
 
+def test_edges_are_written_once_a_frame_and_their_bus_not_at_all(spark, docs_dir, written, monkeypatch):
+    monkeypatch.setattr(captures, "settled", None)
+    found = QUERIES["spi_field_extents"](spark, docs_dir)
+    assert written["spi-edges"][1].count() == spark.read.parquet(f"{docs_dir}/events.parquet").count()
+    assert plan_of(written["spi-edges"][0]).count("Exchange") == 1 and plan_of(written["spi-fields"][0]).count("Exchange") == 2
+    assert found.count() > 2000
+
+
 def test_exported_lines_meet_their_frames_without_the_driver_and_buses_are_dealt_by_frames(spark, docs_dir, monkeypatch):
     assert "Broadcast" not in plan_of(QUERIES["spi_export_lines"](spark, docs_dir))
     monkeypatch.setattr(captures, "pieces", lambda frames: 13)
